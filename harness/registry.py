@@ -11,6 +11,7 @@ from harness import roles
 from labelloom.functions.cleaning import clean_text
 from labelloom.functions.replies import prompt_text
 from labelloom.functions.text import name_stem
+from labelloom.model.classifier import fit_classifier
 from labelloom.operators import evaluation as E
 from labelloom.operators import keyed, ranking, strata, terms
 from labelloom.operators.candidates import best_candidates, with_quality
@@ -289,7 +290,7 @@ def cross_validation(spark: SparkSession, d: str) -> DataFrame:
 def scored_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole job: extraction choice, reply, fitted model, routing."""
     rows = experiments.model_rows(roles.stored_training(spark, d))
-    model = experiments.fit_classifier(rows, "feature_text")
+    model = fit_classifier(rows, "feature_text")
     documents = roles.read(spark, d, "documents")
     best = best_candidates(documents, roles.text_candidates(spark, d))
     info = documents.select("doc_id", roles.size_class(F.col("n_chars")).alias("doc_subtype"),

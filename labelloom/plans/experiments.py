@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import has_text, summary_text
-from labelloom.model.classifier import Classifier, Settings, fit_classifier
+from labelloom.model.classifier import Classifier, Settings, fit_each
 from labelloom.operators.evaluation import (
     compare_experiments, fold_summary, prediction_metrics)
 from labelloom.operators.keyed import keep_frequent
@@ -58,17 +58,19 @@ def run_experiments(split: DataFrame, settings: Settings = Settings()
 
     ``split`` carries ``part``; store it first, as each fit reads it again.
     """
-    predictions, models = [], {}
-    for name, text in experiment_texts().items():
-        rows = split.select("source_id", "filename", "title", "classification", "doc_subtype",
-                            "label", "part", text.alias("text"))
-        train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-        if name == "summary_only" and not enough_texts(train, F.col("text")):
-            continue
-        models[name] = fit_classifier(train, "text", "label", settings)
-        predictions.append(models[name].predict(test, "text").select(
+    rows = {name: split.select("source_id", "filename", "title", "classification", "doc_subtype",
+                               "label", "part", text.alias("text"))
+            for name, text in experiment_texts().items()}
+    train = {name: df.where(F.col("part") == "train") for name, df in rows.items()}
+    if not enough_texts(train["summary_only"], F.col("text")):
+        del train["summary_only"]
+    models = fit_each(train, "text", settings)
+    predictions = [
+        model.predict(rows[name].where(F.col("part") == "test"), "text").select(
             F.lit(name).alias("experiment"), "source_id", "filename", "title", "classification",
-            "doc_subtype", F.col("label").alias("true"), "pred", "probs"))
+            "doc_subtype", F.col("label").alias("true"), "pred", "probs")
+        for name, model in models.items()
+    ]
     return reduce(DataFrame.unionByName, predictions), models
 
 
@@ -83,11 +85,12 @@ def fold_predictions(rows: DataFrame, text: str = "feature_text", folds: int = 5
 
     ``rows`` carries ``fold``; store it first.
     """
-    parts = []
-    for fold in range(folds):
-        model = fit_classifier(rows.where(F.col("fold") != fold), text, "label", settings)
-        parts.append(model.predict(rows.where(F.col("fold") == fold), text).select(
-            "fold", "source_id", "filename", F.col("label").alias("true"), "pred", "probs"))
+    models = fit_each({f: rows.where(F.col("fold") != f) for f in range(folds)}, text, settings)
+    parts = [
+        model.predict(rows.where(F.col("fold") == fold), text).select(
+            "fold", "source_id", "filename", F.col("label").alias("true"), "pred", "probs")
+        for fold, model in models.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
