@@ -95,11 +95,11 @@ def document_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
-    return roles.read(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    return roles.read_texts(spark, d, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
 
 
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    scored = with_quality(roles.read(spark, d, "documents").select("doc_id", "text"), "text")
+    scored = with_quality(roles.read_texts(spark, d, "documents").select("doc_id", "text"), "text")
     return scored.select("doc_id", rounded("letter_ratio"), rounded("word_ratio"),
                          rounded("special_ratio"), F.col("garbled_runs").cast("long"),
                          "quality_score", "quality_reason")
@@ -142,11 +142,11 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return terms.token_counts(roles.read(spark, d, "documents"), "doc_id", F.col("text"))
+    return terms.token_counts(roles.read_texts(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 def text_grams(spark: SparkSession, d: str) -> DataFrame:
-    return terms.gram_lists(roles.read(spark, d, "documents"), "doc_id", F.col("text"))
+    return terms.gram_lists(roles.read_texts(spark, d, "documents"), "doc_id", F.col("text"))
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.session import stage, tune
+from labelloom.sources.tables import spread
 from labelloom.plans.metadata import metadata
 from labelloom.plans.training import training_rows
 
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts take CPU time, over all cores."""
+    return spread(read(spark, sf_dir, name))
+
+
 # ---- orders as documents with large id arrays -------------------------------------
 
 def order_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -100,7 +106,7 @@ def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts as summaries: the whole text is the summary."""
-    joined = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
+    joined = read_texts(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     good = F.col("quality") == 1
     return joined.select(
         F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"),
@@ -182,7 +188,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     bare = F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
     article = F.regexp_extract(html, r"(?s)<article>(.*)</article>", 1)
-    return read(spark, sf_dir, "pages").select(
+    return read_texts(spark, sf_dir, "pages").select(
         F.col("page_id").alias("doc_id"),
         F.regexp_count(html, F.lit("<p>")).alias("pages"),
         F.explode(F.array(
@@ -197,7 +203,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as extraction candidates: as they are, and without digits."""
-    return read(spark, sf_dir, "documents").select(
+    return read_texts(spark, sf_dir, "documents").select(
         "doc_id", F.lit(1).alias("pages"),
         F.explode(F.array(
             F.struct(F.lit("plain").alias("method"), F.lit(1).alias("priority"), F.col("text")),
@@ -213,7 +219,8 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     Texts flagged toxic failed with status 500, and unlabelled ones lack a
     confidence.
     """
-    joined = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    texts = read_texts(spark, sf_dir, "documents")
+    joined = texts.join(read(spark, sf_dir, "labels"), "doc_id", "left")
     body = F.to_json(F.struct(
         F.col("text").alias("summary"), long_words(F.col("text")).alias("key_terms"),
         F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")

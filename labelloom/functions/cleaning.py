@@ -36,7 +36,9 @@ STABLE_RANGES = (
     (0x20AC, 0x20AC), (0x3001, 0x3003), (0x3041, 0x3096), (0x30A1, 0x30FE),
     (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 )
-_UNSTABLE = "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in STABLE_RANGES) + "]"
+# Intersecting with "beyond ASCII" first settles most characters in one check.
+_UNSTABLE = (r"[\x{80}-\x{10FFFF}&&[^"
+             + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in STABLE_RANGES) + "]]")
 
 
 @lru_cache(maxsize=1)

@@ -35,10 +35,11 @@ def best_candidates(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     null method and pages. ``max_by`` is combined before the shuffle, so each
     map task sends one candidate per document.
     """
-    usable = scored_candidates(candidates).where(F.col("quality_score") > 0)
-    best = usable.groupBy("doc_id").agg(
-        F.max_by(F.struct("method", "pages", "text", "quality_score"),
-                 F.struct(F.col("quality_score"), -F.col("priority"))).alias("best"))
+    # A filter on the score would be pushed below the projection that computes
+    # it and clean every text twice more; max_by skips null orderings instead.
+    order = F.when(F.col("quality_score") > 0, F.struct(F.col("quality_score"), -F.col("priority")))
+    best = scored_candidates(candidates).groupBy("doc_id").agg(
+        F.max_by(F.struct("method", "pages", "text", "quality_score"), order).alias("best"))
     joined = documents.select("doc_id").join(best, "doc_id", "left")
     return joined.select(
         "doc_id",

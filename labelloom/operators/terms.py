@@ -77,8 +77,10 @@ def tfidf_weights(grams: DataFrame, doc: str, terms: DataFrame) -> DataFrame:
     the counts and the norms; a document gives at most ``max_features`` rows.
     """
     documents = grams.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # A plain explode would have Spark test the list for being empty before it is
+    # built, which builds it twice. The join drops the null of an empty list.
     counts = (
-        grams.select(doc, F.explode("grams").alias("term"))
+        grams.select(doc, F.explode_outer("grams").alias("term"))
         .join(F.broadcast(terms.select("term", "document_count")), "term")
         .repartition(doc)
         .groupBy(doc, "term", "document_count").agg(F.count(F.lit(1)).alias("tf"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelloom.sources.tables import spread
+
 # Runtime SQL settings the jobs rely on. AQE sizes reduce tasks, turns a join
 # into a broadcast only after it has seen the real size of a side, and splits
 # hot partitions of a shuffled join; the force flag keeps that split even when
@@ -20,10 +24,27 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python functions import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="labelloom-"), "labelloom"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session and ship the package."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
@@ -65,4 +86,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))
