@@ -71,7 +71,7 @@ def length_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    return join_coverage(roles.text_metadata(spark, d), roles.summaries(spark, d))
+    return join_coverage(roles.stored_metadata(spark, d), roles.summaries(spark, d))
 
 
 def leakage_preview(spark: SparkSession, d: str) -> DataFrame:
@@ -256,7 +256,7 @@ def invoice_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_fanout(spark: SparkSession, d: str) -> DataFrame:
-    labelled = one_row_per_label(roles.text_metadata(spark, d)).select(
+    labelled = one_row_per_label(roles.stored_metadata(spark, d)).select(
         name_stem(F.col("object_name")).alias("stem"))
     texts = usable_summaries(roles.summaries(spark, d)).select(
         name_stem(F.col("filename")).alias("stem"))

@@ -121,10 +121,6 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_rows(text_metadata(spark, sf_dir), summaries(spark, sf_dir))
-
-
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -136,6 +132,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _stored[key]
 
 
+def stored_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "metadata", text_metadata)
+
+
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_rows(stored_metadata(spark, sf_dir), summaries(spark, sf_dir))
+
+
 def stored_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "training", training)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# No more than this many keys are ever treated as hot, which bounds the
-# broadcast table of hot keys whatever the size of the inputs.
+# Only this many of the largest keys are ever sliced, which bounds the broadcast
+# table of hot keys. Any further key is joined whole in one task, as usual.
 MAX_HOT_KEYS = 50_000
 
 
@@ -22,22 +22,15 @@ def key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def hot_keys(left: DataFrame, right: DataFrame, key: str, rows_per_task: int) -> DataFrame:
-    """Keys too large for one task and how many slices each side is cut into.
-
-    A key is hot above ``rows_per_task`` rows or above 1/MAX_HOT_KEYS of a side,
-    whichever is more, so at most 2 * MAX_HOT_KEYS rows come back.
-    """
-    counts = key_counts(left, right, key).where(F.col(key).isNotNull()).na.fill(0)
-    totals = counts.agg((F.greatest(F.sum("left_rows"), F.sum("right_rows"))
-                         / MAX_HOT_KEYS).alias("share"))
-    limit = F.greatest(F.lit(float(rows_per_task)), F.coalesce(totals.scalar(), F.lit(0.0)))
-    sliced = counts.where(F.greatest("left_rows", "right_rows") > limit)
-    return sliced.select(
-        key,
-        F.ceil(F.greatest(F.lit(1.0), F.col("left_rows") / limit)).cast("int").alias("left_slices"),
-        F.ceil(F.greatest(F.lit(1.0), F.col("right_rows") / limit)).cast("int")
-        .alias("right_slices"),
+    """Keys too large for one task and how many slices each side is cut into."""
+    largest = F.greatest("left_rows", "right_rows")
+    hot = (
+        key_counts(left, right, key).where(F.col(key).isNotNull()).na.fill(0)
+        .where(largest > rows_per_task).orderBy(largest.desc(), key).limit(MAX_HOT_KEYS)
     )
+    return hot.select(key, *[
+        F.greatest(F.lit(1), F.ceil(F.col(f"{side}_rows") / rows_per_task)).cast("int")
+        .alias(f"{side}_slices") for side in ("left", "right")])
 
 
 def sliced_join(left: DataFrame, right: DataFrame, key: str,

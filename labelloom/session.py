@@ -49,16 +49,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g") -> SparkSession:
+                  driver_memory: str = "8g", extra: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the benchmark."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 
