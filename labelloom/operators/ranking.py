@@ -20,7 +20,9 @@ def by_probability(probs: Column) -> Column:
 def ranked_predictions(scored: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``doc, rank, class, probability``, one row per class."""
     return (
-        scored.select(doc, F.posexplode(by_probability(F.col("probs"))).alias("pos", "c"))
+        # The outer form keeps Spark from sorting once more to test for emptiness.
+        scored.select(doc, F.posexplode_outer(by_probability(F.col("probs"))).alias("pos", "c"))
+        .where(F.col("c").isNotNull())
         .select(doc, (F.col("pos") + 1).alias("rank"), F.col("c.class").alias("class"),
                 F.col("c.p").alias("probability"))
     )

@@ -15,7 +15,10 @@ from labelloom.sources.tables import spread
 # into a broadcast only after it has seen the real size of a side, and splits
 # hot partitions of a shuffled join; the force flag keeps that split even when
 # a later aggregate then needs one more exchange.
+# Collecting label sets by hash instead of by sort pays up to far more groups
+# per task than the default of 128.
 RUNTIME_SETTINGS = {
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
