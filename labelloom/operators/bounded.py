@@ -1,0 +1,23 @@
+"""Broadcasting a side only after its size is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a per-class table that may be broadcast; a row is a label and a few values.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``table`` ready to be broadcast when it has at most ``limit`` rows.
+
+    Spark sizes an aggregate by its input, so it would plan a shuffle join with a
+    per-class table and move every wide row by class, a large class to one task.
+    The table is computed here, once; if it has more rows it is returned as it
+    is and joins by shuffle.
+    """
+    rows = table.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))

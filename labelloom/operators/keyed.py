@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.operators.bounded import broadcast_if_small
+
 
 def smallest_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row per key with its smallest non-null value (partial min first)."""
@@ -17,7 +19,8 @@ def frequent_classes(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
 
 
 def keep_frequent(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
-    return df.join(frequent_classes(df, label, at_least), label, "left_semi")
+    frequent = broadcast_if_small(frequent_classes(df, label, at_least).select(label))
+    return df.join(frequent, label, "left_semi")
 
 
 def dropped_classes(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
@@ -31,7 +34,7 @@ def dropped_classes(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """``label, n, weight`` with weight = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))
-    rows = totals.select("rows").scalar()
-    classes = totals.select("classes").scalar()
+    # One row per class, so the window without keys stays small.
+    everything = Window.partitionBy()
+    rows, classes = F.sum("n").over(everything), F.count(F.lit(1)).over(everything)
     return counts.select(label, "n", (rows / (classes * F.col("n"))).alias("weight"))
