@@ -1,4 +1,4 @@
-"""Broadcasting a side only after its size is known."""
+"""Small results held locally or broadcast, only after their size is known."""
 
 from __future__ import annotations
 
@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 10_000
 
 
+def local_if_small(table: DataFrame, limit: int) -> DataFrame:
+    """``table`` computed once and held as local rows if it has at most ``limit``.
+
+    For small aggregates of large tables that several later steps read. A larger
+    one is returned as it is.
+    """
+    rows = table.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return table
+    return table.sparkSession.createDataFrame(rows, table.schema)
+
+
 def broadcast_if_small(table: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``table`` ready to be broadcast when it has at most ``limit`` rows.
 
     Spark sizes an aggregate by its input, so it would plan a shuffle join with a
     per-class table and move every wide row by class, a large class to one task.
-    The table is computed here, once; if it has more rows it is returned as it
-    is and joins by shuffle.
+    A table with more rows is returned as it is and joins by shuffle.
     """
-    rows = table.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return table
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+    local = local_if_small(table, limit)
+    return table if local is table else F.broadcast(local)
