@@ -33,21 +33,27 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, rows_per_task: int) ->
         .alias(f"{side}_slices") for side in ("left", "right")])
 
 
-def sliced_join(left: DataFrame, right: DataFrame, key: str,
-                rows_per_task: int = 1_000_000) -> DataFrame:
+def sliced_join(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = 1_000_000,
+                right_keys: DataFrame | None = None) -> DataFrame:
     """Inner equi-join on ``key`` with hot keys cut into slices on both sides.
 
     A row of a hot key takes one slice of its own side by hash and is repeated
     once per slice of the other side, so every pair meets in exactly one task.
     Other keys get one slice and are not repeated. The slice comes from the
     row's own values, hence a retried task puts each row where it was before.
+
+    The keys are counted here, in one job that reads only them; without a hot
+    key the join is a plain one. ``right_keys`` may give the keys of a superset
+    of ``right`` that is cheaper to read.
     """
-    left = left.where(F.col(key).isNotNull())
-    right = right.where(F.col(key).isNotNull())
-    hot = F.broadcast(hot_keys(left, right, key, rows_per_task))
+    hot_rows = hot_keys(left, right if right_keys is None else right_keys, key,
+                        rows_per_task).toArrow()
+    if hot_rows.num_rows == 0:
+        return left.join(right, key, "inner")
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows))
     keys = [key, "_left_slice", "_right_slice"]
-    a = _slice(left, hot, key, "left", "right")
-    b = _slice(right, hot, key, "right", "left")
+    a = _slice(left.where(F.col(key).isNotNull()), hot, key, "left", "right")
+    b = _slice(right.where(F.col(key).isNotNull()), hot, key, "right", "left")
     return a.join(b, keys, "inner").drop("_left_slice", "_right_slice")
 
 

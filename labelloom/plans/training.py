@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import baseline_text, feature_text, has_text, name_stem
-from labelloom.operators.stem_join import sliced_join, status_counts
 from labelloom.functions.tiers import match_status
+from labelloom.operators.stem_join import sliced_join, status_counts
 from labelloom.plans.metadata import one_row_per_label
 
 SUMMARY_COLUMNS = ["filename", "text_length", "quality_score", "llm_confidence",
                    "final_confidence", "routing", "summary", "key_terms"]
 
 
-def usable_summaries(summaries: DataFrame) -> DataFrame:
+def finished_summaries(summaries: DataFrame) -> DataFrame:
     return summaries.where(
-        (F.col("routing") == "ml_training") & (F.col("llm_status") == "success")
-        & has_text(F.col("summary"))
-    )
+        (F.col("routing") == "ml_training") & (F.col("llm_status") == "success"))
+
+
+def usable_summaries(summaries: DataFrame) -> DataFrame:
+    return finished_summaries(summaries).where(has_text(F.col("summary")))
 
 
 def training_rows(meta: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -30,9 +32,11 @@ def training_rows(meta: DataFrame, summaries: DataFrame) -> DataFrame:
     """
     labelled = one_row_per_label(meta).drop("attachment_path").withColumn(
         "stem", name_stem(F.col("object_name")))
-    texts = usable_summaries(summaries).select(
-        *SUMMARY_COLUMNS, name_stem(F.col("filename")).alias("stem"))
-    return sliced_join(labelled, texts, "stem").select(
+    stem = name_stem(F.col("filename")).alias("stem")
+    texts = usable_summaries(summaries).select(*SUMMARY_COLUMNS, stem)
+    # Counting keys without the test for text leaves the texts unread.
+    keys = finished_summaries(summaries).select(stem)
+    return sliced_join(labelled, texts, "stem", right_keys=keys).select(
         "source_id", "title", "object_name", "label", "classification", "doc_subtype",
         "regulation_names", *SUMMARY_COLUMNS,
         feature_text(F.col("doc_subtype"), F.col("classification"), F.col("summary"),
