@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelloom.llm import mixing, rans, risk_rules, token_cache
+from labelloom.llm import mixing, near_dup, rans, risk_rules, token_cache
 from labelloom.llm.common import new_folder, read, staged, word_count
 from labelloom.llm.sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_odd_sketch_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return near_dup.near_duplicates(read(spark, d, "documents"))
+
+
 def op2_token_cache(spark: SparkSession, d: str) -> DataFrame:
     """Token counts of every document; a cache of its own, empty at first, for every call."""
     counts = token_cache.token_counts(read(spark, d, "documents"), new_folder(spark, "token-cache"),
@@ -47,6 +52,7 @@ def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
     "op2_token_cache": op2_token_cache,
     "op6_mixing": op6_mixing,
     "op7_rans": op7_rans,
