@@ -12,9 +12,12 @@
    one bucket that are still in different components are then compared with each
    other. So no pair that shares a bucket is left out, and none is formed inside a
    group that is joined already.
-5. A compared pair passes on if its sizes allow a link and its sketches estimate a
+5. A compared pair passes on if its sizes allow a link, if its sketches estimate a
    similarity of 0.6 or more (a linked pair falls below that with a probability of
-   about 1e-12). What passes is confirmed on the whole shingle sets.
+   about 1e-12), and if the parity bitmaps of the whole sets, folded the same way,
+   differ in no more bits than the sets of a link may differ in elements. The last
+   is a bound that no link breaks, and a sharp one for sets of a few hundred. What
+   passes is confirmed on the whole shingle sets.
 
 Texts of one repeated id count as linked. Rows without an id link with nothing and
 have no component. Texts without words have an empty set and link with nothing. An
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +46,13 @@ ROWS = 5
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
+PARITY_WORDS = 16
+PARITY_BITS = 64 * PARITY_WORDS
 LEAST_ESTIMATE = 0.6
 
 _SEEDS = mixed_bits(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_FEATURES = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+_FEATURES = ("doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, "
+             "parity array<long>")
 _CHUNK = 1 << 18
 
 
@@ -59,13 +66,23 @@ def minhash(shingles: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def _parity_words(flat: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """64-bit words of the parity of hits; ``flat`` is ``row * bits + bit`` of every hit."""
+    hits = np.bincount(flat.ravel(), minlength=rows * bits)
+    odd = (hits & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view("<u8").astype(np.uint64)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """One row of 64-bit words per row of samples: the parity of hits on every bit."""
-    place = mixed_bits(samples + _SEEDS) % np.uint64(SKETCH_BITS)
-    flat = place.astype(np.int64) + np.arange(len(samples))[:, None] * SKETCH_BITS
-    hits = np.bincount(flat.ravel(), minlength=len(samples) * SKETCH_BITS)
-    bits = (hits & 1).astype(np.uint8).reshape(len(samples), SKETCH_BITS)
-    return np.packbits(bits, axis=1).view("<u8").astype(np.uint64)
+    """One row of words per row of samples."""
+    place = (mixed_bits(samples + _SEEDS) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return _parity_words(place + np.arange(len(samples))[:, None] * SKETCH_BITS, len(samples), SKETCH_BITS)
+
+
+def parity_bitmaps(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same folding of whole sets: two bitmaps differ in no more bits than the sets."""
+    place = (shingles % np.uint64(PARITY_BITS)).astype(np.int64)
+    return _parity_words(place + np.repeat(np.arange(len(sizes)), sizes) * PARITY_BITS, len(sizes), PARITY_BITS)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -101,16 +118,20 @@ def _feature_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     full = np.flatnonzero(sizes)
     bands: list = [None] * len(sets)
     sketches: list = [None] * len(sets)
+    parities: list = [None] * len(sets)
     if len(full):
         borders = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        samples = minhash(np.concatenate([sets[i] for i in full]), borders)
-        for i, band, sketch in zip(full, band_keys(samples).view(np.int64), odd_sketches(samples).view(np.int64)):
-            bands[i], sketches[i] = band.tolist(), sketch.tolist()
+        shingles = np.concatenate([sets[i] for i in full])
+        samples = minhash(shingles, borders)
+        for i, band, sketch, parity in zip(full, *[x.view(np.int64).tolist() for x in (
+                band_keys(samples), odd_sketches(samples), parity_bitmaps(shingles, sizes[full]))]):
+            bands[i], sketches[i], parities[i] = band, sketch, parity
     digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
     return pa.record_batch({
         "doc_id": ids.cast(pa.int64()), "n_shingles": pa.array(sizes),
         "digest": pa.array(digests, pa.binary()),
-        "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+        "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64())),
+        "parity": pa.array(parities, pa.list_(pa.int64()))})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +155,20 @@ def _confirmed(percent: int):
     return confirm
 
 
-def _alike(left: Column, right: Column, n_left: Column, n_right: Column, percent: int) -> Column:
-    """Sizes that allow a link, and sketches that differ in few enough bits."""
-    bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                       F.lit(0), lambda t, x: t + x)
-    return (100 * F.least(n_left, n_right) >= percent * F.greatest(n_left, n_right)) & (
-        bits <= most_differing_bits())
+def _differing(a: str, b: str, words: int) -> Column:
+    """Bits in which two arrays of words differ, unrolled so that it is compiled."""
+    bits = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(words)]
+    return reduce(Column.__add__, bits)
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Sizes, sketches and bitmaps that allow a link; ``a`` and ``b`` end the column names."""
+    least, most = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}")
+    # |A or B| = (|A| + |B| + d) / 2 for d differing elements
+    bound = (100 - percent) * (F.col(f"n{a}") + F.col(f"n{b}"))
+    return ((100 * least >= percent * most)
+            & (_differing(f"sketch{a}", f"sketch{b}", SKETCH_WORDS) <= most_differing_bits())
+            & ((100 + percent) * _differing(f"parity{a}", f"parity{b}", PARITY_WORDS) <= bound))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -154,10 +183,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return staged(both.mapInArrow(_confirmed(percent), "u long, v long"), "dedup-links")
 
 
+def _side(classes: DataFrame, end: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(end), F.col("n_shingles").alias(f"n_{end}"),
+                          F.col("sketch").alias(f"sketch_{end}"), F.col("parity").alias(f"parity_{end}"))
+
+
 def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for end in ("u", "v"):
-        pairs = pairs.join(classes.select(F.col("rep").alias(end), F.col("n_shingles").alias(f"n_{end}"),
-                                          F.col("sketch").alias(f"sketch_{end}")), end)
+        pairs = pairs.join(_side(classes, end), end)
     return pairs
 
 
@@ -168,7 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     usable = features.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = staged(usable.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "dedup-classes")
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("parity").alias("parity")), "dedup-classes")
 
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
@@ -181,24 +215,20 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
         "bucket", (-F.col("top.id")).alias("hub"))
     to_hub = members.join(hubs, "bucket").where(F.col("rep") != F.col("hub")).select(
         F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
-    pairs = staged(_with_classes(to_hub, classes).where(_alike(
-        F.col("sketch_u"), F.col("sketch_v"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v"), "dedup-pairs")
+    pairs = staged(_with_classes(to_hub, classes).where(
+        _alike("_u", "_v", percent)).select("u", "v"), "dedup-pairs")
     links = _linked(pairs, docs, percent)
-    # several classes of one repeated id are one node already; a lone node needs no root
-    roots = components(links)
+    roots = components(links)  # a node without a link needs no root
 
     placed = members.select("bucket", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(
         F.col("a") != F.col("b")).select("bucket")
-    rest = staged(placed.join(open_buckets, "bucket").join(
-        classes.select("rep", "n_shingles", "sketch"), "rep"), "dedup-open")
-    a, b = rest.alias("a"), rest.alias("b")
-    crossing = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") < F.col("b.rep"))
-                      & (F.col("a.root") != F.col("b.root"))
-                      & _alike(F.col("a.sketch"), F.col("b.sketch"), F.col("a.n_shingles"),
-                               F.col("b.n_shingles"), percent)).select(
-        F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct()
+    rest = staged(placed.join(open_buckets, "bucket"), "dedup-open")
+    sides = [rest.select("bucket", F.col("rep").alias(end), F.col("root").alias(f"root_{end}")).join(
+        _side(classes, end), end) for end in ("u", "v")]
+    crossing = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("u") < F.col("v")) & (
+        F.col("root_u") != F.col("root_v")) & _alike("_u", "_v", percent)).select("u", "v").distinct()
     more = staged(crossing.join(pairs, ["u", "v"], "left_anti"), "dedup-more-pairs")
     if not more.isEmpty():
         roots = components(links.unionByName(_linked(more, docs, percent)))

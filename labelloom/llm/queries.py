@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelloom.llm import mixing, near_dup, rans, risk_rules, token_cache
+from labelloom.llm import line_dedup, mixing, near_dup, rans, risk_rules, templates, token_cache
 from labelloom.llm.common import new_folder, read, staged, word_count
 from labelloom.llm.sql import ORACLES
 
@@ -28,6 +28,12 @@ def op2_token_cache(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > token_cache.OVER_LIMIT)
 
 
+def op5_cuckoo_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the lines that an earlier one holds."""
+    docs = read(spark, d, "documents")
+    return line_dedup.LineIndex.build(docs).digests(docs)
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     """Words that a mix by source takes of every document."""
     sizes = staged(read(spark, d, "documents").select(
@@ -44,6 +50,11 @@ def op7_rans(spark: SparkSession, d: str) -> DataFrame:
     return rans.read_tokens(spark, folder)
 
 
+def op8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold benchmark passages, also with other numbers and names."""
+    return templates.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
     """Base measures of every document and the verdict of the cutoffs of its language."""
     measures = staged(risk_rules.base_measures(read(spark, d, "documents"), "lang"), "rule-measures")
@@ -54,8 +65,10 @@ def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
     "op2_token_cache": op2_token_cache,
+    "op5_cuckoo_lines": op5_cuckoo_lines,
     "op6_mixing": op6_mixing,
     "op7_rans": op7_rans,
+    "op8_templates": op8_templates,
     "op10_risk_rules": op10_risk_rules,
 }
 

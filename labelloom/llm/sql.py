@@ -106,4 +106,24 @@ FROM base b
 """
 
 
-ORACLES = {"op6_mixing": OP6, "op10_risk_rules": _op10()}
+_LINES = """
+WITH lines AS (
+    SELECT doc_id, place, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS place
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), repeated AS (
+    SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10
+    GROUP BY key HAVING count(DISTINCT doc_id) > 1
+)
+"""
+OP5 = _LINES + """
+SELECT doc_id, count(*)::BIGINT AS n_lines,
+       count_if(first_doc IS NOT NULL AND first_doc <> doc_id)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place)
+           FILTER (WHERE first_doc IS NULL OR first_doc = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id
+"""
+
+
+ORACLES = {"op5_cuckoo_lines": OP5, "op6_mixing": OP6, "op10_risk_rules": _op10()}
