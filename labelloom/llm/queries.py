@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from labelloom.llm import line_dedup, mixing, near_dup, rans, risk_rules, templates, token_cache
+from labelloom.llm import (
+    host_words, line_dedup, mixing, near_dup, rans, risk_rules, templates, token_cache, toxicity_gru, zstd_lang)
 from labelloom.llm.common import new_folder, read, staged, word_count
 from labelloom.llm.sql import ORACLES
 
@@ -28,6 +29,23 @@ def op2_token_cache(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > token_cache.OVER_LIMIT)
 
 
+def op3_zstd_language(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document by compression."""
+    return zstd_lang.predictions(read(spark, d, "documents"))
+
+
+URL_RULES = [
+    host_words.Rule("allow", "org", "/"), host_words.Rule("block", "example.org", "/es/"),
+    host_words.Rule("block", "example.org", "/en/1"), host_words.Rule("allow", "com", "/fr/"),
+    host_words.Rule("block", "com", "/de/"),
+]
+
+
+def op4_host_words(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return host_words.url_verdicts(read(spark, d, "pages"), URL_RULES)
+
+
 def op5_cuckoo_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every document without the lines that an earlier one holds."""
     docs = read(spark, d, "documents")
@@ -55,6 +73,15 @@ def op8_templates(spark: SparkSession, d: str) -> DataFrame:
     return templates.contaminated(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
+def op9_gru_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, d, "documents")
+    scored = toxicity_gru.with_score(docs.select("doc_id", "text"), toxicity_gru.fit(docs, read(spark, d, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(~toxicity_gru.learned(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
     """Base measures of every document and the verdict of the cutoffs of its language."""
     measures = staged(risk_rules.base_measures(read(spark, d, "documents"), "lang"), "rule-measures")
@@ -65,10 +92,13 @@ def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
     "op2_token_cache": op2_token_cache,
+    "op3_zstd_language": op3_zstd_language,
+    "op4_host_words": op4_host_words,
     "op5_cuckoo_lines": op5_cuckoo_lines,
     "op6_mixing": op6_mixing,
     "op7_rans": op7_rans,
     "op8_templates": op8_templates,
+    "op9_gru_toxicity": op9_gru_toxicity,
     "op10_risk_rules": op10_risk_rules,
 }
 

@@ -1,18 +1,19 @@
 """Toxicity of whole texts: a bidirectional GRU with attention pooling, in numpy.
 
-A word enters as two vectors: an embedding of the word (hashed) and the mean of
-embeddings of its character pieces (hashed prefixes and suffixes). Both directions
-of the recurrent network read a window of ``WINDOW`` words; attention pools their
-states, and a logistic unit gives the window's score. A text's windows overlap by
-half, all of them are scored, and the largest score is the text's.
+A word enters as two vectors: an embedding of the word and the mean of embeddings of
+its character pieces (prefixes and suffixes). Words and pieces that are rare in the
+training sample have none. Both directions of the recurrent network read a window of
+``WINDOW`` words; attention pools their states, and a logistic unit gives the
+window's score. A text's windows overlap by half, all of them are scored, and the
+largest score is the text's.
 
 Labels belong to texts, not windows, so training alternates: of every text the
 window with the largest score stands for it, then the network is fitted to those.
 The first choice, and the start of the embeddings' first component, come from the
 log-odds of words and pieces in the training sample. The sample is bounded: of each
-label the document with the smallest hash in each of ``BUCKETS`` hash buckets, and
-``SAMPLE_WINDOWS`` windows of a document, evenly spaced, when it has more. Only the
-fit is on the driver; scoring is spread over the executors and reads all texts.
+label the document with the smallest hash in each of ``BUCKETS[label]`` hash buckets,
+and ``SAMPLE_WINDOWS`` windows of a document, evenly spaced, when it has more. Only
+the fit is on the driver; scoring is spread over the executors and reads all texts.
 
 Defined results: a text without words scores 0; without labels of both kinds every
 text does; null labels and null ids are not learned; an empty table gives no rows.
@@ -23,11 +24,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,36 +35,39 @@ from labelloom.llm.common import unused_name
 
 WINDOW = 64
 STRIDE = 32
-WORD_ROWS = 1 << 13
-PIECE_ROWS = 1 << 14
+LEAST_DOCUMENTS = 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
 SUFFIXES = (3, 4)
 PIECES = len(PREFIXES) + len(SUFFIXES)
 WIDTH = 6
 HIDDEN = 8
 ATTENTION = 8
-BUCKETS = 1024
-SAMPLE_WINDOWS = 64
-EPOCHS = 12
+BUCKETS = {0: 3072, 1: 1536}
+SAMPLE_WINDOWS = 16
+EPOCHS = 8
 BATCH = 128
 RATE = 0.01
 SEED = 7
 _SCORED_AT_ONCE = 4096
 _MAX_WORDS = 300_000
+_PRIOR = 2.0
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 # ---- words ---------------------------------------------------------------------------
 
-def word_features(chunk: str) -> list[int]:
-    """Rows of a word's embeddings: the word's, then its pieces'. Row 0 stays empty."""
+def word_names(chunk: str) -> list[str]:
+    """A word and its pieces, by the names under which their embeddings are kept."""
     word = _EDGE.sub("", chunk).lower()
     if not word:
-        return [0] * (1 + PIECES)
-    def row(kind: str, piece: str, rows: int) -> int:
-        return 1 + xxhash.xxh3_64_intdigest((kind + piece).encode("utf-8", "surrogatepass")) % (rows - 1)
-    parts = [row("<", word[:n], PIECE_ROWS) for n in PREFIXES] + [row(">", word[-n:], PIECE_ROWS) for n in SUFFIXES]
-    return [row("=", word, WORD_ROWS), *parts]
+        return []
+    return ["=" + word, *["<" + word[:n] for n in PREFIXES], *[">" + word[-n:] for n in SUFFIXES]]
+
+
+def word_features(chunk: str, rows: dict[str, int]) -> list[int]:
+    """Rows of the embeddings of a word and its pieces; row 0 is nothing known, -1 no word."""
+    names = word_names(chunk)
+    return [rows.get(n, 0) for n in names] if names else [-1] + [0] * PIECES
 
 
 def window_starts(words: int) -> range:
@@ -79,24 +81,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def new_parameters(rng: np.random.Generator) -> dict[str, np.ndarray]:
+def new_parameters(rng: np.random.Generator, rows: int) -> dict[str, np.ndarray]:
     def normal(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    p = {"words": 0.1 * rng.standard_normal((WORD_ROWS, WIDTH)).astype(np.float32),
-         "pieces": 0.1 * rng.standard_normal((PIECE_ROWS, WIDTH)).astype(np.float32),
+    p = {"embedding": 0.1 * rng.standard_normal((rows, WIDTH)).astype(np.float32),
          "att_w": normal(2 * HIDDEN, ATTENTION), "att_v": normal(ATTENTION),
          "out_w": normal(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
     for side in ("f", "b"):
         p[f"in_{side}"] = normal(2 * WIDTH, 3 * HIDDEN)
         p[f"rec_{side}"] = normal(HIDDEN, 3 * HIDDEN)
         p[f"bias_{side}"] = np.zeros(3 * HIDDEN, np.float32)
-    p["words"][0] = p["pieces"][0] = 0
+    p["embedding"][0] = 0
     return p
 
 
 def embedded(p: dict, features: np.ndarray) -> np.ndarray:
     """Input vectors of words given by their feature rows."""
-    return np.concatenate([p["words"][features[..., 0]], p["pieces"][features[..., 1:]].mean(axis=-2)], axis=-1)
+    table = p["embedding"]
+    return np.concatenate([table[np.maximum(features[..., 0], 0)], table[features[..., 1:]].mean(axis=-2)], axis=-1)
 
 
 def _run(gates: np.ndarray, mask: np.ndarray, rec: np.ndarray, keep: list | None) -> np.ndarray:
@@ -179,66 +181,84 @@ def gradients(p: dict, features: np.ndarray, mask: np.ndarray, labels: np.ndarra
         g[f"in_{s}"] = np.einsum("tbi,tbj->ij", x, d_gates)
         g[f"bias_{s}"] = d_gates.sum(axis=(0, 1))
         d_x += d_gates @ p[f"in_{s}"].T
-    g["words"] = np.zeros_like(p["words"])
-    np.add.at(g["words"], features[..., 0].ravel(), d_x[..., :WIDTH].reshape(-1, WIDTH))
-    g["pieces"] = np.zeros_like(p["pieces"])
+    g["embedding"] = np.zeros_like(p["embedding"])
+    np.add.at(g["embedding"], np.maximum(features[..., 0], 0).ravel(), d_x[..., :WIDTH].reshape(-1, WIDTH))
     spread = np.repeat(d_x[..., WIDTH:].reshape(-1, WIDTH) / PIECES, PIECES, axis=0)
-    np.add.at(g["pieces"], features[..., 1:].ravel(), spread)
-    g["words"][0] = g["pieces"][0] = 0
+    np.add.at(g["embedding"], features[..., 1:].ravel(), spread)
+    g["embedding"][0] = 0
     return float(loss), g
 
 
 # ---- training ----------------------------------------------------------------------------
 
-def _log_odds(features: np.ndarray, docs: np.ndarray, toxic: np.ndarray, column: slice, rows: int) -> np.ndarray:
-    """Smoothed log-odds of a row's occurrence in toxic and other documents."""
-    flat = features[..., column].reshape(len(docs), -1)
-    pairs = np.unique(np.stack([np.repeat(docs, flat.shape[1]), flat.ravel()]), axis=1)
-    hot = toxic[pairs[0]] == 1
-    yes, no = (np.bincount(pairs[1][x], minlength=rows) for x in (hot, ~hot))
-    n_yes, n_no = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    out = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
-    out[(yes + no) < 3] = 0
-    return out.astype(np.float32)
-
-
-def trained(features: np.ndarray, mask: np.ndarray, docs: np.ndarray, toxic: np.ndarray,
-            epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """Parameters from sample windows (rows, steps, features), their documents and the labels."""
+def _rows_and_odds(types: list[list[str]], windows: np.ndarray, docs: np.ndarray,
+                   toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """Embedding rows of names that enough documents hold, and the rows' shrunk log-odds."""
+    names: dict[str, int] = {}
+    members = [[names.setdefault(n, len(names)) for n in t] for t in types]
+    held = np.unique(docs[:, None] * np.int64(len(types)) + windows)  # document and word, once each
+    doc, word = held // len(types), held % len(types)
+    sizes = np.array([len(m) for m in members])
+    flat = np.fromiter((x for m in members for x in m), np.int64, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes[word].sum())) + np.repeat(starts[word] - (np.cumsum(sizes[word]) - sizes[word]), sizes[word])
+    pairs = np.unique(np.repeat(doc, sizes[word]) * np.int64(len(names)) + flat[at])
+    hot = toxic[pairs // len(names)] == 1
+    yes, no = (np.bincount(pairs[x] % len(names), minlength=len(names)) for x in (hot, ~hot))
+    odds = np.log((yes + _PRIOR * toxic.mean()) / (no + _PRIOR * (1 - toxic.mean()))) - np.log(toxic.mean() / (1 - toxic.mean()))
+    kept = np.flatnonzero(yes + no >= LEAST_DOCUMENTS)
+    row_of = np.zeros(len(names), np.int64)
+    row_of[kept] = np.arange(1, len(kept) + 1)
+    rows = {n: int(row_of[i]) for n, i in names.items() if row_of[i]}
+    return rows, np.concatenate([[0.0], odds[kept]]).astype(np.float32)
+
+
+def trained(types: list[str], windows: np.ndarray, docs: np.ndarray, toxic: np.ndarray,
+            epochs: int = EPOCHS) -> dict:
+    """A model from sample windows: word numbers (0 is none) per row, documents, labels."""
     rng = np.random.default_rng(SEED)
-    p = new_parameters(rng)
-    odds = {"words": _log_odds(features, docs, toxic, slice(0, 1), WORD_ROWS),
-            "pieces": _log_odds(features, docs, toxic, slice(1, None), PIECE_ROWS)}
-    for name, value in odds.items():
-        p[name][:, 0] = value
-        p[name][0] = 0
-    first = odds["words"][features[..., 0]] + odds["pieces"][features[..., 1:]].mean(axis=-1)
-    scores = np.where(mask, first, 0).clip(0).max(axis=1)
-    share = toxic.mean()
-    balance = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
-    mean, square, steps = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
-    mean, square = mean
+    rows, odds = _rows_and_odds([word_names(t) for t in types], windows, docs, toxic)
+    features = np.array([word_features(t, rows) for t in types], np.int32)
+    real = features[:, 0] >= 0
+    some = real[windows].any(axis=1)
+    windows, docs = windows[some], docs[some]
+    p = new_parameters(rng, len(rows) + 1)
+    p["embedding"][:, 0] = odds
+    first = odds[np.maximum(features[:, 0], 0)] + odds[features[:, 1:]].mean(axis=-1)
+    scores = np.where(real, first, 0).clip(0)[windows].sum(axis=1)
+    balance = np.sqrt(np.where(toxic == 1, 1 / toxic.mean(), 1 / (1 - toxic.mean())))
+    mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    steps = 0
     for _ in range(epochs):
         order = np.lexsort((-scores, docs))
         chosen = order[np.unique(docs[order], return_index=True)[1]]
         rng.shuffle(chosen)
         for i in range(0, len(chosen), BATCH):
-            rows = chosen[i:i + BATCH]
-            _, g = gradients(p, features[rows], mask[rows], toxic[docs[rows]], balance[docs[rows]])
+            take = chosen[i:i + BATCH]
+            grid = windows[take]
+            _, g = gradients(p, features[grid], real[grid], toxic[docs[take]], balance[docs[take]])
             steps += 1
             for name, grad in g.items():
                 mean[name] += 0.1 * (grad - mean[name])
                 square[name] += 0.01 * (grad * grad - square[name])
                 scale = np.sqrt(square[name] / (1 - 0.99 ** steps)) + 1e-6
                 p[name] -= RATE * mean[name] / (1 - 0.9 ** steps) / scale
-        scores = np.concatenate([window_scores(p, features[i:i + 2048], mask[i:i + 2048])
-                                 for i in range(0, len(features), 2048)])
-    return p
+        gates = word_gates(p, features)
+        scores = np.concatenate([_grid_scores(p, gates, real, windows[i:i + _SCORED_AT_ONCE])
+                                 for i in range(0, len(windows), _SCORED_AT_ONCE)])
+    return {"rows": rows, "network": p}
+
+
+def word_gates(p: dict, features: np.ndarray) -> list[np.ndarray]:
+    """What words give to the gates of both directions."""
+    x = embedded(p, features)
+    return [x @ p[f"in_{s}"] + p[f"bias_{s}"] for s in ("f", "b")]
 
 
-def window_scores(p: dict, features: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    x = embedded(p, features.transpose(1, 0, 2))
-    return pooled_scores(p, x @ p["in_f"] + p["bias_f"], x @ p["in_b"] + p["bias_b"], mask.T[:, :, None])
+def _grid_scores(p: dict, gates: list[np.ndarray], real: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Scores of windows of word numbers, each with one word at least."""
+    grid = grid.T
+    return pooled_scores(p, gates[0][grid], gates[1][grid], real[grid][:, :, None])
 
 
 def learned(doc_id: Column) -> Column:
@@ -246,17 +266,18 @@ def learned(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, toxic, words): windows of at most ``buckets`` documents per label."""
+def training_sample(docs: DataFrame, labels: DataFrame, buckets: dict[int, int] = BUCKETS) -> DataFrame:
+    """(doc_id, toxic, words): windows of at most ``buckets[toxic]`` documents per label."""
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learned(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(
         docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(
-        "toxic", F.pmod(order, F.lit(buckets)).alias("bucket")).agg(
+        "toxic", F.when(F.col("toxic") == 1, F.pmod(order, F.lit(buckets[1]))).otherwise(
+            F.pmod(order, F.lit(buckets[0]))).alias("bucket")).agg(
         F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("first")).select("toxic", "first.doc_id")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    return texts.mapInArrow(_sample_windows, "doc_id long, toxic int, words array<string>")
+    return texts.mapInArrow(_sample_windows, "doc_id long, toxic int, at int, words array<string>")
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,69 +288,68 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             starts = window_starts(len(words)) if words else range(0)
             if len(starts) > SAMPLE_WINDOWS:
                 starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS)]
-            rows += [(doc, toxic, words[s:s + WINDOW]) for s in starts]
-        columns = list(zip(*rows)) if rows else [(), (), ()]
+            rows += [(doc, toxic, s, words[s:s + WINDOW]) for s in starts]
+        columns = list(zip(*rows)) if rows else [()] * 4
         yield pa.record_batch({"doc_id": pa.array(columns[0], pa.int64()), "toxic": pa.array(columns[1], pa.int32()),
-                               "words": pa.array(columns[2], pa.list_(pa.string()))})
+                               "at": pa.array(columns[2], pa.int32()),
+                               "words": pa.array(columns[3], pa.list_(pa.string()))})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
-    """Parameters; None without labelled texts of both kinds."""
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The model; None without labelled texts of both kinds."""
     rows = training_sample(docs, labels).toArrow()
     ids, toxic = (rows.column(c).to_numpy() for c in ("doc_id", "toxic"))
     if len(set(toxic.tolist())) < 2:
         return None
-    # in a fixed order, so that a rerun gives the same parameters
-    words = rows.column("words").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], words[i]))
-    memory: dict[str, list[int]] = {}
-    features = np.zeros((len(ids), WINDOW, 1 + PIECES), np.int32)
-    for row, i in enumerate(order):
-        for j, word in enumerate(words[i]):
-            if word not in memory:
-                memory[word] = word_features(word)
-            features[row, j] = memory[word]
-    mask = features[..., 0] > 0
-    mask[:, 0] = True
+    # rows and words in a fixed order, so that a rerun gives the same model
+    words = rows.column("words").combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    types = coded.dictionary.to_pylist()
+    ranks = np.empty(len(types), np.int64)
+    ranks[sorted(range(len(types)), key=types.__getitem__)] = np.arange(1, len(types) + 1)
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    windows = np.zeros((len(ids), WINDOW), np.int64)
+    windows[np.arange(WINDOW) < sizes[:, None]] = ranks[coded.indices.to_numpy()]
+    order = np.lexsort((rows.column("at").to_numpy(), ids))
+    windows = windows[order]
     unique, docs_of = np.unique(ids[order], return_inverse=True)
     label = np.zeros(len(unique), np.float32)
     label[docs_of] = toxic[order]
-    return trained(features, mask, docs_of, label)
+    return trained(["", *sorted(types)], windows, docs_of, label)
 
 
 # ---- scoring ------------------------------------------------------------------------------
 
 class _Words(dict):
-    def __init__(self):
+    def __init__(self, rows: dict[str, int]):
         super().__init__()
-        self.features: list[list[int]] = [[0] * (1 + PIECES)]
+        self._rows = rows
+        self.features: list[list[int]] = [word_features("", rows)]
 
     def __missing__(self, chunk: str) -> int:
         place = self[chunk] = len(self.features)
-        self.features.append(word_features(chunk))
+        self.features.append(word_features(chunk, self._rows))
         return place
 
 
 class Scorer:
-    """Scores of texts. A word's input to the gates is computed once and remembered."""
+    """Scores of texts. A word's part in the gates is computed once and remembered."""
 
-    def __init__(self, parameters: dict[str, np.ndarray]):
-        self._p = parameters
+    def __init__(self, model: dict):
+        self._p, self._rows = model["network"], model["rows"]
         self._forget()
 
     def _forget(self) -> None:
-        self._words = _Words()
+        self._words = _Words(self._rows)
         self._gates = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
-        self._empty = np.zeros(0, bool)
+        self._real = np.zeros(0, bool)
 
     def _catch_up(self) -> None:
-        known = len(self._empty)
+        known = len(self._real)
         if len(self._words.features) > known:
             fresh = np.array(self._words.features[known:], np.int32)
-            x = embedded(self._p, fresh)
-            self._gates = [np.concatenate([g, x @ self._p[f"in_{s}"] + self._p[f"bias_{s}"]])
-                           for g, s in zip(self._gates, ("f", "b"))]
-            self._empty = np.concatenate([self._empty, fresh[:, 0] == 0])
+            self._gates = [np.concatenate(pair) for pair in zip(self._gates, word_gates(self._p, fresh))]
+            self._real = np.concatenate([self._real, fresh[:, 0] >= 0])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -357,14 +377,11 @@ class Scorer:
     def _score(self, windows: list, owners: list, out: np.ndarray) -> None:
         self._catch_up()
         grid, owner = np.concatenate(windows), np.concatenate(owners)
+        some = self._real[grid].any(axis=1)
+        grid, owner = grid[some], owner[some]
         for i in range(0, len(grid), _SCORED_AT_ONCE):
-            part = grid[i:i + _SCORED_AT_ONCE].T
-            mask = ~self._empty[part]
-            some = mask.any(axis=0)
-            if some.any():
-                part, mask = part[:, some], mask[:, some]
-                score = pooled_scores(self._p, self._gates[0][part], self._gates[1][part], mask[:, :, None])
-                np.maximum.at(out, owner[i:i + _SCORED_AT_ONCE][some], score.astype(np.float64))
+            score = _grid_scores(self._p, self._gates, self._real, grid[i:i + _SCORED_AT_ONCE])
+            np.maximum.at(out, owner[i:i + _SCORED_AT_ONCE], score.astype(np.float64))
 
 
 _scorers: dict[int, Scorer] = {}
@@ -381,9 +398,9 @@ def _scorer(shared) -> Scorer | None:
     return _scorers[key]
 
 
-def with_score(docs: DataFrame, parameters: dict[str, np.ndarray] | None, name: str = "score") -> DataFrame:
+def with_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score of ``text`` in a column of an unused name, the last one."""
-    shared = docs.sparkSession.sparkContext.broadcast(parameters)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     column = unused_name(docs.columns, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     text = docs.columns.index("text")
