@@ -12,8 +12,8 @@ window with the largest score stands for it, then the network is fitted to those
 The first choice, and the start of the embeddings' first component, come from the
 log-odds of words and pieces in the training sample. The sample is bounded: of each
 label the document with the smallest hash in each of ``BUCKETS[label]`` hash buckets,
-and ``SAMPLE_WINDOWS`` windows of a document, evenly spaced, when it has more. Only
-the fit is on the driver; scoring is spread over the executors and reads all texts.
+and ``SAMPLE_WINDOWS`` windows of a document, evenly spaced, when it has more. The
+fit is one task; scoring is spread over the executors and reads all texts.
 
 Defined results: a text without words scores 0; without labels of both kinds every
 text does; null labels and null ids are not learned; an empty table gives no rows.
@@ -22,11 +22,14 @@ Other columns of the input are kept by ``with_score`` and may have any name.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,23 +54,31 @@ SEED = 7
 _SCORED_AT_ONCE = 4096
 _MAX_WORDS = 300_000
 _PRIOR = 2.0
+_SAMPLE = "doc_id long, toxic int, words array<string>"
+_SAMPLE_TYPE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 # ---- words ---------------------------------------------------------------------------
 
-def word_names(chunk: str) -> list[str]:
-    """A word and its pieces, by the names under which their embeddings are kept."""
+def word_names(chunk: str) -> list[int]:
+    """Hashes that name a word and its pieces; 0 for a piece as long as the word or longer."""
     word = _EDGE.sub("", chunk).lower()
     if not word:
-        return []
-    return ["=" + word, *["<" + word[:n] for n in PREFIXES], *[">" + word[-n:] for n in SUFFIXES]]
+        return [0] * (1 + PIECES)
+    names = [_name("=" + word)]
+    names += [_name("<" + word[:n]) if len(word) >= n else 0 for n in PREFIXES]
+    return names + [_name(">" + word[-n:]) if len(word) >= n else 0 for n in SUFFIXES]
 
 
-def word_features(chunk: str, rows: dict[str, int]) -> list[int]:
+def _name(piece: str) -> int:
+    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) | 1
+
+
+def word_features(chunk: str, rows: dict[int, int]) -> list[int]:
     """Rows of the embeddings of a word and its pieces; row 0 is nothing known, -1 no word."""
     names = word_names(chunk)
-    return [rows.get(n, 0) for n in names] if names else [-1] + [0] * PIECES
+    return [rows.get(n, 0) for n in names] if names[0] else [-1] + [0] * PIECES
 
 
 def window_starts(words: int) -> range:
@@ -191,34 +202,39 @@ def gradients(p: dict, features: np.ndarray, mask: np.ndarray, labels: np.ndarra
 
 # ---- training ----------------------------------------------------------------------------
 
-def _rows_and_odds(types: list[list[str]], windows: np.ndarray, docs: np.ndarray,
-                   toxic: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """Embedding rows of names that enough documents hold, and the rows' shrunk log-odds."""
-    names: dict[str, int] = {}
-    members = [[names.setdefault(n, len(names)) for n in t] for t in types]
-    held = np.unique(docs[:, None] * np.int64(len(types)) + windows)  # document and word, once each
-    doc, word = held // len(types), held % len(types)
-    sizes = np.array([len(m) for m in members])
-    flat = np.fromiter((x for m in members for x in m), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(int(sizes[word].sum())) + np.repeat(starts[word] - (np.cumsum(sizes[word]) - sizes[word]), sizes[word])
-    pairs = np.unique(np.repeat(doc, sizes[word]) * np.int64(len(names)) + flat[at])
-    hot = toxic[pairs // len(names)] == 1
-    yes, no = (np.bincount(pairs[x] % len(names), minlength=len(names)) for x in (hot, ~hot))
-    odds = np.log((yes + _PRIOR * toxic.mean()) / (no + _PRIOR * (1 - toxic.mean()))) - np.log(toxic.mean() / (1 - toxic.mean()))
-    kept = np.flatnonzero(yes + no >= LEAST_DOCUMENTS)
-    row_of = np.zeros(len(names), np.int64)
-    row_of[kept] = np.arange(1, len(kept) + 1)
-    rows = {n: int(row_of[i]) for n, i in names.items() if row_of[i]}
-    return rows, np.concatenate([[0.0], odds[kept]]).astype(np.float32)
+def _rows_and_odds(names: np.ndarray, windows: np.ndarray, docs: np.ndarray,
+                   toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
+    """Embedding rows of names that enough documents hold, and the rows' shrunk log-odds.
+
+    ``names`` are those of the word types; a kind of name after the other, for memory.
+    """
+    held = np.unique(docs[:, None] * np.int64(len(names)) + windows)  # document and word, once each
+    doc, word = held // len(names), held % len(names)
+    share = toxic.mean()
+    rows: dict[int, int] = {}
+    odds = [np.zeros(1)]
+    for kind in names.T:
+        known, place = np.unique(kind, return_inverse=True)
+        pairs = np.unique(doc * np.int64(len(known)) + place[word])
+        hot = toxic[pairs // len(known)] == 1
+        yes, no = (np.bincount(pairs[x] % len(known), minlength=len(known)) for x in (hot, ~hot))
+        kept = np.flatnonzero((yes + no >= LEAST_DOCUMENTS) & (known > 0))
+        rows.update(zip(known[kept].tolist(), range(len(rows) + 1, len(rows) + 1 + len(kept))))
+        odds.append(np.log((yes[kept] + _PRIOR * share) / (no[kept] + _PRIOR * (1 - share))) - np.log(share / (1 - share)))
+    return rows, np.concatenate(odds).astype(np.float32)
 
 
 def trained(types: list[str], windows: np.ndarray, docs: np.ndarray, toxic: np.ndarray,
             epochs: int = EPOCHS) -> dict:
     """A model from sample windows: word numbers (0 is none) per row, documents, labels."""
     rng = np.random.default_rng(SEED)
-    rows, odds = _rows_and_odds([word_names(t) for t in types], windows, docs, toxic)
-    features = np.array([word_features(t, rows) for t in types], np.int32)
+    names = np.empty((len(types), 1 + PIECES), np.uint64)
+    for i, word in enumerate(types):
+        names[i] = word_names(word)
+    rows, odds = _rows_and_odds(names, windows, docs, toxic)
+    features = np.empty(names.shape, np.int32)
+    for i, word in enumerate(types):
+        features[i] = word_features(word, rows)
     real = features[:, 0] >= 0
     some = real[windows].any(axis=1)
     windows, docs = windows[some], docs[some]
@@ -267,55 +283,59 @@ def learned(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, buckets: dict[int, int] = BUCKETS) -> DataFrame:
-    """(doc_id, toxic, words): windows of at most ``buckets[toxic]`` documents per label."""
+    """(doc_id, toxic, windows) of at most ``buckets[toxic]`` documents per label."""
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learned(F.col("doc_id")))
+    bucket = F.when(F.col("toxic") == 1, F.pmod(order, F.lit(buckets[1]))).otherwise(F.pmod(order, F.lit(buckets[0])))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(
-        docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(
-        "toxic", F.when(F.col("toxic") == 1, F.pmod(order, F.lit(buckets[1]))).otherwise(
-            F.pmod(order, F.lit(buckets[0]))).alias("bucket")).agg(
+        docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("toxic", bucket.alias("bucket")).agg(
         F.min(F.struct(order.alias("h"), F.col("doc_id"))).alias("first")).select("toxic", "first.doc_id")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    return texts.mapInArrow(_sample_windows, "doc_id long, toxic int, at int, words array<string>")
+    return texts.mapInArrow(_sample_windows, _SAMPLE)
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's windows in a row, each filled up to its full length with empty words."""
     for batch in batches:
         rows = []
-        for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
+        for text in batch.column("text").to_pylist():
             words = text.split()
             starts = window_starts(len(words)) if words else range(0)
             if len(starts) > SAMPLE_WINDOWS:
                 starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS)]
-            rows += [(doc, toxic, s, words[s:s + WINDOW]) for s in starts]
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.record_batch({"doc_id": pa.array(columns[0], pa.int64()), "toxic": pa.array(columns[1], pa.int32()),
-                               "at": pa.array(columns[2], pa.int32()),
-                               "words": pa.array(columns[3], pa.list_(pa.string()))})
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model; None without labelled texts of both kinds."""
-    rows = training_sample(docs, labels).toArrow()
-    ids, toxic = (rows.column(c).to_numpy() for c in ("doc_id", "toxic"))
-    if len(set(toxic.tolist())) < 2:
-        return None
-    # rows and words in a fixed order, so that a rerun gives the same model
-    words = rows.column("words").combine_chunks()
-    coded = words.flatten().dictionary_encode()
+            cut = [words[s:s + WINDOW] for s in starts]
+            rows.append([w for c in cut for w in c + [""] * (WINDOW - len(c))])
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
+                               "words": pa.array(rows, pa.list_(pa.string()))})
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the whole sample, pickled; nothing without texts of both labels."""
+    table = pa.Table.from_batches(list(batches), _SAMPLE_TYPE)
+    table = table.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids, toxic = (table.column(c).to_numpy() for c in ("doc_id", "toxic"))
+    sizes = pc.list_value_length(table.column("words")).to_numpy() // WINDOW
+    if len(set(toxic[sizes > 0].tolist())) < 2:
+        return
+    # words in a fixed order, so that a rerun gives the same model
+    coded = table.column("words").combine_chunks().flatten().dictionary_encode()
     types = coded.dictionary.to_pylist()
+    order = sorted(range(len(types)), key=types.__getitem__)
     ranks = np.empty(len(types), np.int64)
-    ranks[sorted(range(len(types)), key=types.__getitem__)] = np.arange(1, len(types) + 1)
-    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
-    windows = np.zeros((len(ids), WINDOW), np.int64)
-    windows[np.arange(WINDOW) < sizes[:, None]] = ranks[coded.indices.to_numpy()]
-    order = np.lexsort((rows.column("at").to_numpy(), ids))
-    windows = windows[order]
-    unique, docs_of = np.unique(ids[order], return_inverse=True)
+    ranks[order] = np.arange(len(types))
+    windows = ranks[coded.indices.to_numpy()].reshape(-1, WINDOW)
+    unique, docs = np.unique(ids, return_inverse=True)
     label = np.zeros(len(unique), np.float32)
-    label[docs_of] = toxic[order]
-    return trained(["", *sorted(types)], windows, docs_of, label)
+    label[docs] = toxic
+    model = trained([types[i] for i in order], windows, np.repeat(docs, sizes), label)
+    yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The model, fitted in one task on the bounded sample; None without both labels."""
+    rows = training_sample(docs, labels).repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else None
 
 
 # ---- scoring ------------------------------------------------------------------------------

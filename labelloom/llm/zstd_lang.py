@@ -1,9 +1,9 @@
 """Language by compression: the language whose dictionary makes a text smallest.
 
 Every language has a zstandard raw-content dictionary made of its training texts.
-A text is cut into blocks, all of it, and every block is compressed with every
-dictionary; the language with the fewest bytes over all blocks is predicted. The
-score is the winner's share when a byte more divides a language's weight by a fixed
+A text in lower case is cut into blocks, all of it, and every block is compressed
+with every dictionary; the language with the fewest bytes over all blocks is
+predicted. The score is the winner's share when a byte more divides a language's weight by a fixed
 factor, per block so that long texts are not certain by length alone. Predictions
 whose margin over the second language is below ``MIN_MARGIN`` of the winner's bytes
 are flagged ``rejected``.
@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import staged
-
 BUCKETS = 128
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 192 << 10
 BLOCK_BYTES = 2048
 MIN_MARGIN = 0.01
 UNDETERMINED = "und"
-_LEVEL = 1
+_LEVEL = 6
 _BYTES_PER_E = 4.0
 _LETTER = re.compile(r"[^\W\d_]")
 _PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
@@ -48,14 +46,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(lang, text): at most ``buckets`` whole texts per language, none held out."""
+    """(lang, h, text): at most ``buckets`` texts per language, none held out.
+
+    No more of a text is sent than a dictionary can hold.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                       & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("zstd"), "doc_id")
     picked = rows.select("lang", "doc_id", order.alias("h")).groupBy(
         "lang", F.pmod("h", F.lit(buckets)).alias("bucket")).agg(
         F.min(F.struct("h", "doc_id")).alias("first")).select("lang", "first.doc_id", "first.h")
-    return rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "h", "text")
+    return rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"]).select(
+        "lang", "h", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
@@ -63,7 +65,7 @@ def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     rows = training_sample(docs).orderBy("lang", "h").toArrow()
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
-        texts.setdefault(lang, []).append(text.encode())
+        texts.setdefault(lang, []).append(text.lower().encode())
     return {lang: b"\n".join(parts)[:DICTIONARY_BYTES] for lang, parts in sorted(texts.items())}
 
 
@@ -82,7 +84,7 @@ class Classifier:
 
     def sizes(self, text: str) -> tuple[np.ndarray, int]:
         """Compressed bytes per language over all blocks, and the number of blocks."""
-        data = text.encode()
+        data = text.lower().encode()
         blocks = [data[i:i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         return np.array([sum(len(c(b)) for b in blocks) for c in self._compress], np.float64), len(blocks)
 
