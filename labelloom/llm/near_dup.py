@@ -19,8 +19,9 @@
    is a bound that no link breaks, and a sharp one for sets of a few hundred. What
    passes is confirmed on the whole shingle sets.
 
-Texts of one repeated id count as linked. Rows without an id link with nothing and
-have no component. Texts without words have an empty set and link with nothing. An
+Classes are named by their smallest id; of several texts of one repeated id those that
+are smallest in their class count as linked, and each row has the component of its
+text. Rows without an id link with nothing and have no component. Texts without words have an empty set and link with nothing. An
 empty table gives no rows. Other columns of the input are ignored.
 """
 
