@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from labelloom.llm.memories import remembered
+
 SHINGLE = 5
 _MAX_WORDS = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -19,9 +21,6 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
-
-
 def mixed_bits(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -31,9 +30,10 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, remembered up to a bound."""
-    if len(_words) > _MAX_WORDS:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = remembered("word hashes", _WordHashes)
+    if len(known) > _MAX_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

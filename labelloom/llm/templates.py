@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import staged
+from labelloom.llm.memories import remembered
 from labelloom.llm.shingles import windows
 
 WIDTH = 8
 LEAST_TOKENS = 4
 LEAST_COVERAGE = 0.5
 BLOCK = 4_000_000
-_MAX_CHUNKS = 400_000
+_MAX_CHUNKS = 300_000
 
 # Units that may follow a number.
 UNITS = frozenset("""
@@ -84,21 +85,15 @@ def _pieces(chunk: str) -> tuple[list[tuple[int, int, bool, bool]], bool]:
 
 
 class _Chunks(dict):
-    """Number of a chunk; its tokens lie in the flat lists."""
+    """Number of a chunk; what new chunks mean waits in lists."""
 
     def __init__(self):
         super().__init__()
-        self.tokens: list[tuple[int, int, bool, bool]] = []
-        self.ends: list[bool] = []
-        self.sizes: list[int] = []
-        self._array: tuple | None = None
+        self.new: list[tuple[list[tuple[int, int, bool, bool]], bool]] = []
 
     def __missing__(self, chunk: str) -> int:
-        tokens, ends = _pieces(chunk)
-        self.tokens += tokens
-        self.sizes.append(len(tokens))
-        self.ends.append(ends)
-        place = self[chunk] = len(self.sizes) - 1
+        place = self[chunk] = len(self)
+        self.new.append(_pieces(chunk))
         return place
 
 
@@ -116,14 +111,13 @@ class TemplateReader:
         self._ends = np.zeros(0, bool)
 
     def _catch_up(self) -> None:
-        c = self._chunks
-        if len(c.sizes) > len(self._ends):
-            known, done = len(self._ends), len(self._hash)
-            fresh = c.tokens[done:]
-            self._hash = np.concatenate([self._hash, np.array([t[0] for t in fresh], np.uint64)])
-            self._flags = np.concatenate([self._flags, np.array([t[1:] for t in fresh], np.uint8).reshape(-1, 3)])
-            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(c.sizes[known:])])
-            self._ends = np.concatenate([self._ends, np.array(c.ends[known:], bool)])
+        new, self._chunks.new = self._chunks.new, []
+        if new:
+            tokens = [t for pieces, _ in new for t in pieces]
+            self._hash = np.concatenate([self._hash, np.array([t[0] for t in tokens], np.uint64)])
+            self._flags = np.concatenate([self._flags, np.array([t[1:] for t in tokens], np.uint8).reshape(-1, 3)])
+            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(p) for p, _ in new])])
+            self._ends = np.concatenate([self._ends, np.array([e for _, e in new], bool)])
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: template hashes, kinds and slot values of its tokens."""
@@ -182,7 +176,7 @@ _HIT = "doc_id long, hash long, position long, slots array<long>"
 
 def _item_windows(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TemplateReader()
+        reader = remembered("templates", TemplateReader)
         for batch in batches:
             rows = []
             read = reader.read([t or "" for t in batch.column("text").to_pylist()])
@@ -202,7 +196,7 @@ def _item_windows(width: int):
 def _hits(wanted, widths: list[int]):
     """Document windows that are among the broadcast benchmark windows."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known = TemplateReader(), wanted.value
+        reader, known = remembered("templates", TemplateReader), wanted.value
         for batch in batches:
             docs, hashes, positions, slots = [], [], [], []
             read = reader.read([t or "" for t in batch.column("text").to_pylist()])

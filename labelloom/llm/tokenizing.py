@@ -15,6 +15,8 @@ from functools import cache
 
 import numpy as np
 
+from labelloom.llm.memories import remembered
+
 MAX_CHUNKS = 1_000_000
 _ENCODE_AT_ONCE = 4096
 
@@ -144,7 +146,6 @@ class ChunkEncoder:
         return np.fromiter(map(self._places.__getitem__, pieces), np.int64, len(pieces))
 
 
-@cache
 def chunk_encoder(path: str, keep_spaces: bool) -> ChunkEncoder:
     """The encoder of this Python worker; workers are reused, and so is what they know."""
-    return ChunkEncoder(path, keep_spaces)
+    return remembered(("chunks", path, keep_spaces), lambda: ChunkEncoder(path, keep_spaces))

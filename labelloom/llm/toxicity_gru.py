@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.llm.common import unused_name
+from labelloom.llm.memories import remembered
 
 WINDOW = 64
 STRIDE = 32
@@ -52,7 +53,7 @@ BATCH = 128
 RATE = 0.01
 SEED = 7
 _SCORED_AT_ONCE = 4096
-_MAX_WORDS = 300_000
+_MAX_WORDS = 200_000
 _PRIOR = 2.0
 _SAMPLE = "doc_id long, toxic int, words array<string>"
 _SAMPLE_TYPE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
@@ -297,6 +298,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, buckets: dict[int, int]
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's windows in a row, each filled up to its full length with empty words."""
+    remembered("toxicity fit", dict)
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
@@ -312,6 +314,7 @@ def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of the whole sample, pickled; nothing without texts of both labels."""
+    remembered("toxicity fit", dict)  # whatever else the worker kept goes
     table = pa.Table.from_batches(list(batches), _SAMPLE_TYPE)
     table = table.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     ids, toxic = (table.column(c).to_numpy() for c in ("doc_id", "toxic"))
@@ -325,6 +328,7 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranks = np.empty(len(types), np.int64)
     ranks[order] = np.arange(len(types))
     windows = ranks[coded.indices.to_numpy()].reshape(-1, WINDOW)
+    del table, coded
     unique, docs = np.unique(ids, return_inverse=True)
     label = np.zeros(len(unique), np.float32)
     label[docs] = toxic
@@ -335,20 +339,25 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model, fitted in one task on the bounded sample; None without both labels."""
     rows = training_sample(docs, labels).repartition(1).mapInArrow(_fitted, "model binary").collect()
-    return pickle.loads(rows[0]["model"]) if rows else None
+    if not rows:
+        return None
+    data = rows[0]["model"]
+    return {**pickle.loads(data), "key": xxhash.xxh3_64_intdigest(data)}
 
 
 # ---- scoring ------------------------------------------------------------------------------
 
 class _Words(dict):
-    def __init__(self, rows: dict[str, int]):
-        super().__init__()
+    """Number of a chunk; the features of new chunks wait in a list. Number 0 is no word."""
+
+    def __init__(self, rows: dict[int, int]):
+        super().__init__({"": 0})
         self._rows = rows
-        self.features: list[list[int]] = [word_features("", rows)]
+        self.new: list[list[int]] = [word_features("", rows)]
 
     def __missing__(self, chunk: str) -> int:
-        place = self[chunk] = len(self.features)
-        self.features.append(word_features(chunk, self._rows))
+        place = self[chunk] = len(self)
+        self.new.append(word_features(chunk, self._rows))
         return place
 
 
@@ -365,9 +374,9 @@ class Scorer:
         self._real = np.zeros(0, bool)
 
     def _catch_up(self) -> None:
-        known = len(self._real)
-        if len(self._words.features) > known:
-            fresh = np.array(self._words.features[known:], np.int32)
+        new, self._words.new = self._words.new, []
+        if new:
+            fresh = np.array(new, np.int32)
             self._gates = [np.concatenate(pair) for pair in zip(self._gates, word_gates(self._p, fresh))]
             self._real = np.concatenate([self._real, fresh[:, 0] >= 0])
 
@@ -404,20 +413,6 @@ class Scorer:
             np.maximum.at(out, owner[i:i + _SCORED_AT_ONCE], score.astype(np.float64))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer | None:
-    """The scorer of this Python worker for a broadcast model."""
-    if shared.value is None:
-        return None
-    key = id(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def with_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score of ``text`` in a column of an unused name, the last one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -426,7 +421,8 @@ def with_score(docs: DataFrame, model: dict | None, name: str = "score") -> Data
     text = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        model = shared.value
+        scorer = remembered(("toxicity", model["key"]), lambda: Scorer(model)) if model else None
         for batch in batches:
             texts = batch.column(text).to_pylist()
             found = scorer.scores(texts) if scorer else np.zeros(len(texts))

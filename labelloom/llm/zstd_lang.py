@@ -23,13 +23,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.memories import remembered
+
 BUCKETS = 128
 DICTIONARY_BYTES = 192 << 10
 BLOCK_BYTES = 2048
@@ -101,17 +102,12 @@ class Classifier:
         return self.languages[best], score, margin, margin < MIN_MARGIN
 
 
-@cache
-def _classifier(contents: tuple[tuple[str, bytes], ...]) -> Classifier:
-    return Classifier(dict(contents))
-
-
 def predictions(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, margin, rejected) for every row."""
     contents = docs.sparkSession.sparkContext.broadcast(tuple(dictionaries(docs).items()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = _classifier(contents.value)
+        classifier = remembered(("languages", contents.value), lambda: Classifier(dict(contents.value)))
         for batch in batches:
             found = [classifier.predict(t) for t in batch.column("text").to_pylist()]
             lang, score, margin, rejected = zip(*found) if found else ((), (), (), ())
