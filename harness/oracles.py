@@ -252,7 +252,7 @@ FROM training GROUP BY 1""",
     "multi_label_documents": _with(*BUILD) + """
 SELECT source_id, title, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels,
        count(*) AS row_count, CAST(count(DISTINCT label) AS INTEGER) AS label_count
-FROM training GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY row_count DESC, source_id, title LIMIT 20""",
+FROM training GROUP BY 1, 2 HAVING count(*) > 1""",
     "document_inventory": """
 SELECT path, bytes FROM (
   SELECT '/' || source || '/Doc_' || doc_id || CASE lang WHEN 'en' THEN '.PDF' WHEN 'de' THEN '.pdf'
@@ -354,8 +354,12 @@ FROM (SELECT d.doc_id, text, source, quality, {LONG_WORDS} AS terms,
                   WHEN contains(text, '}}') THEN 'invalid_json' ELSE 'no_json' END AS parse_status
       FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
     "prompt_text": """
-SELECT doc_id, 'Summarise the document.' || chr(10) || chr(10) || '<<<' || chr(10)
-       || substr(text, 1, 30000) || chr(10) || '>>>' AS prompt FROM documents""",
+SELECT doc_id, part::INTEGER AS part, parts::INTEGER AS parts,
+       'Summarise the document.' || chr(10) || chr(10) || '<<<' || chr(10)
+       || substr(text, (part - 1) * 30000 + 1, 30000) || chr(10) || '>>>' AS prompt
+FROM (SELECT doc_id, text, parts, unnest(range(1, parts + 1)) AS part
+      FROM (SELECT doc_id, coalesce(text, '') AS text,
+                   greatest(1, (length(coalesce(text, '')) + 29999) // 30000) AS parts FROM documents))""",
     "ranked_predictions": _with(PREDICTIONS) + f"""
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, class, {_r6('p', 'probability')}
 FROM ranking WHERE experiment = 'combined'""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harness import roles
 from labelloom.functions.cleaning import clean_text
-from labelloom.functions.replies import prompt_text
+from labelloom.functions.replies import prompt_parts
 from labelloom.functions.text import name_stem
 from labelloom.model.classifier import fit_classifier
 from labelloom.operators import evaluation as E
@@ -223,7 +223,7 @@ def reply_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     return roles.read(spark, d, "documents").select(
-        "doc_id", prompt_text(F.col("text"), "Summarise the document.").alias("prompt"))
+        "doc_id", F.inline(prompt_parts(F.col("text"), "Summarise the document.")))
 
 
 def ranked_predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +280,7 @@ def experiment_results(spark: SparkSession, d: str) -> DataFrame:
     split = roles.stored(spark, d, "split", lambda s, p: experiments.split_rows(
         roles.stored_training(s, p)))
     predictions, _ = experiments.run_experiments(split)
-    return experiments.experiment_comparison(predictions)
+    return experiments.comparison_of_all(predictions)
 
 
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:

@@ -8,29 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed limits and the fields of a reply.
+# The service's limit and the fields of a reply.
 PROMPT_TEXT_LIMIT = 30_000
-ERROR_TEXT_LIMIT = 300
-NO_JSON_TEXT_LIMIT = 200
 REPLY_FIELDS = ("summary", "key_terms", "llm_confidence", "llm_confidence_reason")
 _REPLY_TYPE = ("summary string, key_terms array<string>, llm_confidence string, "
                "llm_confidence_reason string")
 _STRICT = {"allowSingleQuotes": "false"}
 
-DEFAULT_INSTRUCTION = (
-    "Summarise what the document between the markers says, in plain prose, with its own "
-    "technical words. Leave out headers, signatures and authorship, and say nothing about which "
-    "category or unit it belongs to. Answer with one JSON object holding summary (string), "
-    "key_terms (list of strings), llm_confidence (high, medium or low) and "
-    "llm_confidence_reason (string)."
-)
+def prompt_parts(text: Column, instruction: str, limit: int = PROMPT_TEXT_LIMIT) -> Column:
+    """Prompts for a whole document, as an array of (part, parts, prompt).
 
-
-def prompt_text(text: Column, instruction: str = DEFAULT_INSTRUCTION,
-                limit: int = PROMPT_TEXT_LIMIT) -> Column:
-    """Instruction plus the document; the service takes ``limit`` characters."""
-    return F.concat(F.lit(instruction + "\n\n<<<\n"),
-                    F.substring(F.coalesce(text, F.lit("")), 1, limit), F.lit("\n>>>"))
+    The service takes ``limit`` characters, so a longer document is sent in parts;
+    every character is in exactly one. An empty or null document is one empty part.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    parts = F.greatest(F.lit(1), F.ceil(F.length(whole) / limit)).cast("int")
+    return F.transform(F.sequence(F.lit(1), parts), lambda i: F.struct(
+        i.alias("part"), parts.alias("parts"),
+        F.concat(F.lit(instruction + "\n\n<<<\n"),
+                 F.substring(whole, (i - 1) * limit + 1, F.lit(limit)), F.lit("\n>>>")).alias("prompt")))
 
 
 def message_content(envelope: Column) -> Column:

@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG_VALUE = 64
-
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Rows, nulls, distinct values and repeats of every column in one pass.
 
     Each row becomes one (column, value) pair per column; pairs are counted
     before the shuffle, so a value shared by a third of the rows is one row per
-    map task. Long values travel as their SHA-256.
+    map task. Values travel as their SHA-256. A table without rows has a row of zeros
+    for every column.
     """
     text = {f.name: (F.to_json(F.struct(f.name)) if f.dataType.typeName() in
                      ("array", "map", "struct") else F.col(f.name).cast("string"))
             for f in df.schema.fields}
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("column_name"),
-                 F.when(F.col(name).isNotNull(),
-                        F.when(F.length(value) > LONG_VALUE, F.sha2(value, 256)).otherwise(value))
-                 .alias("value"))
+                 F.when(F.col(name).isNotNull(), F.sha2(value, 256)).alias("value"))
         for name, value in text.items()
     ])).alias("pair")).select("pair.*")
     counts = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     filled = F.col("value").isNotNull()
-    return counts.groupBy("column_name").agg(
+    found = counts.groupBy("column_name").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("nulls"),
         F.count("value").alias("distinct_values"),
         F.sum(F.when(filled, F.col("n") - 1).otherwise(0)).alias("repeats"),
     )
+    names = df.sparkSession.createDataFrame([(name,) for name in text], "column_name string")
+    return names.join(found, "column_name", "left").select("column_name", *[
+        F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found.columns[1:]])
 
 
 def schema_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def leakage_flags(training: DataFrame) -> DataFrame:
                                          F.sum(found).alias("with_label_in_text"))
 
 
-def repeated_documents(training: DataFrame, rows: int = 20) -> DataFrame:
+def repeated_documents(training: DataFrame) -> DataFrame:
     """Documents with more than one training row, most rows first.
 
     Rows repeat for several labels or for several summaries of one stem, so the
@@ -54,5 +54,5 @@ def repeated_documents(training: DataFrame, rows: int = 20) -> DataFrame:
     return (
         groups.where(F.col("row_count") > 1)
         .withColumn("label_count", F.size("labels"))
-        .orderBy(F.desc("row_count"), "source_id", "title").limit(rows)
+        .orderBy(F.desc("row_count"), "source_id", "title")
     )

@@ -80,6 +80,13 @@ def experiment_comparison(predictions: DataFrame) -> DataFrame:
                                "baseline", "combined")
 
 
+def comparison_of_all(predictions: DataFrame) -> DataFrame:
+    """The comparison with a ``status``; an experiment with too few texts has null metrics."""
+    names = predictions.sparkSession.createDataFrame([(n,) for n in experiment_texts()], "experiment string")
+    compared = experiment_comparison(predictions).withColumn("status", F.lit("fitted"))
+    return names.join(compared, "experiment", "left").fillna({"status": "too few texts"})
+
+
 def fold_predictions(rows: DataFrame, text: str = "feature_text", folds: int = 5,
                      settings: Settings = Settings()) -> DataFrame:
     """Out-of-fold predictions; vocabulary and model are fitted anew per fold.

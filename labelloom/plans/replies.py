@@ -40,10 +40,9 @@ def parsed_replies(replies: DataFrame, envelope: bool = False) -> DataFrame:
     error = (
         F.when(F.col("parse_status") == "http_error",
                F.concat(F.lit("HTTP "), F.coalesce(F.col("status_code").cast("string"), F.lit("?")),
-                        F.lit(": "),
-                        F.substring(F.coalesce(body, F.lit("")), 1, R.ERROR_TEXT_LIMIT)))
+                        F.lit(": "), F.coalesce(body, F.lit(""))))
         .when(F.col("parse_status") == "no_json",
-              F.concat(F.lit("No JSON: "), F.substring("reply", 1, R.NO_JSON_TEXT_LIMIT)))
+              F.concat(F.lit("No JSON: "), F.col("reply")))
     )
     defaults = {
         "summary": F.lit(""),

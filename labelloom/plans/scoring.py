@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.replies import prompt_text
+from labelloom.functions.replies import prompt_parts
 from labelloom.functions.text import leading_terms, scoring_text
 from labelloom.functions.tiers import (
     below_quality_gate, confidence_band, needs_review, review_reason)
@@ -13,10 +13,10 @@ from labelloom.model.classifier import Classifier
 from labelloom.operators.ranking import by_probability
 
 
-def prompts(best: DataFrame) -> DataFrame:
-    """``doc_id, prompt`` for the documents that pass the quality gate."""
+def prompts(best: DataFrame, instruction: str) -> DataFrame:
+    """``doc_id, part, parts, prompt`` for the documents that pass the quality gate."""
     passing = best.where(~below_quality_gate(F.col("quality_score")))
-    return passing.select("doc_id", prompt_text(F.col("text")).alias("prompt"))
+    return passing.select("doc_id", F.inline(prompt_parts(F.col("text"), instruction)))
 
 
 def gated(best: DataFrame, replies: DataFrame) -> DataFrame:

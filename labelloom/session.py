@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -71,12 +72,14 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, a laptop) is a temporary folder
-    made and remembered for this session.
+    A local session that names none gets a temporary folder; elsewhere executors
+    would each write to a disk of their own, so there it is an error.
     """
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"name a folder that all executors share in {key}")
         folder = tempfile.mkdtemp(prefix="labelloom-")
         spark.conf.set(key, folder)
     return folder

@@ -25,5 +25,5 @@ def test_matches_sql(spark, db, name):
 def test_contract(spark):
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
-    assert set(contract.oracle_sql()) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) and set(ORACLES) <= set(QUERIES)
     assert contract.entry(spark).limit(1).count() == 1

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from labelloom.functions.replies import prompt_text
+from labelloom.functions.replies import prompt_parts
 from labelloom.plans.replies import parsed_replies
 
 OBJECT = {"summary": "s", "key_terms": ["a", "b"], "llm_confidence": "high",
@@ -53,9 +53,9 @@ def test_failed_calls(spark):
     df = spark.createDataFrame([(1, 500, "x" * 400), (2, None, BARE), (3, 200, "nothing" + "y" * 400)],
                                "doc_id int, status_code int, body string")
     rows = {r.doc_id: r for r in parsed_replies(df).collect()}
-    assert rows[1].parse_status == "http_error" and rows[1].error == "HTTP 500: " + "x" * 300
+    assert rows[1].parse_status == "http_error" and rows[1].error == "HTTP 500: " + "x" * 400
     assert rows[2].parse_status == "http_error" and rows[2].summary is None
-    assert rows[3].error == "No JSON: nothing" + "y" * 193
+    assert rows[3].error == "No JSON: nothing" + "y" * 400
 
 
 def test_response_envelope(spark):
@@ -65,7 +65,13 @@ def test_response_envelope(spark):
     assert (row.parse_status, row.summary, row.key_terms) == ("ok", "s", ["a", "b"])
 
 
-def test_prompt_takes_the_service_limit(spark):
-    df = spark.createDataFrame([("é" * 30_001,), (None,)], "t string")
-    long, empty = [r[0] for r in df.select(prompt_text(F.col("t"), "Go.")).collect()]
-    assert long == "Go.\n\n<<<\n" + "é" * 30_000 + "\n>>>" and empty == "Go.\n\n<<<\n\n>>>"
+def test_prompts_hold_every_character_once(spark):
+    texts = ["ab" * 15_000 + "é" * 30_001, None, "x" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = df.select("id", F.inline(prompt_parts(F.col("t"), "Go."))).collect()
+    head, tail = "Go.\n\n<<<\n", "\n>>>"
+    for i, text in enumerate(texts):
+        mine = sorted((r.part, r.parts, r.prompt) for r in rows if r.id == i)
+        assert [m[0] for m in mine] == list(range(1, mine[0][1] + 1))
+        assert "".join(m[2].removeprefix(head).removesuffix(tail) for m in mine) == (text or "")
+    assert sorted(r.id for r in rows) == [0, 0, 0, 1, 2]

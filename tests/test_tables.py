@@ -80,3 +80,9 @@ def test_repeated_documents_and_leakage(spark):
     assert got == [("1", ["Law", "Tax"], 2, 2), ("2", ["Law"], 2, 1)]
     flags = {r.label: (r.n, r.with_label_in_text) for r in checks.leakage_flags(df).collect()}
     assert flags == {"Law": (4, 1), "Tax": (1, 0)}
+
+
+def test_profile_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    rows = {r.column_name: tuple(r)[1:] for r in column_profile(empty).collect()}
+    assert rows == {"a": (0, 0, 0, 0), "b": (0, 0, 0, 0)}
