@@ -37,6 +37,7 @@ STEPS = 256
 BLOCK = LANES * STEPS
 SEGMENT_TOKENS = 1 << 21
 END_ID = 0
+CHARACTERS_AT_ONCE = 1 << 20
 
 _LOW = np.uint32(1 << 16)
 _BLOCK_TYPE = pa.struct([("ids", pa.int64()), ("offset", pa.int64()), ("crc", pa.int64())])
@@ -148,6 +149,19 @@ def decode_segment(table: np.ndarray, freqs: np.ndarray, payload: bytes, marks:
     return np.concatenate([table[row[:m["ids"]]] for row, m in zip(places, marks[first:last])])
 
 
+def _ids(encoder, texts: list[str]) -> Iterator[np.ndarray]:
+    """Ids of each text; a few texts are encoded at once, so that memory stays small."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin + 1, len(texts[begin])
+        while end < len(texts) and size + len(texts[end]) <= CHARACTERS_AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        flat, sizes = encoder.encode(texts[begin:end])
+        yield from np.split(flat, np.cumsum(sizes)[:-1])
+        begin = end
+
+
 def _segments(path: str, segment_tokens: int):
     """Encode a partition's sorted texts into segments."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +184,7 @@ def _segments(path: str, segment_tokens: int):
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            flat, sizes = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            for key, ids in zip(keys, np.split(flat, np.cumsum(sizes)[:-1])):
+            for key, ids in zip(keys, _ids(encoder, [t or "" for t in batch.column("text").to_pylist()])):
                 held.append(np.append(ids, np.uint32(END_ID)))
                 docs.append({"doc_id": key, "n": len(ids) + 1})
                 size += len(ids) + 1

@@ -17,7 +17,7 @@ import numpy as np
 
 from labelloom.llm.memories import remembered
 
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 900_000
 _ENCODE_AT_ONCE = 4096
 
 # A chunk takes one space before it, as the byte-level pattern does; of longer white
