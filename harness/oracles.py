@@ -227,6 +227,15 @@ SELECT docs.source_id, title, classification, doc_subtype, object_name, attachme
        regulation_names
 FROM docs LEFT JOIN paths ON paths.source_id = docs.source_id""",
     "training_rows": _with(*BUILD) + "SELECT * FROM training",
+    "training_rows_sliced": _with(*BUILD) + "SELECT * FROM training",
+    "experiment_texts": _with(*BUILD) + rf"""
+SELECT source_id, filename, label, baseline_text AS baseline, feature_text AS combined,
+       regexp_replace(summary || ' ' || doc_subtype, '^[{WS}]+|[{WS}]+$', '', 'g') AS summary_only,
+       summary || ' ' || replace(key_terms, '|', ' ') AS scoring
+FROM training""",
+    "part_counts": _with(HOLDOUT) + """
+SELECT label, CASE WHEN rn <= test_rows THEN 'test' ELSE 'train' END AS part, count(*) AS n
+FROM ranked JOIN held USING (label) GROUP BY ALL""",
     "label_distribution": _with(*BUILD) + """
 SELECT label, count(*) AS n,
        CAST(round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS DOUBLE) AS pct

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from harness import roles
 from labelloom.functions.cleaning import clean_text
 from labelloom.functions.replies import prompt_parts
-from labelloom.functions.text import name_stem
+from labelloom.functions.text import name_stem, scoring_text
 from labelloom.model.classifier import fit_classifier
 from labelloom.operators import evaluation as E
 from labelloom.operators import keyed, ranking, strata, terms
@@ -22,7 +22,7 @@ from labelloom.plans import invoices as invoice_plans
 from labelloom.plans.metadata import metadata, one_row_per_label
 from labelloom.plans.replies import parsed_replies
 from labelloom.plans.scoring import routed, score_documents
-from labelloom.plans.training import join_coverage, usable_summaries
+from labelloom.plans.training import join_coverage, training_rows as plain_training_rows, usable_summaries
 from labelloom.sources.inventory import documents_with_suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,13 +50,34 @@ def text_metadata(spark: SparkSession, d: str) -> DataFrame:
         joined_set("area_names"), joined_set("regulation_names"))
 
 
-def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    return roles.training(spark, d).withColumns({
+def _flat_training(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
         "regulation_names": joined_set("regulation_names"),
         "key_terms": F.array_join("key_terms", "|"),
     })
 
 
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _flat_training(roles.training(spark, d))
+
+
+def training_rows_sliced(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows with every repeated stem joined in slices."""
+    return _flat_training(plain_training_rows(roles.stored_metadata(spark, d), roles.summaries(spark, d), 1))
+
+
+def experiment_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The model text of each experiment, and the scoring text without metadata."""
+    texts = {**experiments.experiment_texts(), "scoring": scoring_text(F.col("summary"), F.col("key_terms"))}
+    return roles.stored_training(spark, d).select(
+        "source_id", "filename", "label", *[text.alias(name) for name, text in texts.items()])
+
+
+def part_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each class in the train and the test part."""
+    return stratified_split(spark, d).groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
     out = checks.distribution(roles.stored_training(spark, d), "label")
     return out.withColumn("pct", F.col("pct").cast("double"))
@@ -302,6 +323,9 @@ QUERIES: dict[str, Query] = {
     "metadata_sets": metadata_sets,
     "text_metadata": text_metadata,
     "training_rows": training_rows,
+    "training_rows_sliced": training_rows_sliced,
+    "experiment_texts": experiment_texts,
+    "part_counts": part_counts,
     "label_distribution": label_distribution,
     "classification_counts": classification_counts,
     "length_buckets": length_buckets,

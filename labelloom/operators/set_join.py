@@ -23,7 +23,10 @@ def names_of_ids(df: DataFrame, keys: list[str],
     """
     tags = F.concat(*[_tagged(F.col(ids), kind) for kind, (ids, _) in sets.items()])
     exploded = df.select(*keys, F.explode_outer(tags).alias("tag"))
-    tagged = exploded.select(*keys, F.col("tag.kind").alias("kind"), F.col("tag.id").alias("id"))
+    # A null id matches nothing; a salt in place of its set keeps such rows from one task.
+    salt = F.concat(F.lit("none "), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+    tagged = exploded.select(*keys, F.when(F.col("tag.id").isNull(), salt).otherwise(F.col("tag.kind"))
+                             .alias("kind"), F.col("tag.id").alias("id"))
     names = reduce(DataFrame.unionByName, [
         dim.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"),
                    F.col("name").alias("name"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Only this many of the largest keys are ever sliced, which bounds the broadcast
-# table of hot keys. Any further key is joined whole in one task, as usual.
-MAX_HOT_KEYS = 50_000
+from labelloom.session import stage
+
+PAIRS_PER_TASK = 4_000_000
 
 
 def key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -21,51 +23,53 @@ def key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full")
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, rows_per_task: int) -> DataFrame:
-    """Keys too large for one task and how many slices each side is cut into."""
-    largest = F.greatest("left_rows", "right_rows")
-    hot = (
-        key_counts(left, right, key).where(F.col(key).isNotNull()).na.fill(0)
-        .where(largest > rows_per_task).orderBy(largest.desc(), key).limit(MAX_HOT_KEYS)
-    )
-    return hot.select(key, *[
-        F.greatest(F.lit(1), F.ceil(F.col(f"{side}_rows") / rows_per_task)).cast("int")
-        .alias(f"{side}_slices") for side in ("left", "right")])
+def hot_keys(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int) -> DataFrame:
+    """Keys with too many rows or pairs for one task, and the slices of each side.
+
+    Two slices that meet form at most ``pairs_per_task`` pairs. A side that is small
+    itself stays whole; else both are cut to the square root of the limit.
+    """
+    n, m = F.coalesce("left_rows", F.lit(0)), F.coalesce("right_rows", F.lit(0))
+    square = math.isqrt(pairs_per_task)
+
+    def slices(own: Column, other: Column) -> Column:
+        size = F.greatest(F.lit(square), pairs_per_task / F.greatest(other, F.lit(1)))
+        return F.greatest(F.lit(1), F.ceil(own / size)).cast("int")
+
+    work = F.greatest(n.cast("double") * m, n.cast("double"), m.cast("double"))
+    return key_counts(left, right, key).where(F.col(key).isNotNull() & (work > pairs_per_task)).select(
+        key, slices(n, m).alias("left_slices"), slices(m, n).alias("right_slices"))
 
 
-def sliced_join(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = 1_000_000,
+def sliced_join(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int = PAIRS_PER_TASK,
                 right_keys: DataFrame | None = None) -> DataFrame:
     """Inner equi-join on ``key`` with hot keys cut into slices on both sides.
 
-    A row of a hot key takes one slice of its own side by hash and is repeated
-    once per slice of the other side, so every pair meets in exactly one task.
-    Other keys get one slice and are not repeated. The slice comes from the
-    row's own values, hence a retried task puts each row where it was before.
+    A row of a hot key takes one slice of its own side and is repeated once per
+    slice of the other side, so every pair meets in exactly one task. Rows of hot
+    keys are numbered and stored first: the number differs for equal rows, and a
+    retried task reads it back instead of making a new one. Other keys join plainly.
 
-    The keys are counted here, in one job that reads only them; without a hot
-    key the join is a plain one. ``right_keys`` may give the keys of a superset
-    of ``right`` that is cheaper to read.
+    Jobs run here while the plan is built: one that counts keys and reads only
+    them, and, with a hot key, those that store its rows. ``right_keys`` may give
+    the keys of a superset of ``right`` that is cheaper to read.
     """
-    hot_rows = hot_keys(left, right if right_keys is None else right_keys, key,
-                        rows_per_task).toArrow()
-    if hot_rows.num_rows == 0:
+    hot = stage(hot_keys(left, right if right_keys is None else right_keys, key, pairs_per_task),
+                "hot-keys")
+    if hot.isEmpty():
         return left.join(right, key, "inner")
-    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows))
-    keys = [key, "_left_slice", "_right_slice"]
-    a = _slice(left.where(F.col(key).isNotNull()), hot, key, "left", "right")
-    b = _slice(right.where(F.col(key).isNotNull()), hot, key, "right", "left")
-    return a.join(b, keys, "inner").drop("_left_slice", "_right_slice")
-
-
-def _slice(df: DataFrame, hot: DataFrame, key: str, own: str, other: str) -> DataFrame:
-    own_slices = F.col(f"{own}_slices")
-    slices = df.join(hot, key, "left").withColumns({
-        f"_{own}_slice": F.when(own_slices > 1, F.pmod(F.xxhash64(*df.columns), own_slices)
-                                .cast("int")).otherwise(0),
-        f"_{other}_slice": F.explode(
-            F.sequence(F.lit(0), F.coalesce(F.col(f"{other}_slices"), F.lit(1)) - 1)),
-    })
-    return slices.drop("left_slices", "right_slices")
+    plain = left.join(hot.select(key), key, "left_anti").join(right, key, "inner")
+    a, b = _sliced(left, hot, key, "left", "right"), _sliced(right, hot, key, "right", "left")
+    return plain.unionByName(
+        a.join(b, [key, "_left_slice", "_right_slice"], "inner").drop("_left_slice", "_right_slice"))
+
+
+def _sliced(df: DataFrame, hot: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    rows = stage(df.join(hot, key).withColumn("_row", F.monotonically_increasing_id()), f"hot-{own}")
+    return rows.withColumns({
+        f"_{own}_slice": F.pmod(F.xxhash64("_row"), F.col(f"{own}_slices")).cast("int"),
+        f"_{other}_slice": F.explode(F.sequence(F.lit(0), F.col(f"{other}_slices") - 1)),
+    }).drop("_row", "left_slices", "right_slices")
 
 
 def status_counts(left: DataFrame, right: DataFrame, key: str, status: Column,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed limits of the vocabulary.
@@ -72,20 +74,21 @@ def inverse_frequency(documents: Column, with_term: Column) -> Column:
 def tfidf_weights(grams: DataFrame, doc: str, terms: DataFrame) -> DataFrame:
     """``doc, term, weight``: sublinear TF times IDF, each document of length 1.
 
-    The vocabulary is broadcast: it has at most ``max_features`` rows. Grams
-    outside it go before the one exchange, which is by document and serves both
-    the counts and the norms; a document gives at most ``max_features`` rows.
+    The vocabulary, at most ``max_features`` rows, is collected while the plan is
+    built. A document's counts, weights and norm are made inside its row, so nothing
+    is exchanged by document. Terms are told by number until the last join.
     """
     documents = grams.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # A plain explode would have Spark test the list for being empty before it is
-    # built, which builds it twice. The join drops the null of an empty list.
-    counts = (
-        grams.select(doc, F.explode_outer("grams").alias("term"))
-        .join(F.broadcast(terms.select("term", "document_count")), "term")
-        .repartition(doc)
-        .groupBy(doc, "term", "document_count").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    raw = counts.select(doc, "term", ((1 + F.log("tf")) * inverse_frequency(
-        documents, F.col("document_count"))).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", (F.col("raw") / norm).alias("weight"))
+    known = terms.select("term", inverse_frequency(documents, F.col("document_count")).alias("idf")).collect()
+    if not known:
+        return grams.select(doc, F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+    counts = CountVectorizerModel.from_vocabulary([r.term for r in known], "grams", "tf")
+    scale = ElementwiseProduct(inputCol="tf", outputCol="scaled", scalingVec=Vectors.dense([r.idf for r in known]))
+    raw = scale.transform(counts.transform(grams.select(doc, "grams"))).select(
+        doc, F.unwrap_udt("tf").alias("tf"), F.unwrap_udt("scaled").alias("scaled")).select(
+        doc, F.col("tf.indices").alias("place"),
+        F.zip_with("tf.values", "scaled.values", lambda n, x: (1 + F.log(n)) * x / n).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
+    rows = raw.select(doc, norm.alias("norm"), F.inline(F.arrays_zip("place", "raw")))
+    names = grams.sparkSession.createDataFrame([(i, r.term) for i, r in enumerate(known)], "place int, term string")
+    return rows.join(F.broadcast(names), "place").select(doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))

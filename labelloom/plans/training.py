@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import baseline_text, feature_text, has_text, name_stem
 from labelloom.functions.tiers import match_status
-from labelloom.operators.stem_join import sliced_join, status_counts
+from labelloom.operators.stem_join import PAIRS_PER_TASK, sliced_join, status_counts
 from labelloom.plans.metadata import one_row_per_label
 
 SUMMARY_COLUMNS = ["filename", "text_length", "quality_score", "llm_confidence",
@@ -23,7 +23,8 @@ def usable_summaries(summaries: DataFrame) -> DataFrame:
     return finished_summaries(summaries).where(has_text(F.col("summary")))
 
 
-def training_rows(meta: DataFrame, summaries: DataFrame) -> DataFrame:
+def training_rows(meta: DataFrame, summaries: DataFrame,
+                  pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """One row per (document, label, matching summary) with its model texts.
 
     Feature text holds neither the label nor title and regulations, which give
@@ -36,7 +37,7 @@ def training_rows(meta: DataFrame, summaries: DataFrame) -> DataFrame:
     texts = usable_summaries(summaries).select(*SUMMARY_COLUMNS, stem)
     # Counting keys without the test for text leaves the texts unread.
     keys = finished_summaries(summaries).select(stem)
-    return sliced_join(labelled, texts, "stem", right_keys=keys).select(
+    return sliced_join(labelled, texts, "stem", pairs_per_task, keys).select(
         "source_id", "title", "object_name", "label", "classification", "doc_subtype",
         "regulation_names", *SUMMARY_COLUMNS,
         feature_text(F.col("doc_subtype"), F.col("classification"), F.col("summary"),

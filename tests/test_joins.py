@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from labelloom.operators.keyed import balanced_weights, dropped_classes, keep_frequent
 from labelloom.operators.keyed import smallest_per_key
 from labelloom.operators.set_join import names_of_ids
-from labelloom.operators.stem_join import fan_out, hot_keys, sliced_join, status_counts
+from labelloom.operators.stem_join import _sliced, fan_out, hot_keys, sliced_join, status_counts
 from labelloom.plans.metadata import metadata, one_row_per_label
 from labelloom.plans.training import training_rows
 
@@ -85,8 +85,17 @@ def test_sliced_join_keeps_every_pair(spark):
     for limit in (1, 7, 1000):
         got = sliced_join(left, right, "k", limit).select("k", "a", "b")
         assert Counter(tuple(r) for r in got.collect()) == want
-    slices = {r.k: (r.left_slices, r.right_slices) for r in hot_keys(left, right, "k", 10).collect()}
-    assert slices == {"hot": (4, 1), "both": (2, 2), "right": (1, 5)}
+    slices = {r.k: (r.left_slices, r.right_slices) for r in hot_keys(left, right, "k", 49).collect()}
+    assert slices == {"hot": (2, 1), "both": (3, 3), "right": (1, 2)}
+
+
+def test_sliced_join_of_equal_rows(spark):
+    """Equal rows of a hot key are dealt over its slices, and no pair is lost."""
+    left = spark.range(300).select(F.lit("hot").alias("k"), F.lit(1).alias("a"))
+    right = spark.range(20).select(F.lit("hot").alias("k"), F.lit(2).alias("b"))
+    assert sliced_join(left, right, "k", 400).count() == 6_000
+    rows = _sliced(left, hot_keys(left, right, "k", 400), "k", "left", "right")
+    assert rows.select("_left_slice").distinct().count() == 15
 
 
 def test_sliced_join_spreads_a_hot_key(spark):
