@@ -136,4 +136,4 @@ def test_scoring_routes_every_document(spark, training):
     for doc in (2, 3, 4, 6):
         assert rows[doc].prediction is None and rows[doc].top_probability is None
         assert rows[doc].review and rows[doc].review_reason and rows[doc].band is None
-    assert {r.doc_id for r in prompts(best).collect()} == {1, 3, 4, 5}
+    assert {r.doc_id for r in prompts(best, "Summarise the document.").collect()} == {1, 3, 4, 5}
