@@ -142,6 +142,23 @@ PAGE_CANDIDATES = rf"""candidates AS (
   FROM pages WHERE contains(html, '<article>')),
 cleaned AS (SELECT * EXCLUDE (raw), {_clean('raw')} AS text FROM candidates)"""
 
+TEXT_CANDIDATES = f"""candidates AS (
+  SELECT doc_id, 'plain' AS method, 1 AS priority, 1 AS pages, text AS raw FROM documents
+  UNION ALL SELECT doc_id, 'no digits', 2, 1, regexp_replace(text, '[0-9]+', '', 'g') FROM documents),
+cleaned AS (SELECT * EXCLUDE (raw), {_clean('raw')} AS text FROM candidates)"""
+GATED = """best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality_score DESC, priority) AS rn
+          FROM scored WHERE quality_score > 0),
+gated AS (
+  SELECT d.doc_id, method, pages, length(coalesce(b.text, '')) AS chars,
+         coalesce(quality_score, 0) AS quality_score,
+         CASE WHEN coalesce(quality_score, 0) < 0.40 THEN 'low_quality'
+              WHEN toxic = 1 OR lang = 'es' THEN 'failed_reply' ELSE 'ready' END AS state
+  FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND rn = 1
+  LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+USABLE = """usable AS (
+  SELECT CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT count(*) AS n FROM training GROUP BY label HAVING count(*) >= 5))"""
+
 # ---- classes, split, terms ----------------------------------------------------------------
 
 CLASSED = "classed AS (SELECT doc_id, lang || '/' || source AS label FROM documents)"
@@ -352,6 +369,7 @@ SELECT {_r6('m', 'mean')}, {_r6('s', 'std')}, {_r6('m - 2 * s', 'mean_minus_2sd'
        {_r6('m + 2 * s', 'mean_plus_2sd')} FROM summary""",
     "reply_parse": f"""
 SELECT doc_id, status_code, parse_status,
+       CASE parse_status WHEN 'http_error' THEN 'HTTP 500' WHEN 'no_json' THEN 'No JSON' END AS error,
        CASE WHEN parse_status = 'ok' THEN text END AS summary,
        CASE WHEN parse_status = 'ok' THEN coalesce(array_to_string(terms, '|'), '') END AS key_terms,
        CASE WHEN parse_status = 'ok' THEN CASE quality WHEN 1 THEN 'high' ELSE 'low' END END
@@ -362,6 +380,23 @@ FROM (SELECT d.doc_id, text, source, quality, {LONG_WORDS} AS terms,
              CASE WHEN toxic = 1 THEN 'http_error' WHEN lang <> 'es' THEN 'ok'
                   WHEN contains(text, '}}') THEN 'invalid_json' ELSE 'no_json' END AS parse_status
       FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
+    "training_sink": _with(*BUILD) + """
+SELECT count(*) AS written, count(*) AS stored, 17 AS columns FROM training""",
+    "gated_documents": _with(TEXT_CANDIDATES, _quality("cleaned"), GATED) + """
+SELECT doc_id, method, CAST(pages AS INTEGER) AS pages, CAST(chars AS INTEGER) AS chars, quality_score, state
+FROM gated""",
+    "fit_checks": _with(*BUILD, USABLE) + """
+SELECT experiment, rows, rows AS sums_to_one, rows AS likeliest, rows AS same_after_load
+FROM (SELECT (n * 20 + 99) // 100 AS rows FROM usable),
+     (VALUES ('baseline'), ('summary_only'), ('combined')) e(experiment)""",
+    "fold_checks": _with(*BUILD, USABLE) + """
+SELECT CAST(i AS INTEGER) AS fold, (n - i + 4) // 5 AS rows, (n - i + 4) // 5 AS sums_to_one,
+       (n - i + 4) // 5 AS likeliest
+FROM usable, range(5) folds(i)""",
+    "scored_states": _with(TEXT_CANDIDATES, _quality("cleaned"), GATED) + """
+SELECT state, count(*) AS rows, CASE WHEN state = 'ready' THEN count(*) ELSE 0 END AS predicted,
+       CASE WHEN state = 'ready' THEN count(*) ELSE 0 END AS ranked,
+       CASE WHEN state = 'ready' THEN 0 ELSE count(*) END AS waiting FROM gated GROUP BY state""",
     "prompt_text": """
 SELECT doc_id, part::INTEGER AS part, parts::INTEGER AS parts,
        'Summarise the document.' || chr(10) || chr(10) || '<<<' || chr(10)

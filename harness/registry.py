@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,10 @@ from labelloom.plans import checks, experiments
 from labelloom.plans import invoices as invoice_plans
 from labelloom.plans.metadata import metadata, one_row_per_label
 from labelloom.plans.replies import parsed_replies
-from labelloom.plans.scoring import routed, score_documents
+from labelloom.plans.scoring import gated, routed, score_documents
 from labelloom.plans.training import join_coverage, training_rows as plain_training_rows, usable_summaries
 from labelloom.sources.inventory import documents_with_suffix
+from labelloom.sources.tables import overwrite_table, stored_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,8 +240,10 @@ def fold_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_parse(spark: SparkSession, d: str) -> DataFrame:
-    return parsed_replies(roles.replies(spark, d)).drop("error").withColumn(
-        "key_terms", F.array_join("key_terms", "|"))
+    """Parsed replies; of an error its kind, as it goes on with the reply's whole text."""
+    return parsed_replies(roles.replies(spark, d)).withColumns({
+        "key_terms": F.array_join("key_terms", "|"),
+        "error": F.substring_index("error", ":", 1)})
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -296,11 +300,57 @@ def schema_diff(spark: SparkSession, d: str) -> DataFrame:
     return table_diff(roles.read(spark, d, "documents"), other)
 
 
+def _stored_split(spark: SparkSession, d: str) -> DataFrame:
+    return roles.stored(spark, d, "split", lambda s, p: experiments.split_rows(
+        roles.stored_training(s, p)))
+
+
+def training_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The training table written to a catalog table twice, its counts, the table removed."""
+    name = f"training_{uuid.uuid4().hex}"
+    rows = roles.stored_training(spark, d)
+    try:
+        overwrite_table(rows.select("source_id"), name)
+        written = overwrite_table(rows, name)
+        counts = (written, stored_rows(spark, name), len(spark.table(name).columns))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.createDataFrame([counts], "written long, stored long, columns int")
+
+
+def _best_texts(spark: SparkSession, d: str) -> DataFrame:
+    return best_candidates(roles.read(spark, d, "documents"), roles.text_candidates(spark, d))
+
+
+def gated_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of every document before a model sees it."""
+    states = gated(_best_texts(spark, d), parsed_replies(roles.replies(spark, d)))
+    return states.select("doc_id", "method", "pages", "chars", "quality_score", "state")
+
+
+def fit_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Properties that the fitted experiments' predictions must have, as row counts."""
+    return experiments.reload_checks(_stored_split(spark, d))
+
+
+def fold_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The same properties of the out-of-fold predictions."""
+    rows = roles.stored(spark, d, "fold-rows", lambda s, p: strata.with_folds(
+        experiments.model_rows(roles.stored_training(s, p)), "label", experiments.IDENTITY))
+    return experiments.prediction_checks(experiments.fold_predictions(rows), "fold")
+
+
+def scored_states(spark: SparkSession, d: str) -> DataFrame:
+    """Scored documents per state: those with a prediction, and those sent to review without one."""
+    return scored_documents(spark, d).groupBy("state").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("predicted"),
+        F.count("ranking").alias("ranked"),
+        F.count_if(F.col("review") & F.col("prediction").isNull()).alias("waiting"))
+
+
 def experiment_results(spark: SparkSession, d: str) -> DataFrame:
     """Three fitted experiments on the training table, compared."""
-    split = roles.stored(spark, d, "split", lambda s, p: experiments.split_rows(
-        roles.stored_training(s, p)))
-    predictions, _ = experiments.run_experiments(split)
+    predictions, _ = experiments.run_experiments(_stored_split(spark, d))
     return experiments.comparison_of_all(predictions)
 
 
@@ -313,7 +363,7 @@ def scored_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = experiments.model_rows(roles.stored_training(spark, d))
     model = fit_classifier(rows, "feature_text")
     documents = roles.read(spark, d, "documents")
-    best = best_candidates(documents, roles.text_candidates(spark, d))
+    best = _best_texts(spark, d)
     info = documents.select("doc_id", roles.size_class(F.col("n_chars")).alias("doc_subtype"),
                             F.col("source").alias("classification"))
     return score_documents(best, parsed_replies(roles.replies(spark, d)), model, info)
@@ -368,4 +418,9 @@ QUERIES: dict[str, Query] = {
     "experiment_results": experiment_results,
     "cross_validation": cross_validation,
     "scored_documents": scored_documents,
+    "training_sink": training_sink,
+    "gated_documents": gated_documents,
+    "fit_checks": fit_checks,
+    "fold_checks": fold_checks,
+    "scored_states": scored_states,
 }

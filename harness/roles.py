@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.session import stage, tune
-from labelloom.sources.tables import spread
 from labelloom.plans.metadata import metadata
 from labelloom.plans.training import training_rows
 
@@ -23,8 +22,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts take CPU time, over all cores."""
-    return spread(read(spark, sf_dir, name))
+    """A table whose texts take CPU time, over all cores.
+
+    The given tables are single files of a few row groups, each read by one task.
+    A table of more splits than cores is read as it is.
+    """
+    scan = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
 
 
 # ---- orders as documents with large id arrays -------------------------------------
@@ -128,7 +133,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """``build`` written once per session to the shared folder, then only read."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = stage(build(spark, sf_dir), name)
+        _stored[key] = stage(build(spark, sf_dir), name, spark.sparkContext.defaultParallelism)
     return _stored[key]
 
 

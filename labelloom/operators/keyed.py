@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.operators.bounded import broadcast_if_small
+from labelloom.session import stage
 
 
 def smallest_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -19,7 +19,8 @@ def frequent_classes(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
 
 
 def keep_frequent(df: DataFrame, label: str, at_least: int = 5) -> DataFrame:
-    frequent = broadcast_if_small(frequent_classes(df, label, at_least).select(label))
+    """Rows of frequent classes. The classes are counted and stored while the plan is built."""
+    frequent = stage(frequent_classes(df, label, at_least).select(label), "frequent")
     return df.join(frequent, label, "left_semi")
 
 

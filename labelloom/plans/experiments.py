@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from labelloom.operators.evaluation import (
     compare_experiments, fold_summary, prediction_metrics)
 from labelloom.operators.keyed import keep_frequent
 from labelloom.operators.strata import with_folds, with_holdout
-from labelloom.session import stage
+from labelloom.session import shared_folder, stage
 
 IDENTITY = ["source_id", "filename"]
 MIN_TEXTS = 10
@@ -53,15 +54,20 @@ def split_rows(training: DataFrame, by_document: bool = False) -> DataFrame:
     return rows.join(parts, "source_id")
 
 
+def experiment_rows(split: DataFrame) -> dict[str, DataFrame]:
+    """The split with each experiment's ``text``."""
+    return {name: split.select("source_id", "filename", "title", "classification", "doc_subtype",
+                               "label", "part", text.alias("text"))
+            for name, text in experiment_texts().items()}
+
+
 def run_experiments(split: DataFrame, settings: Settings = Settings()
                     ) -> tuple[DataFrame, dict[str, Classifier]]:
     """Predictions on the test part for every experiment, and the fitted models.
 
     ``split`` carries ``part``; store it first, as each fit reads it again.
     """
-    rows = {name: split.select("source_id", "filename", "title", "classification", "doc_subtype",
-                               "label", "part", text.alias("text"))
-            for name, text in experiment_texts().items()}
+    rows = experiment_rows(split)
     train = {name: df.where(F.col("part") == "train") for name, df in rows.items()}
     if not enough_texts(train["summary_only"], F.col("text")):
         del train["summary_only"]
@@ -87,6 +93,37 @@ def comparison_of_all(predictions: DataFrame) -> DataFrame:
     return names.join(compared, "experiment", "left").fillna({"status": "too few texts"})
 
 
+def prediction_checks(predictions: DataFrame, by: str) -> DataFrame:
+    """Rows per ``by``, those whose probabilities sum to 1 and those that predict the likeliest class."""
+    total = F.aggregate("probs", F.lit(0.0), lambda t, c: t + c["p"])
+    top = F.array_max(F.transform("probs", lambda c: c["p"]))
+    first = F.get(F.filter("probs", lambda c: c["p"] == top), 0)["class"]
+    return predictions.groupBy(by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if(F.col("pred") == first).alias("likeliest"))
+
+
+def reload_checks(split: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``prediction_checks`` per experiment, and the test rows whose prediction a saved
+    and loaded model repeats with equal probabilities."""
+    spark = split.sparkSession
+    predictions, models = run_experiments(split, settings)
+    repeated = []
+    for name, model in models.items():
+        folder = f"{shared_folder(spark).rstrip('/')}/experiment-{uuid.uuid4().hex}"
+        model.save(spark, folder)
+        tests = experiment_rows(split)[name].where(F.col("part") == "test")
+        first = model.predict(tests, "text").withColumnsRenamed({"pred": "first_pred", "probs": "first_probs"})
+        both = Classifier.load(spark, folder).predict(first, "text")
+        repeated.append(both.agg(
+            F.lit(name).alias("experiment"),
+            F.count_if((F.col("pred") == F.col("first_pred")) & (F.col("probs") == F.col("first_probs")))
+            .alias("same_after_load")))
+    return prediction_checks(predictions, "experiment").join(
+        reduce(DataFrame.unionByName, repeated), "experiment")
+
+
 def fold_predictions(rows: DataFrame, text: str = "feature_text", folds: int = 5,
                      settings: Settings = Settings()) -> DataFrame:
     """Out-of-fold predictions; vocabulary and model are fitted anew per fold.

@@ -13,20 +13,6 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a small table scan over all cores.
-
-    A file is read by one task per row group at best, so a table of a few row
-    groups leaves most cores idle in CPU-bound text work. Only a scan that
-    Spark cuts into no more splits than there are cores is repartitioned; a
-    large table comes back as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() > cores:
-        return scan
-    return scan.repartition(cores)
-
-
 def named_view(df: DataFrame, name: str) -> DataFrame:
     """Register ``df`` as a session view; nothing is computed yet."""
     df.createOrReplaceTempView(name)

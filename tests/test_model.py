@@ -2,10 +2,11 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from labelloom.model.classifier import Classifier, Settings, fit_classifier
-from labelloom.model.features import fit_features
+from labelloom.model.features import SublinearCounts, fit_features
 from labelloom.operators import terms
 from labelloom.operators.evaluation import prediction_metrics
 from labelloom.plans import experiments
@@ -137,3 +138,15 @@ def test_scoring_routes_every_document(spark, training):
         assert rows[doc].prediction is None and rows[doc].top_probability is None
         assert rows[doc].review and rows[doc].review_reason and rows[doc].band is None
     assert {r.doc_id for r in prompts(best, "Summarise the document.").collect()} == {1, 3, 4, 5}
+
+
+def test_logarithm_of_counts_stays_in_the_jvm(spark):
+    """Hand-worked vector; zero entries stay absent and an empty vector stays empty."""
+    counts = CountVectorizerModel.from_vocabulary(["a", "b", "c"], "grams", "counts")
+    docs = spark.createDataFrame([(0, ["a", "a", "c"]), (1, [])], "id int, grams array<string>")
+    out = SublinearCounts(inputCol="counts", outputCol="damped").transform(counts.transform(docs))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    full, empty = [r.damped for r in out.orderBy("id").collect()]
+    assert list(full.indices) == [0, 2] and list(full.values) == [1 + math.log(2), 1.0]
+    assert empty.size == 3 and len(empty.indices) == 0
