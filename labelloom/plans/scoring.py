@@ -85,5 +85,7 @@ def score_documents(best: DataFrame, replies: DataFrame, model: Classifier,
         text = scoring_text(F.col("summary"), F.col("key_terms"), F.col("doc_subtype"),
                             F.col("classification"))
         extra = ["doc_subtype", "classification"]
-    scored = model.predict(rows.withColumn("scoring_text", text), "scoring_text")
+    # Rows that are not ready get no prediction, so their texts are not tokenised.
+    ready_text = F.when(F.col("state") == "ready", text)
+    scored = model.predict(rows.withColumn("scoring_text", ready_text), "scoring_text")
     return routed(scored.drop("scoring_text", *extra))
