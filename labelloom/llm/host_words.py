@@ -3,9 +3,10 @@
 Host and path are cut at everything but letters; numbers become one token by their
 length. Letter pieces are often words written together, so each distinct piece is
 split by Viterbi search over unigram probabilities. The unigrams are counted over
-the visible text of all pages and the pieces of all URLs; for the search, the
-substrings of the pieces are joined to the counts, so no vocabulary is held
-anywhere and none is cut. Multinomial naive Bayes is trained on the URLs that a rule
+the visible text of all pages without the URLs in it: there words are written apart,
+while a piece counted in URLs would be its own whole word. Each word of
+``BLOCKED_WORDS`` counts once more. For the search, the substrings of the pieces are
+joined to the counts, so no vocabulary is held anywhere and none is cut. Multinomial naive Bayes is trained on the URLs that a rule
 decides, and on those of the others whose host holds a word of ``BLOCKED_WORDS``;
 it decides where no rule does. All counts are over pages.
 
@@ -74,13 +75,15 @@ def _pieces(text: Column) -> Column:
         lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lit("#"), F.length(p).cast("string"))).otherwise(p))
 
 
-def unigrams(pages: DataFrame, url_pieces: DataFrame) -> DataFrame:
-    """(word, n) over the visible text of all pages and all pieces of URLs (piece, n)."""
+def unigrams(pages: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(word, n) over the visible text of all pages, without URLs, and each of ``more`` once."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
+    plain = F.regexp_replace(text, r"(?:\b[a-z]{1,10}://|\bwww\.)\S*", " ")
+    found = F.regexp_extract_all(plain, F.lit(r"\p{L}{2,}"), F.lit(0))
+    words = pages.select(F.explode(found).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionByName(url_pieces.select(F.col("piece").alias("word"), "n")).groupBy("word").agg(
-        F.sum("n").alias("n"))
+    extra = pages.sparkSession.createDataFrame([(w, 1) for w in sorted(set(more))], "word string, n long")
+    return counted.unionByName(extra).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def viterbi(piece: str, counts: dict[str, int], total: int) -> list[str]:
@@ -134,11 +137,14 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], blocked_words: tuple[str,
     urls = staged(placed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).select(
         "host", "path", "n", rule.alias("rule"), ruled.alias("ruled")), "urls")
 
-    sides = F.flatten(F.array(*[F.transform(_pieces(F.col(c)), lambda p, c=c: F.struct(F.lit(c).alias("side"), p.alias("piece")))
-                                for c in ("host", "path")]))
+    def on_side(name: str) -> Column:  # a default argument here would be taken for the index of the piece
+        return F.transform(_pieces(F.col(name)), lambda p: F.struct(F.lit(name).alias("side"), p.alias("piece")))
+
+    sides = F.concat(on_side("host"), on_side("path"))
     cut = urls.select("host", "path", "n", "ruled", F.inline(sides))
-    pieces = staged(cut.groupBy("piece").agg(F.sum("n").alias("n")), "url-pieces")
-    words = staged(segmented(pieces.select("piece"), unigrams(pages, pieces.where(F.length("piece") > 1))), "url-words")
+    pieces = staged(cut.select("piece").distinct(), "url-pieces")
+    counts = staged(unigrams(pages, blocked_words), "url-unigrams")
+    words = staged(segmented(pieces, counts), "url-words")
 
     # a token tells its side apart, as a word means another thing in a host
     token = F.concat("side", F.lit(":"), "word")

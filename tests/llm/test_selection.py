@@ -168,3 +168,19 @@ def test_words_of_a_piece():
     counts = {"cheap": 50, "pills": 40, "che": 1, "ap": 1}
     assert host_words.viterbi("cheappills", counts, 1000) == ["cheap", "pills"]
     assert host_words.viterbi("xq", counts, 1000) == ["xq"] and host_words.viterbi("", counts, 1) == []
+
+
+def test_concatenated_hosts_are_split_on_a_large_table(llm):
+    plain = "".join(f"<p>word{'abcdefghij'[i % 10]} the cheap garden chairs and pills of the house</p>" for i in range(200))
+    rows = [(i, f"http://{'cheappillsshop' if i % 3 == 0 else 'gardenchairs'}.net/x/{i}", plain) for i in range(90)]
+    rows += [(90, "http://bestcasinohouse.net/x/1", plain + "<p>see http://bestcasinohouse.net/ and www.gardenchairs.net</p>"),
+             (91, "http://thehouse.net/x/1", plain), (92, "http://cheapshop.org/", plain)]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string")
+    counts = host_words.unigrams(pages, host_words.BLOCKED_WORDS)
+    pieces = llm.createDataFrame([("cheappillsshop",), ("gardenchairs",), ("bestcasinohouse",), ("house",)], "piece string")
+    words = {r.piece: r.words for r in host_words.segmented(pieces, counts).collect()}
+    assert words["gardenchairs"] == ["garden", "chairs"] and words["house"] == ["house"]
+    assert "pills" in words["cheappillsshop"] and "casino" in words["bestcasinohouse"]
+    rules = [host_words.Rule("allow", "gardenchairs.net", "/")]
+    verdict = {r.page_id: r.verdict for r in host_words.url_verdicts(pages, rules).collect()}
+    assert verdict[0] == verdict[92] == "block" and verdict[1] == "allow"
