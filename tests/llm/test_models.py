@@ -96,6 +96,17 @@ def test_pipeline_stages_take_effect(llm):
         assert stage(llm, empty, SMALL).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_a_similarity_of_four_fifths(llm, documents):
+    words = [f"w{i}" for i in range(106)]
+    other = list(words)
+    other[30] = other[70] = "changed"  # 102 shingles each, 92 in both: 92 / 112
+    apart = list(words)
+    for i in (10, 30, 50, 70):  # 82 in common: 82 / 122
+        apart[i] = f"else{i}"
+    docs = documents((1, " ".join(words)), (2, " ".join(other)), (3, " ".join(apart)))
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](llm, docs, SMALL).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(llm, name):
     from harness import compare
