@@ -1,30 +1,42 @@
 """Benchmark decontamination by template windows with consistent slots.
 
-A text becomes a sequence of template tokens: literal words in lower case without
-outer punctuation, and typed placeholders for numbers, units after numbers (also
-attached ones) and names (words with a capital inside a sentence; several in a row
-are one name). Windows of eight tokens are hashed. A document window that some
-benchmark window equals is a hit and carries the values of its slots. Hits of a
-document and an item are put in line by their distance; a line is consistent if
-equal slot values of the item have equal values in the document and different ones
-different values. So a question whose numbers and names were changed throughout is
-found, and a chance meeting of templates is not. A document is contaminated by an
-item if its consistent lines hold at least half of the item's windows.
-
-The benchmark's window hashes go to the executors as one sorted array while they
-are at most ``BLOCK`` many, else in as many blocks as they need, one pass each;
-documents are never shuffled. An item with fewer tokens than a window is one window
-of its own length, and items of fewer than four tokens are ignored, as are windows
-with fewer literal words than placeholders.
+A text becomes token sequences of three forms:
+
+1. template: literal words in lower case without outer punctuation, and typed
+   placeholders for numbers, units after numbers (also attached ones) and names (words
+   with a capital inside a sentence; several in a row are one name).
+2. the same with every capital word a name, also where a sentence starts, but for those
+   of ``COMMON``, which are literal wherever they stand.
+3. exact: all words in lower case, numbers with their values, signs of arithmetic, and
+   single characters of scripts that are written without spaces. It has no slots, so
+   no item of four such tokens is without windows, and case and place do not matter.
+
+Windows of eight tokens are hashed. A document window that some benchmark window of
+its form equals is a hit and carries the values of its slots. Hits of a document and an
+item are put in line by their distance. In a line every slot value of the item goes
+with the document's value that it meets most often, one to one; windows with another
+pair of unequal values are dropped. So a question whose numbers and names were changed
+throughout is found, and one changed occurrence costs the windows over it only. A
+document is contaminated by an item if in one form the windows left are at least half
+of the item's, or if those of one line cover ``RUN`` consecutive tokens (twice as many
+in items mostly of single characters), however long the item is.
+
+The benchmark's window hashes go to the executors as sorted arrays while they are at
+most ``BLOCK`` many, else in as many blocks as they need, one pass each; documents are
+never shuffled. An item with fewer tokens than a window is one window of its own
+length. Items of fewer than four exact tokens are ignored; template windows with fewer
+literal words than placeholders are left to the exact form.
 
 Defined results: null or empty texts on either side match nothing; rows without a
-doc_id are not reported; rows of one id count together; items of one id count
-together; an empty table gives no rows. Other columns of the input are ignored.
+doc_id are not reported; different texts of one id are judged apart and the best
+matched one is reported; an empty table gives no rows. Other columns of the input are
+ignored. The counts reported are those of the form with the largest share of windows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +52,10 @@ from labelloom.llm.shingles import windows
 WIDTH = 8
 LEAST_TOKENS = 4
 LEAST_COVERAGE = 0.5
+RUN = 15
 BLOCK = 4_000_000
 _MAX_CHUNKS = 300_000
+_MAX_CHARS = 16_000_000
 
 # Units that may follow a number.
 UNITS = frozenset("""
@@ -52,8 +66,20 @@ month months year years hz khz mhz ghz w kw mw v kv a ma j kj mj cal kcal k c f
 euro euros cent cents mph kmh km/h m/s kb mb gb tb
 """.split())
 
+# Words that are no names where they have a capital.
+COMMON = frozenset("""
+a an the this that these those i you he she it we they his her its our their my your who what which when
+where why how and or but if then so as at by for from in into of on to with without after before while
+during since until is are was were do does did has have had can could will would should may might must
+there here not no all each every both some many one two if given find let suppose calculate compute
+""".split())
+
 _NUMBER = re.compile(r"([^\w%]*)([+-]?\d[\d.,:/]*)(.*)", re.S)
 _EDGES = re.compile(r"^[^\w%°$€£]+|[^\w%°$€£]+$")
+_UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+             "\U00020000-\U0003ffff")
+_EXACT = re.compile(rf"([{_UNSPACED}])|\d+(?:[.,:/]\d+)*|(?:(?![{_UNSPACED}])[^\W\d_])+"
+                    r"|(?<![^\W\d_])-|[+*/=<>^%\u00d7\u00f7\u221a\u2264\u2265\u2260\u00b1\u2212]")
 _LITERAL, _NUM, _UNIT, _NAME = 0, 1, 2, 3
 
 
@@ -64,24 +90,38 @@ def _hash(word: str) -> int:
 _SLOT_HASH = np.array([0, _hash("\0number"), _hash("\0unit"), _hash("\0name")], np.uint64)
 
 
-def _pieces(chunk: str) -> tuple[list[tuple[int, int, bool, bool]], bool]:
-    """Tokens (hash, kind, capital, unit word) of a chunk, and whether it ends a sentence."""
+def _pieces(chunk: str) -> tuple[list[tuple[int, int, bool, bool, bool]], bool]:
+    """Tokens (hash, kind, capital, unit word, common) of a chunk, and whether it ends a sentence."""
     ends = chunk.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
     core = _EDGES.sub("", chunk)
     if not core:
         return [], ends
     number = _NUMBER.match(core)
     if number:
-        out = [(_hash(number[2].rstrip(".,:/")), _NUM, False, False)]
+        out = [(_hash(number[2].rstrip(".,:/")), _NUM, False, False, False)]
         tail = _EDGES.sub("", number[3])
         if tail:
             low = tail.lower()
-            out.append((_hash(low), _UNIT if low in UNITS else _LITERAL, False, low in UNITS))
+            out.append((_hash(low), _UNIT if low in UNITS else _LITERAL, False, low in UNITS, low in COMMON))
         if number[1].strip() in UNITS:
-            out.append((_hash(number[1].strip()), _UNIT, False, True))
+            out.append((_hash(number[1].strip()), _UNIT, False, True, False))
         return out, ends
     low = core.lower()
-    return [(_hash(low), _LITERAL, core[0].isupper(), low in UNITS)], ends
+    return [(_hash(low), _LITERAL, core[0].isupper(), low in UNITS, low in COMMON)], ends
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = _hash(word)
+        return value
+
+
+def _exact_pieces(chunk: str, hashes: dict[str, int]) -> list[tuple[int, bool]]:
+    """Exact tokens of a chunk: hash, and whether it is one character of an unspaced script."""
+    core = chunk.strip(".,;:!?\"'()[]")
+    if core.isascii() and core.isalpha():
+        return [(hashes[core.lower()], False)]
+    return [(hashes[m[0]], m[1] is not None) for m in _EXACT.finditer(chunk.lower())]
 
 
 class _Chunks(dict):
@@ -89,53 +129,71 @@ class _Chunks(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[tuple[list[tuple[int, int, bool, bool]], bool]] = []
+        self.chars = 0
+        self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
         place = self[chunk] = len(self)
-        self.new.append(_pieces(chunk))
+        self.chars += len(chunk)
+        self.new.append(chunk)
         return place
 
 
 class TemplateReader:
-    """Template tokens of texts; what chunks of text mean is remembered up to a bound."""
+    """Tokens of texts; what chunks of text mean is remembered up to a bound."""
 
     def __init__(self):
         self._reset()
 
     def _reset(self) -> None:
         self._chunks = _Chunks()
+        self._words = _WordHashes()
         self._hash = np.zeros(0, np.uint64)
-        self._flags = np.zeros((0, 3), np.uint8)
+        self._flags = np.zeros((0, 4), np.uint8)
         self._starts = np.zeros(1, np.int64)
         self._ends = np.zeros(0, bool)
+        self._exact_hash = np.zeros(0, np.uint64)
+        self._exact_single = np.zeros(0, np.uint64)
+        self._exact_starts = np.zeros(1, np.int64)
 
     def _catch_up(self) -> None:
-        new, self._chunks.new = self._chunks.new, []
-        if new:
+        chunks, self._chunks.new = self._chunks.new, []
+        if chunks:
+            new = [_pieces(c) for c in chunks]
             tokens = [t for pieces, _ in new for t in pieces]
             self._hash = np.concatenate([self._hash, np.array([t[0] for t in tokens], np.uint64)])
-            self._flags = np.concatenate([self._flags, np.array([t[1:] for t in tokens], np.uint8).reshape(-1, 3)])
+            self._flags = np.concatenate([self._flags, np.array([t[1:] for t in tokens], np.uint8).reshape(-1, 4)])
             self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(p) for p, _ in new])])
             self._ends = np.concatenate([self._ends, np.array([e for _, e in new], bool)])
+            exact = [_exact_pieces(c, self._words) for c in chunks]
+            self._exact_hash = np.concatenate([self._exact_hash, np.array([t[0] for e in exact for t in e], np.uint64)])
+            self._exact_single = np.concatenate([self._exact_single, np.array([t[1] for e in exact for t in e], np.uint64)])
+            self._exact_starts = np.concatenate(
+                [self._exact_starts, self._exact_starts[-1] + np.cumsum([len(e) for e in exact])])
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: template hashes, kinds and slot values of its tokens."""
-        if len(self._chunks) > _MAX_CHUNKS:
+        return [forms[0] for forms in self.forms(texts)]
+
+    def forms(self, texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Per text and form: hashes, kinds and slot values of its tokens."""
+        if len(self._chunks) > _MAX_CHUNKS or self._chunks.chars > _MAX_CHARS or len(self._words) > _MAX_CHUNKS:
             self._reset()
         places = []
         for text in texts:
             pieces = text.split()
             places.append(np.fromiter(map(self._chunks.__getitem__, pieces), np.int64, len(pieces)))
         self._catch_up()
-        return [self._template(p) for p in places]
-
-    def _template(self, places: np.ndarray):
-        begin = self._starts[places]
-        size = self._starts[places + 1] - begin
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        at = np.arange(total) + np.repeat(begin - (stop - size), size)
+        return [self._templates(p)[:1] for p in places]
+
+    def _exact(self, places: np.ndarray):
+        at, _ = _token_places(self._exact_starts, places)
+        # no slots; the third part tells characters of unspaced scripts
+        return self._exact_hash[at], np.zeros(len(at), np.int64), self._exact_single[at]
+
+    def _templates(self, places: np.ndarray):
+        at, size = _token_places(self._starts, places)
+        total = len(at)
         value, flags = self._hash[at], self._flags[at]
         kind = flags[:, 0].astype(np.int64)
         # a sentence starts with the text and after a chunk that ends one
@@ -145,16 +203,30 @@ class TemplateReader:
         after_number = np.zeros(total, bool)
         after_number[1:] = kind[:-1] == _NUM
         kind[(kind == _LITERAL) & (flags[:, 2] == 1) & after_number] = _UNIT
-        kind[(kind == _LITERAL) & (flags[:, 1] == 1) & ~first] = _NAME
+        capital = (kind == _LITERAL) & (flags[:, 1] == 1)
+        mixed = value * np.uint64(0x9E3779B97F4A7C15)
+        return [self._named(kind, value, mixed, capital & name, first)
+                for name in (~first, flags[:, 3] == 0)]
+
+    def _named(self, kind, value, mixed, name, first):
+        kind = np.where(name, _NAME, kind)
         # names in a row are one name, unless a sentence ends between them
-        again = np.zeros(total, bool)
-        again[1:] = (kind[1:] == _NAME) & (kind[:-1] == _NAME)
+        again = np.zeros(len(kind), bool)
+        again[1:] = name[1:] & name[:-1] & ~first[1:]
         heads = np.flatnonzero(~again)
-        slot = np.add.reduceat(value * np.uint64(0x9E3779B97F4A7C15), heads) if total else value
+        slot = np.add.reduceat(mixed, heads) if len(heads) else value
         kind, value = kind[heads], value[heads]
         return np.where(kind == _LITERAL, value, _SLOT_HASH[kind]), kind, slot
 
 
+def _token_places(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of chunks lie, and how many each chunk has."""
+    begin = starts[places]
+    size = starts[places + 1] - begin
+    stop = np.cumsum(size)
+    return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size), size
+
+
 def text_windows(tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of a template, and which have enough literal words."""
     template, kind, _ = tokens
@@ -170,85 +242,153 @@ def _slots(tokens, start: int, size: int) -> list[int]:
     return value[kind != _LITERAL].view(np.int64).tolist()
 
 
-_WINDOW = "item_id long, hash long, position int, width int, slots array<long>, windows long"
-_HIT = "doc_id long, hash long, position long, slots array<long>"
+_WINDOW = ("item_id long, item_key long, form int, hash long, position int, width int, slots array<long>, "
+           "windows long, run int")
+_HIT = "doc_id long, doc_key long, form int, hash long, position long, slots array<long>"
+_LINE = ("doc_id long, doc_key long, item_id long, item_key long, form int, windows long, run int, at array<int>, "
+         "longest int, same_values boolean")
+_EXACT_FORM = 2
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(),
+             "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
 def _item_windows(width: int):
+    schema = _arrow(_WINDOW)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = remembered("templates", TemplateReader)
         for batch in batches:
             rows = []
-            read = reader.read([t or "" for t in batch.column("text").to_pylist()])
-            for item, tokens in zip(batch.column("item_id").to_pylist(), read):
-                hashes, usable = text_windows(tokens, width)
-                size = min(width, len(tokens[0]))
-                for i in np.flatnonzero(usable).tolist():
-                    rows.append((item, int(hashes[i].view(np.int64)), i, size, _slots(tokens, i, size), int(usable.sum())))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.record_batch({
-                "item_id": pa.array(columns[0], pa.int64()), "hash": pa.array(columns[1], pa.int64()),
-                "position": pa.array(columns[2], pa.int32()), "width": pa.array(columns[3], pa.int32()),
-                "slots": pa.array(columns[4], pa.list_(pa.int64())), "windows": pa.array(columns[5], pa.int64())})
+            read = reader.forms([t or "" for t in batch.column("text").to_pylist()])
+            for item, key, forms in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_key")), read):
+                for form, tokens in enumerate(forms):
+                    hashes, usable = text_windows(tokens, width)
+                    size, count = min(width, len(tokens[0])), int(usable.sum())
+                    singles = form == _EXACT_FORM and 2 * int(tokens[2].sum()) > len(tokens[2])
+                    for i in np.flatnonzero(usable).tolist():
+                        rows.append((item, key, form, int(hashes[i].view(np.int64)), i, size,
+                                     _slots(tokens, i, size), count, RUN * (1 + singles)))
+            yield _columns(rows, schema)
     return cut
 
 
-def _hits(wanted, widths: list[int]):
+class _Known:
+    """Benchmark windows of one form: a sorted array behind a table of their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self._hashes = hashes
+        bits = min(24, max(16, len(hashes).bit_length() + 4))
+        self._shift = np.uint64(64 - bits)
+        self._table = np.zeros(1 << bits, bool)
+        self._table[hashes >> self._shift] = True
+
+    def places(self, found: np.ndarray) -> list[int]:
+        maybe = np.flatnonzero(self._table[found >> self._shift])
+        at = np.searchsorted(self._hashes, found[maybe])
+        at[at == len(self._hashes)] = 0
+        return maybe[self._hashes[at] == found[maybe]].tolist()
+
+
+def _hits(wanted, widths: list[tuple[int, int]]):
     """Document windows that are among the broadcast benchmark windows."""
+    schema = _arrow(_HIT)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known = remembered("templates", TemplateReader), wanted.value
+        reader = remembered("templates", TemplateReader)
+        known = {form: _Known(hashes) for form, hashes in wanted.value.items()}
         for batch in batches:
-            docs, hashes, positions, slots = [], [], [], []
-            read = reader.read([t or "" for t in batch.column("text").to_pylist()])
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), read):
-                for width in widths:
+            rows = []
+            read = reader.forms([t or "" for t in batch.column("text").to_pylist()])
+            for doc, key, forms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_key")), read):
+                for form, width in widths:
+                    tokens = forms[form]
                     if len(tokens[0]) < width:
                         continue
-                    found, _ = text_windows(tokens, width)
-                    at = np.searchsorted(known, found)
-                    at[at == len(known)] = 0
-                    for i in np.flatnonzero(known[at] == found).tolist():
-                        docs.append(doc)
-                        hashes.append(int(found[i].view(np.int64)))
-                        positions.append(i)
-                        slots.append(_slots(tokens, i, width))
-            yield pa.record_batch({"doc_id": pa.array(docs, pa.int64()), "hash": pa.array(hashes, pa.int64()),
-                                   "position": pa.array(positions, pa.int64()),
-                                   "slots": pa.array(slots, pa.list_(pa.int64()))})
+                    found = windows(tokens[0], width)
+                    for i in known[form].places(found):
+                        rows.append((doc, key, form, int(found[i].view(np.int64)), i, _slots(tokens, i, width)))
+            yield _columns(rows, schema)
     return find
 
 
+def _majority(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The pairs met most often, each value in one of them."""
+    met = Counter(pairs)
+    chosen, left, right = set(), set(), set()
+    for a, b in sorted(met, key=lambda p: (-met[p], p[0] != p[1], p)):
+        if a not in left and b not in right:
+            chosen.add((a, b))
+            left.add(a)
+            right.add(b)
+    return chosen
+
+
+def _judged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the windows that agree with the majority, and the longest run they cover."""
+    schema = _arrow(_LINE)
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            met = [(w["at"], w["width"], [(x["a"], x["b"]) for x in w["pairs"]]) for w in r["met"]]
+            chosen = _majority([x for _, _, pairs in met for x in pairs])
+            kept = sorted(m for m in met if all(a == b or (a, b) in chosen for a, b in m[2]))
+            if not kept:
+                continue
+            longest, start, end = 0, kept[0][0], kept[0][0]
+            for at, width, _ in kept:
+                if at > end:
+                    start = at
+                end = max(end, at + width)
+                longest = max(longest, end - start)
+            rows.append((r["doc_id"], r["doc_key"], r["item_id"], r["item_key"], r["form"], r["windows"], r["run"],
+                         sorted({m[0] for m in kept}), longest, all(a == b for _, _, pairs in kept for a, b in pairs)))
+        yield _columns(rows, schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                  least_coverage: float = LEAST_COVERAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, matched, windows, same_values) per contaminated document and item."""
     spark = docs.sparkSession
     items = staged(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_windows(width), _WINDOW), "templates")
+        F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").mapInArrow(
+        _item_windows(width), _WINDOW), "templates")
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
     blocks = max(1, -(-items.count() // block))
     hits = None
     for part in range(blocks):
         mine = items.where(F.pmod("hash", F.lit(blocks)) == part)
-        widths = sorted(r.width for r in mine.select("width").distinct().collect())  # at most `width` many
-        hashes = np.unique(mine.select("hash").distinct().toArrow().column("hash").to_numpy().astype(np.int64).view(np.uint64))
-        if len(hashes):
-            found = texts.mapInArrow(_hits(spark.sparkContext.broadcast(hashes), widths), _HIT)
+        widths = sorted((r.form, r.width) for r in mine.select("form", "width").distinct().collect())  # at most `width` a form
+        table = mine.select("form", "hash").distinct().toArrow()
+        form, hashes = (table.column(c).to_numpy() for c in ("form", "hash"))
+        wanted = {f: np.unique(hashes[form == f].astype(np.int64).view(np.uint64)) for f in sorted({f for f, _ in widths})}
+        if wanted:
+            found = texts.mapInArrow(_hits(spark.sparkContext.broadcast(wanted), widths), _HIT)
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, windows long, same_values boolean")
     pairs = F.transform(F.arrays_zip(F.col("i.slots").alias("a"), F.col("h.slots").alias("b")), lambda x: x)
-    met = staged(hits, "template-hits").alias("h").join(items.alias("i"), F.col("h.hash") == F.col("i.hash")).select(
-        "doc_id", "item_id", (F.col("h.position") - F.col("i.position")).alias("line"),
-        F.col("i.position").alias("at"), "windows", pairs.alias("pairs"))
-    lines = met.groupBy("doc_id", "item_id", "line").agg(
-        F.max("windows").alias("windows"), F.collect_set("at").alias("at"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = {c: F.size(F.array_distinct(F.transform("pairs", lambda x: x[c]))) for c in ("a", "b")}
-    consistent = (F.size("pairs") == values["a"]) & (F.size("pairs") == values["b"])
-    joined = lines.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.max("windows").alias("windows"),
+    met = staged(hits, "template-hits").alias("h").join(items.alias("i"), ["form", "hash"]).select(
+        "doc_id", "doc_key", "item_id", "item_key", "form", (F.col("h.position") - F.col("i.position")).alias("line"),
+        "windows", "run", F.struct(F.col("i.position").alias("at"), "width", pairs.alias("pairs")).alias("met"))
+    one = ["doc_id", "doc_key", "item_id", "item_key", "form"]
+    lines = met.groupBy(*one, "line").agg(
+        F.max("windows").alias("windows"), F.max("run").alias("run"), F.collect_set("met").alias("met"))
+    joined = lines.mapInArrow(_judged_lines, _LINE).groupBy(*one).agg(
+        F.max("windows").alias("windows"), F.max("run").alias("run"), F.max("longest").alias("longest"),
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"),
-        F.bool_and(F.forall("pairs", lambda x: x["a"] == x["b"])).alias("same_values"))
-    return joined.where(F.col("matched") >= least_coverage * F.col("windows")).select(
-        "doc_id", "item_id", "matched", "windows", "same_values")
+        F.bool_and("same_values").alias("same_values"))
+    guilty = joined.where((F.col("matched") >= least_coverage * F.col("windows")))
+    best = F.max(F.struct((F.col("matched") / F.col("windows")).alias("share"), (-F.col("form")).alias("order"),
+                          "matched", "windows", "same_values"))
+    return guilty.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", "best.matched", "best.windows", "best.same_values")

@@ -138,6 +138,20 @@ def test_units_and_attached_numbers_are_placeholders():
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == [0, 0, 1, 2, 0]
 
 
+def test_one_changed_occurrence_and_repeated_ids(llm, documents):
+    item = ("Tom paid 12 coins for a red box and later paid 12 coins for a blue box at the old shop near the river "
+            "where people said that 12 coins were too much for such a small thing")
+    typo = item.replace("12", "13", 1)
+    got = found(documents, llm, [typo], [(1, item)])
+    assert got[0, 1].matched < got[0, 1].windows and got[0, 1].same_values
+    bench = llm.createDataFrame([(1, item)], "item_id long, text string")
+    twice = documents((5, item), (5, item.replace("12", "40", 2).replace("Tom", "Tim")))
+    row = templates.contaminated(twice, bench).collect()
+    assert [(r.doc_id, r.matched == r.windows) for r in row] == [(5, True)]
+    pairs = [(1, 2)] * 3 + [(1, 1)] + [(7, 2)]
+    assert templates._majority(pairs) == {(1, 2)}
+
+
 # ---- URLs --------------------------------------------------------------------------------------
 
 def rule_by_hand(url):
