@@ -387,7 +387,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
         F.max("windows").alias("windows"), F.max("run").alias("run"), F.max("longest").alias("longest"),
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"),
         F.bool_and("same_values").alias("same_values"))
-    guilty = joined.where((F.col("matched") >= least_coverage * F.col("windows")))
+    guilty = joined.where((F.col("matched") >= least_coverage * F.col("windows")) | (F.col("longest") >= F.col("run")))
     best = F.max(F.struct((F.col("matched") / F.col("windows")).alias("share"), (-F.col("form")).alias("order"),
                           "matched", "windows", "same_values"))
     return guilty.groupBy("doc_id", "item_id").agg(best.alias("best")).select(

@@ -138,6 +138,14 @@ def test_units_and_attached_numbers_are_placeholders():
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == [0, 0, 1, 2, 0]
 
 
+def test_partial_passages_of_long_items_are_found(llm, documents):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    got = found(documents, llm, ["Before it " + " ".join(words[100:130]) + " and after", " ".join(words[100:112]),
+                                 " ".join(words[5:12]) + " x " + " ".join(words[13:20])], [(1, " ".join(words))])
+    assert set(got) == {(0, 1)}
+    assert set(found(documents, llm, [" ".join(ITEM.split()[12:])])) == {(0, 1)}
+
+
 def test_one_changed_occurrence_and_repeated_ids(llm, documents):
     item = ("Tom paid 12 coins for a red box and later paid 12 coins for a blue box at the old shop near the river "
             "where people said that 12 coins were too much for such a small thing")
