@@ -146,6 +146,14 @@ def test_partial_passages_of_long_items_are_found(llm, documents):
     assert set(found(documents, llm, [" ".join(ITEM.split()[12:])])) == {(0, 1)}
 
 
+def test_items_without_usable_templates_are_found_exactly(llm, documents):
+    items = [(1, "12 + 45 - 30 = 27"), (2, "Alice Brown, Carol White, Dave Green, Erin Black"), (3, "今天天气很好我们去公园散步吧"),
+             (4, "The Title Of Every Important Word Written Here")]
+    texts = ["We have 12 + 45 - 30 = 27 here.", "so Alice Brown, Carol White, Dave Green, Erin Black came", "他说今天天气很好我们去公园散步吧然后走了",
+             "see The Title Of Every Important Word Written Here", "We have 12 + 45 - 31 = 26 here."]
+    assert set(found(documents, llm, texts, items)) == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
 def test_one_changed_occurrence_and_repeated_ids(llm, documents):
     item = ("Tom paid 12 coins for a red box and later paid 12 coins for a blue box at the old shop near the river "
             "where people said that 12 coins were too much for such a small thing")
