@@ -184,7 +184,7 @@ class TemplateReader:
             pieces = text.split()
             places.append(np.fromiter(map(self._chunks.__getitem__, pieces), np.int64, len(pieces)))
         self._catch_up()
-        return [[self._templates(p)[0], (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), self._exact(p)] for p in places]
+        return [[*self._templates(p), self._exact(p)] for p in places]
 
     def _exact(self, places: np.ndarray):
         at, _ = _token_places(self._exact_starts, places)

@@ -154,6 +154,14 @@ def test_items_without_usable_templates_are_found_exactly(llm, documents):
     assert set(found(documents, llm, texts, items)) == {(0, 1), (1, 2), (2, 3), (3, 4)}
 
 
+def test_names_at_sentence_starts_embedding_and_upper_case(llm, documents):
+    items = [(1, "Natalia sold 48 clips in the shop. Natalia then sold half of them. Natalia was glad."),
+             (2, "The capital of the country is large")]
+    texts = ["Robert sold 31 clips in the shop. Robert then sold half of them. Robert was glad.",
+             "see The capital of the country is large", items[0][1].upper(), items[1][1].upper()]
+    assert set(found(documents, llm, texts, items)) == {(0, 1), (1, 2), (2, 1), (3, 2)}
+
+
 def test_one_changed_occurrence_and_repeated_ids(llm, documents):
     item = ("Tom paid 12 coins for a red box and later paid 12 coins for a blue box at the old shop near the river "
             "where people said that 12 coins were too much for such a small thing")
