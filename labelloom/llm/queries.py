@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from labelloom.llm import (
-    host_words, line_dedup, mixing, near_dup, rans, risk_rules, templates, token_cache, toxicity_gru, zstd_lang)
+    host_words, line_dedup, mixing, near_dup, periodic_runs, rans, risk_rules, templates, token_cache, toxicity_gru,
+    zstd_lang)
 from labelloom.llm.common import new_folder, read, staged, word_count
 from labelloom.llm.sql import ORACLES
 
@@ -89,6 +90,13 @@ def op10_risk_rules(spark: SparkSession, d: str) -> DataFrame:
     return risk_rules.judged(measures, chosen).drop("stratum")
 
 
+def op11_sync_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of repeated words in every document, a tenth of them with a part repeated to the end."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    changed = docs.withColumn("text", periodic_runs.repeated_tail(F.col("doc_id"), F.col("text")))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(changed))
+
+
 QUERIES: dict[str, Query] = {
     "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
     "op2_token_cache": op2_token_cache,
@@ -100,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_templates": op8_templates,
     "op9_gru_toxicity": op9_gru_toxicity,
     "op10_risk_rules": op10_risk_rules,
+    "op11_sync_runs": op11_sync_runs,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
