@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from labelloom.llm import (
-    host_words, line_dedup, mixing, near_dup, periodic_runs, rans, risk_rules, templates, token_cache, toxicity_gru,
-    zstd_lang)
+    host_words, line_dedup, mixing, near_dup, periodic_runs, phrases, pii, rans, risk_rules, templates, token_cache,
+    toxicity_gru, zstd_lang)
 from labelloom.llm.common import new_folder, read, staged, word_count
 from labelloom.llm.sql import ORACLES
 
@@ -97,6 +97,16 @@ def op11_sync_runs(spark: SparkSession, d: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(changed))
 
 
+def op12_phrase_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The best phrases of each language."""
+    return phrases.collocations(read(spark, d, "documents"))
+
+
+def op13_pii(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.span_digests(pii.personal_data(read(spark, d, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_odd_sketch_dedup": op1_odd_sketch_dedup,
     "op2_token_cache": op2_token_cache,
@@ -109,6 +119,8 @@ QUERIES: dict[str, Query] = {
     "op9_gru_toxicity": op9_gru_toxicity,
     "op10_risk_rules": op10_risk_rules,
     "op11_sync_runs": op11_sync_runs,
+    "op12_phrase_graph": op12_phrase_graph,
+    "op13_pii": op13_pii,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

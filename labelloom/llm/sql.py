@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelloom.llm import mixing, risk_rules
+from labelloom.llm import mixing, phrases, risk_rules
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -126,4 +126,46 @@ FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id
 """
 
 
-ORACLES = {"op5_cuckoo_lines": OP5, "op6_mixing": OP6, "op10_risk_rules": _op10()}
+_UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP12 = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+    SELECT lang, k AS size, array_to_string(words[i:i + k - 1], ' ') AS gram
+    FROM worded, unnest([1, 2, 3, 4]) AS sizes(k), unnest(range(1, len(words) - k + 2)) AS places(i)
+), counts AS (
+    SELECT lang, gram, size, count(*)::BIGINT AS times FROM grams GROUP BY ALL
+), often AS (
+    SELECT * FROM counts WHERE times >= {phrases.LEAST}
+), candidates AS (
+    SELECT lang, gram AS phrase, size, times AS a, string_split(gram, ' ') AS words FROM often WHERE size > 1
+), cuts AS (
+    SELECT lang, phrase, size, a, k, array_to_string(words[:k], ' ') AS first_part,
+           array_to_string(words[k + 1:], ' ') AS rest
+    FROM candidates, unnest(range(1, size)) AS cut(k)
+), scored AS (
+    SELECT cuts.lang, phrase, cuts.size, a, x.times AS l, y.times AS r,
+           (2000000::HUGEINT * a // (x.times::HUGEINT + y.times))::BIGINT AS score,
+           row_number() OVER (PARTITION BY cuts.lang, phrase ORDER BY
+               2000000::HUGEINT * a // (x.times::HUGEINT + y.times), k) AS weakest
+    FROM cuts JOIN often x ON x.lang = cuts.lang AND x.gram = first_part
+    JOIN often y ON y.lang = cuts.lang AND y.gram = rest
+), around AS (
+    SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, max(a) AS around
+    FROM candidates, unnest(range(2, size)) AS sizes(k), unnest(range(1, size - k + 2)) AS places(i)
+    GROUP BY ALL
+), ranked AS (
+    SELECT scored.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+    FROM scored LEFT JOIN around USING (lang, phrase)
+    WHERE weakest = 1 AND (around IS NULL OR 100 * around < {phrases.CONTAINED_PERCENT} * a)
+), sizes AS (
+    SELECT lang, sum(times)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+ORACLES = {"op5_cuckoo_lines": OP5, "op6_mixing": OP6, "op10_risk_rules": _op10(), "op12_phrase_graph": OP12}
