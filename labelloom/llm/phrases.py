@@ -271,7 +271,7 @@ def _containers(paths: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def scored(counts: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, size, a, l, r, score) of every phrase of ``least`` occurrences, by its weakest cut."""
-    often = staged(counts.where(F.col("times") >= least), "phrase-counts")
+    often = counts.where(F.col("times") >= least)
     candidates = often.where(F.col("size") > 1).select(
         "lang", F.col("gram").alias("phrase"), "size", F.col("times").alias("a"))
     words = F.split("phrase", " ")
@@ -298,9 +298,10 @@ def _ranked(table: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``top`` phrases of each language."""
-    counts = staged(flow(graph(docs, least)), "phrase-flow")
-    candidates = scored(counts, least)
-    around = _containers(unary_paths(counts, least), candidates)
+    counts = flow(graph(docs, least))
+    often = staged(counts.where(F.col("times") >= least), "phrase-counts")
+    candidates = scored(often, least)
+    around = _containers(unary_paths(often, least), candidates)
     free = candidates.join(around, ["lang", "phrase"], "left").where(
         F.col("around").isNull() | (100 * F.col("around") < CONTAINED_PERCENT * F.col("a")))
     words = counts.where(F.col("size") == 1).groupBy("lang").agg(F.sum("times").alias("n"))
