@@ -48,6 +48,14 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed_bits(total + np.uint64(size))
 
 
+def window_hashes(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """What ``windows`` gives for the windows at some starts, each of ``width`` words."""
+    total = np.zeros(len(starts), np.uint64)
+    for i in range(width):
+        total += hashes[starts + i] * _FACTORS[i]
+    return mixed_bits(total + np.uint64(width))
+
+
 def lowered_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []

@@ -21,11 +21,13 @@ document is contaminated by an item if in one form the windows left are at least
 of the item's, or if those of one line cover ``RUN`` consecutive tokens (twice as many
 in items mostly of single characters), however long the item is.
 
-The benchmark's window hashes go to the executors as sorted arrays while they are at
-most ``BLOCK`` many, else in as many blocks as they need, one pass each; documents are
-never shuffled. An item with fewer tokens than a window is one window of its own
-length. Items of fewer than four exact tokens are ignored; template windows with fewer
-literal words than placeholders are left to the exact form.
+The benchmark's window hashes and their tokens go to the executors as sorted arrays
+while the windows are at most ``BLOCK`` many, else in as many blocks as they need, one
+pass each; documents are never shuffled. A document's windows are hashed only where all
+their tokens occur in the benchmark. An item with fewer tokens than a window is one
+window of its own length. An item of fewer than four exact tokens is found where it is a
+whole text; template windows with fewer literal words than placeholders are left to the
+exact form. Texts of any length are read whole, some two million characters at a time.
 
 Defined results: null or empty texts on either side match nothing; rows without a
 doc_id are not reported; different texts of one id are judged apart and the best
@@ -38,6 +40,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import staged
 from labelloom.llm.memories import remembered
-from labelloom.llm.shingles import windows
+from labelloom.llm.shingles import window_hashes, windows
 
 WIDTH = 8
 LEAST_TOKENS = 4
@@ -56,6 +60,7 @@ RUN = 15
 BLOCK = 4_000_000
 _MAX_CHUNKS = 300_000
 _MAX_CHARS = 16_000_000
+_CHARS_AT_ONCE = 1 << 21
 
 # Units that may follow a number.
 UNITS = frozenset("""
@@ -81,6 +86,7 @@ _UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\
 _EXACT = re.compile(rf"([{_UNSPACED}])|\d+(?:[.,:/]\d+)*|(?:(?![{_UNSPACED}])[^\W\d_])+"
                     r"|(?<![^\W\d_])-|[+*/=<>^%\u00d7\u00f7\u221a\u2264\u2265\u2260\u00b1\u2212]")
 _LITERAL, _NUM, _UNIT, _NAME = 0, 1, 2, 3
+_EXACT_FORM = 2
 
 
 def _hash(word: str) -> int:
@@ -139,20 +145,65 @@ class _Chunks(dict):
         return place
 
 
+@dataclass
+class Form:
+    """Tokens of several texts behind each other, in one form."""
+    hash: np.ndarray
+    kind: np.ndarray
+    slot: np.ndarray
+    owner: np.ndarray
+    """Which text a token is of."""
+    known: np.ndarray
+    """Whether any benchmark window of this form holds the token."""
+
+    def of_text(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        begin, end = np.searchsorted(self.owner, (i, i + 1))
+        return self.hash[begin:end], self.kind[begin:end], self.slot[begin:end]
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows that lie in one text and hold known tokens only.
+
+        Fewer than ``LEAST_TOKENS`` tokens are a window only where they are the whole text.
+        """
+        count = len(self.hash) - width + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        strange = np.concatenate([[0], np.cumsum(~self.known)])
+        usable = (strange[width:] == strange[:count]) & (self.owner[width - 1:] == self.owner[:count])
+        if width < LEAST_TOKENS:
+            turns = np.concatenate([[True], self.owner[1:] != self.owner[:-1], [True]])
+            usable &= turns[:count] & turns[width:]
+        starts = np.flatnonzero(usable)
+        return starts, window_hashes(self.hash, starts, width)
+
+
 class TemplateReader:
-    """Tokens of texts; what chunks of text mean is remembered up to a bound."""
+    """Tokens of texts; what chunks of text mean is remembered up to a bound.
 
-    def __init__(self):
+    ``vocabulary`` has the sorted token hashes of the benchmark by form; without it all
+    tokens count as known.
+    """
+
+    def __init__(self, vocabulary: dict[int, np.ndarray] | None = None):
+        self._vocabulary = vocabulary
+        self._slot_known = {f: self._is_known(_SLOT_HASH, f) for f in (0, 1)}
         self._reset()
 
+    def _is_known(self, hashes: np.ndarray, form: int) -> np.ndarray:
+        if self._vocabulary is None:
+            return np.ones(len(hashes), bool)
+        return np.isin(hashes, self._vocabulary.get(form, np.zeros(0, np.uint64)))
+
     def _reset(self) -> None:
         self._chunks = _Chunks()
         self._words = _WordHashes()
         self._hash = np.zeros(0, np.uint64)
+        self._known = [np.zeros(0, bool)] * 2
         self._flags = np.zeros((0, 4), np.uint8)
         self._starts = np.zeros(1, np.int64)
         self._ends = np.zeros(0, bool)
         self._exact_hash = np.zeros(0, np.uint64)
+        self._exact_known = np.zeros(0, bool)
         self._exact_single = np.zeros(0, np.uint64)
         self._exact_starts = np.zeros(1, np.int64)
 
@@ -161,62 +212,68 @@ class TemplateReader:
         if chunks:
             new = [_pieces(c) for c in chunks]
             tokens = [t for pieces, _ in new for t in pieces]
-            self._hash = np.concatenate([self._hash, np.array([t[0] for t in tokens], np.uint64)])
+            hashes = np.array([t[0] for t in tokens], np.uint64)
+            self._hash = np.concatenate([self._hash, hashes])
+            self._known = [np.concatenate([self._known[f], self._is_known(hashes, f)]) for f in (0, 1)]
             self._flags = np.concatenate([self._flags, np.array([t[1:] for t in tokens], np.uint8).reshape(-1, 4)])
             self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(p) for p, _ in new])])
             self._ends = np.concatenate([self._ends, np.array([e for _, e in new], bool)])
             exact = [_exact_pieces(c, self._words) for c in chunks]
-            self._exact_hash = np.concatenate([self._exact_hash, np.array([t[0] for e in exact for t in e], np.uint64)])
+            hashes = np.array([t[0] for e in exact for t in e], np.uint64)
+            self._exact_hash = np.concatenate([self._exact_hash, hashes])
+            self._exact_known = np.concatenate([self._exact_known, self._is_known(hashes, _EXACT_FORM)])
             self._exact_single = np.concatenate([self._exact_single, np.array([t[1] for e in exact for t in e], np.uint64)])
             self._exact_starts = np.concatenate(
                 [self._exact_starts, self._exact_starts[-1] + np.cumsum([len(e) for e in exact])])
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: template hashes, kinds and slot values of its tokens."""
-        return [forms[0] for forms in self.forms(texts)]
+        form = self.forms(texts)[0]
+        return [form.of_text(i) for i in range(len(texts))]
 
-    def forms(self, texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Per text and form: hashes, kinds and slot values of its tokens."""
+    def forms(self, texts: list[str]) -> list[Form]:
+        """The tokens of all texts in each of the three forms."""
         if len(self._chunks) > _MAX_CHUNKS or self._chunks.chars > _MAX_CHARS or len(self._words) > _MAX_CHUNKS:
             self._reset()
-        places = []
-        for text in texts:
-            pieces = text.split()
-            places.append(np.fromiter(map(self._chunks.__getitem__, pieces), np.int64, len(pieces)))
+        pieces = [text.split() for text in texts]
+        sizes = list(map(len, pieces))
+        places = np.fromiter(map(self._chunks.__getitem__, chain.from_iterable(pieces)), np.int64, sum(sizes))
+        owner = np.repeat(np.arange(len(texts)), sizes)
         self._catch_up()
-        return [[*self._templates(p), self._exact(p)] for p in places]
+        return [*self._templates(places, owner), self._exact(places, owner)]
 
-    def _exact(self, places: np.ndarray):
-        at, _ = _token_places(self._exact_starts, places)
+    def _exact(self, places: np.ndarray, owner: np.ndarray) -> Form:
+        at, size = _token_places(self._exact_starts, places)
         # no slots; the third part tells characters of unspaced scripts
-        return self._exact_hash[at], np.zeros(len(at), np.int64), self._exact_single[at]
+        return Form(self._exact_hash[at], np.zeros(len(at), np.uint8), self._exact_single[at],
+                    np.repeat(owner, size), self._exact_known[at])
 
-    def _templates(self, places: np.ndarray):
+    def _templates(self, places: np.ndarray, owner: np.ndarray) -> list[Form]:
         at, size = _token_places(self._starts, places)
-        total = len(at)
         value, flags = self._hash[at], self._flags[at]
-        kind = flags[:, 0].astype(np.int64)
+        kind = flags[:, 0].copy()
         # a sentence starts with the text and after a chunk that ends one
         opens = np.ones(len(places), bool)
-        opens[1:] = self._ends[places[:-1]]
-        first = np.repeat(opens, size)
-        after_number = np.zeros(total, bool)
-        after_number[1:] = kind[:-1] == _NUM
+        opens[1:] = self._ends[places[:-1]] | (owner[1:] != owner[:-1])
+        first, owner = np.repeat(opens, size), np.repeat(owner, size)
+        after_number = np.zeros(len(at), bool)
+        after_number[1:] = (kind[:-1] == _NUM) & (owner[1:] == owner[:-1])
         kind[(kind == _LITERAL) & (flags[:, 2] == 1) & after_number] = _UNIT
         capital = (kind == _LITERAL) & (flags[:, 1] == 1)
         mixed = value * np.uint64(0x9E3779B97F4A7C15)
-        return [self._named(kind, value, mixed, capital & name, first)
-                for name in (~first, flags[:, 3] == 0)]
+        return [self._named(kind, value, mixed, capital & name, first, owner, self._known[form][at], form)
+                for form, name in enumerate((~first, flags[:, 3] == 0))]
 
-    def _named(self, kind, value, mixed, name, first):
-        kind = np.where(name, _NAME, kind)
+    def _named(self, kind, value, mixed, name, first, owner, known, form) -> Form:
+        kind = np.where(name, np.uint8(_NAME), kind)
         # names in a row are one name, unless a sentence ends between them
         again = np.zeros(len(kind), bool)
         again[1:] = name[1:] & name[:-1] & ~first[1:]
         heads = np.flatnonzero(~again)
         slot = np.add.reduceat(mixed, heads) if len(heads) else value
-        kind, value = kind[heads], value[heads]
-        return np.where(kind == _LITERAL, value, _SLOT_HASH[kind]), kind, slot
+        kind, literal = kind[heads], kind[heads] == _LITERAL
+        return Form(np.where(literal, value[heads], _SLOT_HASH[kind]), kind, slot, owner[heads],
+                    np.where(literal, known[heads], self._slot_known[form][kind]))
 
 
 def _token_places(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,11 +284,11 @@ def _token_places(starts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, n
     return np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size), size
 
 
-def text_windows(tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of a template, and which have enough literal words."""
+def text_windows(tokens, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of an item, and which have enough literal words."""
     template, kind, _ = tokens
     size = min(width, len(template))
-    if size < LEAST_TOKENS:
+    if size < (1 if form == _EXACT_FORM else LEAST_TOKENS):
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     literal = np.concatenate([[0], np.cumsum(kind == _LITERAL)])
     return windows(template, width), 2 * (literal[size:] - literal[:-size]) >= size
@@ -243,11 +300,10 @@ def _slots(tokens, start: int, size: int) -> list[int]:
 
 
 _WINDOW = ("item_id long, item_key long, form int, hash long, position int, width int, slots array<long>, "
-           "windows long, run int")
+           "windows long, run int, tokens array<long>")
 _HIT = "doc_id long, doc_key long, form int, hash long, position long, slots array<long>"
 _LINE = ("doc_id long, doc_key long, item_id long, item_key long, form int, windows long, run int, at array<int>, "
          "longest int, same_values boolean")
-_EXACT_FORM = 2
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -269,14 +325,15 @@ def _item_windows(width: int):
         for batch in batches:
             rows = []
             read = reader.forms([t or "" for t in batch.column("text").to_pylist()])
-            for item, key, forms in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_key")), read):
-                for form, tokens in enumerate(forms):
-                    hashes, usable = text_windows(tokens, width)
+            for row, (item, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_key")))):
+                for form, tokens in enumerate(f.of_text(row) for f in read):
+                    hashes, usable = text_windows(tokens, width, form)
                     size, count = min(width, len(tokens[0])), int(usable.sum())
                     singles = form == _EXACT_FORM and 2 * int(tokens[2].sum()) > len(tokens[2])
                     for i in np.flatnonzero(usable).tolist():
                         rows.append((item, key, form, int(hashes[i].view(np.int64)), i, size,
-                                     _slots(tokens, i, size), count, RUN * (1 + singles)))
+                                     _slots(tokens, i, size), count, RUN * (1 + singles),
+                                     tokens[0][i:i + size].view(np.int64).tolist()))
             yield _columns(rows, schema)
     return cut
 
@@ -299,24 +356,35 @@ class _Known:
 
 
 def _hits(wanted, widths: list[tuple[int, int]]):
-    """Document windows that are among the broadcast benchmark windows."""
+    """Document windows that are among the broadcast benchmark windows.
+
+    A window that holds a token of no benchmark window equals none, so only the others are hashed.
+    """
     schema = _arrow(_HIT)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = remembered("templates", TemplateReader)
-        known = {form: _Known(hashes) for form, hashes in wanted.value.items()}
+        reader = remembered(("templates", wanted.value["key"]), lambda: TemplateReader(wanted.value["tokens"]))
+        known = {form: _Known(hashes) for form, hashes in wanted.value["windows"].items()}
         for batch in batches:
-            rows = []
-            read = reader.forms([t or "" for t in batch.column("text").to_pylist()])
-            for doc, key, forms in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_key")), read):
+            row = 0
+            while row < batch.num_rows:  # some texts at a time, so that memory stays bounded
+                texts, size = [], 0
+                while row + len(texts) < batch.num_rows and size < _CHARS_AT_ONCE:
+                    texts.append(batch.column("text")[row + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                ids, keys = (batch.column(c).slice(row, len(texts)).to_pylist() for c in ("doc_id", "doc_key"))
+                forms, rows = reader.forms(texts), []
                 for form, width in widths:
                     tokens = forms[form]
-                    if len(tokens[0]) < width:
-                        continue
-                    found = windows(tokens[0], width)
-                    for i in known[form].places(found):
-                        rows.append((doc, key, form, int(found[i].view(np.int64)), i, _slots(tokens, i, width)))
-            yield _columns(rows, schema)
+                    starts, found = tokens.windows(width)
+                    for place in known[form].places(found):
+                        i = int(starts[place])
+                        text = int(tokens.owner[i])
+                        begin = int(np.searchsorted(tokens.owner, text))
+                        slots = _slots((tokens.hash, tokens.kind, tokens.slot), i, width)
+                        rows.append((ids[text], keys[text], form, int(found[place].view(np.int64)), i - begin, slots))
+                yield _columns(rows, schema)
+                row += len(texts)
     return find
 
 
@@ -354,6 +422,13 @@ def _judged_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _columns(rows, schema)
 
 
+def _by_form(hashes: DataFrame, forms: list[int]) -> dict[int, np.ndarray]:
+    """Sorted distinct hashes of every form."""
+    table = hashes.distinct().toArrow()
+    form, values = (table.column(c).to_numpy() for c in ("form", "hash"))
+    return {f: np.unique(values[form == f].astype(np.int64).view(np.uint64)) for f in forms}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                  least_coverage: float = LEAST_COVERAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, matched, windows, same_values) per contaminated document and item."""
@@ -368,10 +443,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     for part in range(blocks):
         mine = items.where(F.pmod("hash", F.lit(blocks)) == part)
         widths = sorted((r.form, r.width) for r in mine.select("form", "width").distinct().collect())  # at most `width` a form
-        table = mine.select("form", "hash").distinct().toArrow()
-        form, hashes = (table.column(c).to_numpy() for c in ("form", "hash"))
-        wanted = {f: np.unique(hashes[form == f].astype(np.int64).view(np.uint64)) for f in sorted({f for f, _ in widths})}
-        if wanted:
+        forms = sorted({f for f, _ in widths})
+        wanted = {"windows": _by_form(mine.select("form", "hash"), forms),
+                  "tokens": _by_form(mine.select("form", F.explode("tokens").alias("hash")), forms)}
+        if forms:
+            wanted["key"] = xxhash.xxh3_64_intdigest(b"".join(wanted["windows"][f].tobytes() for f in forms))
             found = texts.mapInArrow(_hits(spark.sparkContext.broadcast(wanted), widths), _HIT)
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:

@@ -127,7 +127,7 @@ def test_passages_with_other_numbers_and_names_are_found(llm, documents):
 def test_short_items_and_empty_tables(llm, documents):
     items = [(1, "where does the river end"), (2, "too short"), (3, None), (None, ITEM), (4, "")]
     got = found(documents, llm, ["So where does the river end today?", "too short", ITEM], items)
-    assert set(got) == {(0, 1)}
+    assert set(got) == {(0, 1), (1, 2)}  # fewer than four tokens are found as a whole text
     assert found(documents, llm, [ITEM], [(3, None)]) == {}
     blocks = templates.contaminated(documents((0, ITEM)), llm.createDataFrame([(1, ITEM)], "item_id long, text string"), block=3)
     assert blocks.count() == 1
