@@ -1,34 +1,42 @@
 """Toxicity of whole texts: a bidirectional GRU with attention pooling, in numpy.
 
-A word enters as two vectors: an embedding of the word and the mean of embeddings of
-its character pieces (prefixes and suffixes). Words and pieces that are rare in the
-training sample have none. Both directions of the recurrent network read a window of
-``WINDOW`` words; attention pools their states, and a logistic unit gives the
-window's score. A text's windows overlap by half, all of them are scored, and the
-largest score is the text's.
+A text is read as pieces: runs of letters, marks and digits in lower case, and overlapping
+parts of runs over ``LONGEST`` characters, so that every letter of unspaced scripts and of
+words joined by punctuation enters. A piece enters the network as two vectors: an
+embedding of the piece, and the mean of embeddings of its character n-grams at all
+positions. Pieces and n-grams that are rare in the training sample have none. Both
+directions of the recurrent network read a window of ``WINDOW`` pieces; attention pools
+their states, and a logistic unit gives the window's score. A text's windows overlap by
+half, all of them are scored, and the largest score is the text's.
 
 Labels belong to texts, not windows, so training alternates: of every text the
 window with the largest score stands for it, then the network is fitted to those.
 The first choice, and the start of the embeddings' first component, come from the
-log-odds of words and pieces in the training sample. The sample is bounded: of each
+log-odds of pieces and n-grams in the training sample. The sample is bounded: of each
 label the document with the smallest hash in each of ``BUCKETS[label]`` hash buckets,
 and ``SAMPLE_WINDOWS`` windows of a document, evenly spaced, when it has more. The
 fit is one task; scoring is spread over the executors and reads all texts.
 
-Defined results: a text without words scores 0; without labels of both kinds every
-text does; null labels and null ids are not learned; an empty table gives no rows.
-Other columns of the input are kept by ``with_score`` and may have any name.
+Defined results: a text without letters or digits scores 0; without labels of both kinds
+every text does; null labels and null ids are not learned; an empty table gives no rows.
+Texts of any length are scored whole, some windows at a time. Other columns of the input
+are kept by ``with_score`` and may have any name.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +44,15 @@ from pyspark.sql import types as T
 
 from labelloom.llm.common import unused_name
 from labelloom.llm.memories import remembered
+from labelloom.llm.shingles import mixed_bits
 
 WINDOW = 64
 STRIDE = 32
 LEAST_DOCUMENTS = 3
-PREFIXES = (3, 4, 5, 6, 7, 8)
-SUFFIXES = (3, 4)
-PIECES = len(PREFIXES) + len(SUFFIXES)
+GRAMS = (3, 4, 5)
+LONGEST = 24
+PART = 16
+PART_STRIDE = 8
 WIDTH = 6
 HIDDEN = 8
 ATTENTION = 8
@@ -52,197 +62,379 @@ EPOCHS = 8
 BATCH = 128
 RATE = 0.01
 SEED = 7
-_SCORED_AT_ONCE = 4096
-_MAX_WORDS = 200_000
+_GATES = ("z", "r", "n")
+_ROWS_AT_ONCE = 512
+_WINDOWS_HELD = 16_384
+_MAX_PIECES = 300_000
+_CHARS_AT_ONCE = 1 << 21
 _PRIOR = 2.0
 _SAMPLE = "doc_id long, toxic int, words array<string>"
 _SAMPLE_TYPE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string()))])
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-# ---- words ---------------------------------------------------------------------------
-
-def word_names(chunk: str) -> list[int]:
-    """Hashes that name a word and its pieces; 0 for a piece as long as the word or longer."""
-    word = _EDGE.sub("", chunk).lower()
-    if not word:
-        return [0] * (1 + PIECES)
-    names = [_name("=" + word)]
-    names += [_name("<" + word[:n]) if len(word) >= n else 0 for n in PREFIXES]
-    return names + [_name(">" + word[-n:]) if len(word) >= n else 0 for n in SUFFIXES]
-
-
-def _name(piece: str) -> int:
-    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) | 1
+_ASCII_RUN = re.compile(r"[a-z0-9]+")
+_PLAIN_RUN = re.compile(r"[^\W_]+")
+_RUN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_MARKS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
+_FACTORS = (np.arange(1, max(GRAMS) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+# ---- pieces --------------------------------------------------------------------------
+
+def pieces(text: str) -> list[str]:
+    """Runs of letters, marks and digits in lower case; long runs as overlapping parts."""
+    low = text.lower()
+    if low.isascii():
+        runs = _ASCII_RUN.findall(low)
+    else:
+        runs = (_PLAIN_RUN if _MARKS.isdisjoint(set(low)) else _RUN).findall(low)
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    out = []
+    for run in runs:
+        out += [run] if len(run) <= LONGEST else [
+            run[i:i + PART] for i in range(0, len(run) - PART + PART_STRIDE, PART_STRIDE)]
+    return out
 
 
-def word_features(chunk: str, rows: dict[int, int]) -> list[int]:
-    """Rows of the embeddings of a word and its pieces; row 0 is nothing known, -1 no word."""
-    names = word_names(chunk)
-    return [rows.get(n, 0) for n in names] if names[0] else [-1] + [0] * PIECES
+@dataclass
+class Ragged:
+    """Lists of numbers of several pieces: ``flat`` cut at ``starts``."""
+    flat: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def of_sizes(flat: np.ndarray, sizes: np.ndarray | list[int]) -> "Ragged":
+        return Ragged(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+    def at(self, rows: np.ndarray) -> "Ragged":
+        begin = self.starts[rows]
+        size = self.starts[rows + 1] - begin
+        starts = np.concatenate([[0], np.cumsum(size)])
+        return Ragged(self.flat[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], size)], starts)
+
+    def where(self, kept: np.ndarray) -> "Ragged":
+        before = np.concatenate([[0], np.cumsum(kept)])
+        return Ragged(self.flat[kept], before[self.starts])
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Per list the mean of rows of ``table``; zeros for an empty list."""
+        size = self.sizes()
+        out = np.zeros((len(size), table.shape[1]), table.dtype)
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] = np.add.reduceat(table[self.flat], self.starts[some], axis=0) / size[some, None].astype(table.dtype)
+        return out
 
 
-def window_starts(words: int) -> range:
+def gram_hashes(names: list[str]) -> Ragged:
+    """64-bit hashes of the character n-grams of pieces with their borders, at all positions."""
+    marked = "".join([f"<{name}>" for name in names]).encode("utf-32-le", "surrogatepass")
+    letters = np.frombuffer(marked, np.uint32).astype(np.uint64)
+    size = np.array([len(name) + 2 for name in names], np.int64)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(letters))  # letters up to the piece's end
+    padded = np.concatenate([letters, np.zeros(max(GRAMS), np.uint64)])
+    hashes = np.empty((len(letters), len(GRAMS)), np.uint64)
+    total = np.zeros(len(letters), np.uint64)
+    for i in range(max(GRAMS)):
+        total += padded[i:i + len(letters)] * _FACTORS[i]
+        if i + 1 in GRAMS:
+            hashes[:, GRAMS.index(i + 1)] = mixed_bits(total + _FACTORS[-1:] * np.uint64(i + 1))
+    inside = left[:, None] >= np.array(GRAMS)
+    many = np.add.reduceat(inside.sum(axis=1), np.cumsum(size) - size) if len(names) else size
+    return Ragged.of_sizes(hashes[inside], many)
+
+
+@dataclass
+class Known:
+    """Pieces and n-grams with embeddings. Row 0 is nothing; pieces come first, n-grams after them."""
+    pieces: dict[str, int]
+    grams: np.ndarray
+    """Hashes, sorted."""
+
+    def __len__(self) -> int:
+        return 1 + len(self.pieces) + len(self.grams)
+
+    def gram_rows(self, hashes: Ragged) -> Ragged:
+        if not len(self.grams):
+            return hashes.where(np.zeros(len(hashes.flat), bool))
+        place = np.searchsorted(self.grams, hashes.flat)
+        place[place == len(self.grams)] = 0
+        found = hashes.where(self.grams[place] == hashes.flat)
+        found.flat = place[self.grams[place] == hashes.flat] + 1 + len(self.pieces)
+        return found
+
+
+@dataclass
+class Features:
+    """Embedding rows of pieces (0: none) and of their n-grams."""
+    piece: np.ndarray
+    grams: Ragged
+
+    @staticmethod
+    def of(names: list[str], known: Known) -> "Features":
+        return Features(np.array([known.pieces.get(name, 0) for name in names], np.int64),
+                        known.gram_rows(gram_hashes(names)))
+
+    def at(self, rows: np.ndarray) -> "Features":
+        return Features(self.piece[rows], self.grams.at(rows))
+
+    def vectors(self, table: np.ndarray) -> np.ndarray:
+        return np.concatenate([table[self.piece], self.grams.means(table)], axis=1)
+
+
+def window_starts(count: int) -> range:
     """Starts of the overlapping windows that cover a text."""
-    return range(0, max(1, words - WINDOW + STRIDE), STRIDE) if words > WINDOW else range(0, 1)
+    return range(0, max(1, count - WINDOW + STRIDE), STRIDE) if count > WINDOW else range(0, 1)
 
 
 # ---- network ---------------------------------------------------------------------------
+# Arrays over steps have the shape (steps, 2, rows, ...): the second axis is the direction, and
+# the backward one is stored in the order in which it is read. Gates z and r are
+# sigmoids, computed as half a tangent of half the input.
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _half(name: str) -> float:
+    return 1.0 if name == "n" else 0.5
 
 
 def new_parameters(rng: np.random.Generator, rows: int) -> dict[str, np.ndarray]:
     def normal(*shape: int) -> np.ndarray:
-        return (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        return (rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else shape[0])).astype(np.float32)
     p = {"embedding": 0.1 * rng.standard_normal((rows, WIDTH)).astype(np.float32),
-         "att_w": normal(2 * HIDDEN, ATTENTION), "att_v": normal(ATTENTION),
+         "att_w": normal(2, HIDDEN, ATTENTION) / np.float32(np.sqrt(2)), "att_v": normal(ATTENTION),
          "out_w": normal(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
-    for side in ("f", "b"):
-        p[f"in_{side}"] = normal(2 * WIDTH, 3 * HIDDEN)
-        p[f"rec_{side}"] = normal(HIDDEN, 3 * HIDDEN)
-        p[f"bias_{side}"] = np.zeros(3 * HIDDEN, np.float32)
+    for name in _GATES:
+        p[f"in_{name}"] = normal(2, 2 * WIDTH, HIDDEN)
+        p[f"rec_{name}"] = normal(2, HIDDEN, HIDDEN)
+        p[f"bias_{name}"] = np.zeros((2, 1, HIDDEN), np.float32)
     p["embedding"][0] = 0
     return p
 
 
-def embedded(p: dict, features: np.ndarray) -> np.ndarray:
-    """Input vectors of words given by their feature rows."""
-    table = p["embedding"]
-    return np.concatenate([table[np.maximum(features[..., 0], 0)], table[features[..., 1:]].mean(axis=-2)], axis=-1)
-
-
-def _run(gates: np.ndarray, mask: np.ndarray, rec: np.ndarray, keep: list | None) -> np.ndarray:
-    """States of one direction, in the order of ``gates`` (steps, rows, 3 * HIDDEN)."""
-    h = np.zeros((gates.shape[1], HIDDEN), np.float32)
-    out = np.empty((*gates.shape[:2], HIDDEN), np.float32)
-    for t in range(len(gates)):
-        u = h @ rec
-        zr = _sigmoid(gates[t, :, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[t, :, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-        new = n + z * (h - n)
+def _run(gates: Callable[[int], list[np.ndarray]], steps: int, rows: int, p: dict, mask: np.ndarray | None,
+         keep: list | None) -> np.ndarray:
+    """States of both directions. ``gates`` gives the inputs of a step in arrays that are written over."""
+    kind = p["rec_z"].dtype
+    rec = {name: (p[f"rec_{name}"] * _half(name)).astype(kind) for name in _GATES}
+    h = np.zeros((2, rows, HIDDEN), kind)
+    out = np.empty((steps, 2, rows, HIDDEN), kind)
+    u = np.empty((2, rows, HIDDEN), kind)
+    for t in range(steps):
+        z, r, n = gates(t)
+        for name, gate in (("z", z), ("r", r)):
+            gate += np.matmul(h, rec[name], out=u)
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+        np.matmul(h, rec["n"], out=u)
         if keep is not None:
-            keep.append((h, z, r, n, u[:, 2 * HIDDEN:]))
-        h = np.where(mask[t], new, h)
-        out[t] = h
+            keep.append([h, z.copy(), r.copy(), None, u.copy()])
+        r *= u
+        n += r
+        np.tanh(n, out=n)
+        if keep is not None:
+            keep[-1][3] = n.copy()
+        new = np.subtract(h, n, out=out[t])
+        new *= z
+        new += n
+        if mask is not None:
+            np.copyto(new, h, where=~mask[t])
+        h = new
     return out
 
 
-def pooled_scores(p: dict, gates_f: np.ndarray, gates_b: np.ndarray, mask: np.ndarray,
-                  keep: dict | None = None) -> np.ndarray:
-    """Scores of windows; gates are input pre-activations (steps, rows, 3 * HIDDEN)."""
-    kept_f, kept_b = ([], []) if keep is not None else (None, None)
-    forward = _run(gates_f, mask, p["rec_f"], kept_f)
-    backward = _run(gates_b[::-1], mask[::-1], p["rec_b"], kept_b)[::-1]
-    states = np.concatenate([forward, backward], axis=2)
-    inner = np.tanh(states @ p["att_w"])
-    weight = np.where(mask[:, :, 0], inner @ p["att_v"], -np.inf)
+def _pooled(states: np.ndarray, mask: np.ndarray | None, p: dict, keep: dict | None = None) -> np.ndarray:
+    """Scores of windows from the states; ``mask`` is (steps, rows)."""
+    forward, backward = states[:, 0], states[::-1, 1]
+    inner = forward @ p["att_w"][0]
+    inner += backward @ p["att_w"][1]
+    np.tanh(inner, out=inner)
+    weight = inner @ p["att_v"]
+    if mask is not None:
+        weight = np.where(mask, weight, -np.inf)
     weight = np.exp(weight - weight.max(axis=0))
     weight /= weight.sum(axis=0)
-    pooled = np.einsum("tb,tbh->bh", weight, states)
-    score = _sigmoid(pooled @ p["out_w"] + p["out_b"][0])
+    pooled = np.concatenate([np.einsum("tb,tbh->bh", weight, side) for side in (forward, backward)], axis=1)
+    score = 0.5 * np.tanh(0.5 * (pooled @ p["out_w"] + p["out_b"][0])) + 0.5
     if keep is not None:
-        keep.update(f=kept_f, b=kept_b, states=states, inner=inner, weight=weight, pooled=pooled)
+        keep.update(forward=forward, backward=backward, inner=inner, weight=weight, pooled=pooled)
     return score
 
 
-def _back(d_states: np.ndarray, kept: list, mask: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of one direction's gates and recurrent matrix."""
-    d_gates = np.zeros((*d_states.shape[:2], 3 * HIDDEN), np.float32)
-    d_rec = np.zeros_like(rec)
-    d_h = np.zeros(d_states.shape[1:], np.float32)
+def _both(x: np.ndarray) -> np.ndarray:
+    """The same steps for both directions, the second in reverse."""
+    return np.stack([x, x[::-1]], axis=1)
+
+
+def _back(d_states: np.ndarray, kept: list, mask: np.ndarray, p: dict, g: dict) -> dict[str, np.ndarray]:
+    """Gradients of the gates' inputs; those of the recurrent matrices are put in ``g``."""
+    d_gates = {name: np.zeros_like(d_states) for name in _GATES}
+    for name in _GATES:
+        g[f"rec_{name}"] = np.zeros_like(p[f"rec_{name}"])
+    d_h = np.zeros_like(d_states[0])
     for t in range(len(kept) - 1, -1, -1):
-        h, z, r, n, un = kept[t]
+        h, z, r, n, u = kept[t]
         d_out = d_h + d_states[t]
         d_new = np.where(mask[t], d_out, 0)
         d_n = d_new * (1 - z) * (1 - n * n)
-        d_z = d_new * (h - n) * z * (1 - z)
-        d_r = d_n * un * r * (1 - r)
-        d_u = np.concatenate([d_z, d_r, d_n * r], axis=1)
-        d_gates[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-        d_rec += h.T @ d_u
-        d_h = np.where(mask[t], d_new * z, d_out) + d_u @ rec.T
-    return d_gates, d_rec
+        d_gates["z"][t] = d_new * (h - n) * z * (1 - z)
+        d_gates["r"][t] = d_n * u * r * (1 - r)
+        d_gates["n"][t] = d_n
+        d_h = np.where(mask[t], d_new * z, d_out)
+        for name, d in (("z", d_gates["z"][t]), ("r", d_gates["r"][t]), ("n", d_n * r)):
+            g[f"rec_{name}"] += h.transpose(0, 2, 1) @ d
+            d_h += d @ p[f"rec_{name}"].transpose(0, 2, 1)
+    return d_gates
+
 
+def _added(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add ``values`` to rows of ``table``, which may repeat."""
+    for i in range(table.shape[1]):
+        table[:, i] += np.bincount(rows, values[:, i], len(table)).astype(table.dtype)
 
-def gradients(p: dict, features: np.ndarray, mask: np.ndarray, labels: np.ndarray,
+
+def gradients(p: dict, features: Features, grid: np.ndarray, sizes: np.ndarray, labels: np.ndarray,
               weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Weighted log loss of windows (rows, steps, 1 + PIECES) and its gradient."""
-    features, mask = features.transpose(1, 0, 2), mask.T[:, :, None]
-    x = embedded(p, features)
-    gates = {s: x @ p[f"in_{s}"] + p[f"bias_{s}"] for s in ("f", "b")}
+    """Weighted log loss of windows of piece numbers (rows, steps) and its gradient.
+
+    The first ``sizes`` entries of a row are its window.
+    """
+    steps, rows = int(sizes.max()), len(grid)
+    used, places = np.unique(grid[:, :steps].T, return_inverse=True)
+    places = places.reshape(steps, rows)
+    mine = features.at(used)
+    x = mine.vectors(p["embedding"])[places]
+    inside = np.arange(steps)[:, None] < sizes
+    mask = _both(inside)[..., None]
+    both = _both(x)
+    gates = {name: (both @ p[f"in_{name}"] + p[f"bias_{name}"]) * _half(name) for name in _GATES}
+    kept: list = []
     k: dict = {}
-    score = pooled_scores(p, gates["f"], gates["b"], mask, k)
+    states = _run(lambda t: [gates[name][t].astype(p["rec_z"].dtype) for name in _GATES], steps, rows, p, mask, kept)
+    score = _pooled(states, inside, p, k)
     loss = -np.mean(weights * (labels * np.log(score + 1e-7) + (1 - labels) * np.log(1 - score + 1e-7)))
-    d_logit = (weights * (score - labels) / len(labels)).astype(np.float32)
-    g = {"out_w": k["pooled"].T @ d_logit, "out_b": np.array([d_logit.sum()], np.float32)}
-    d_pooled = d_logit[:, None] * p["out_w"]
-    d_states = k["weight"][:, :, None] * d_pooled
-    d_weight = np.einsum("tbh,bh->tb", k["states"], d_pooled)
+    d_logit = (weights * (score - labels) / len(labels)).astype(states.dtype)
+    g = {"out_w": k["pooled"].T @ d_logit, "out_b": np.array([d_logit.sum()], states.dtype)}
+    d_pooled = np.split(d_logit[:, None] * p["out_w"], 2, axis=1)
+    sides = (k["forward"], k["backward"])
+    d_weight = sum(np.einsum("tbh,bh->tb", side, d) for side, d in zip(sides, d_pooled))
     d_raw = k["weight"] * (d_weight - (k["weight"] * d_weight).sum(axis=0))
-    g["att_v"] = np.einsum("tb,tba->a", d_raw, k["inner"])
+    g["att_v"] = d_raw.ravel() @ k["inner"].reshape(-1, ATTENTION)
     d_inner = d_raw[:, :, None] * p["att_v"] * (1 - k["inner"] ** 2)
-    g["att_w"] = np.einsum("tbh,tba->ha", k["states"], d_inner)
-    d_states = d_states + d_inner @ p["att_w"].T
-    d_x = np.zeros_like(x)
-    for s, part, flip in (("f", slice(0, HIDDEN), 1), ("b", slice(HIDDEN, None), -1)):
-        d_gates, g[f"rec_{s}"] = _back(d_states[::flip, :, part], k[s], mask[::flip], p[f"rec_{s}"])
-        d_gates = d_gates[::flip]
-        g[f"in_{s}"] = np.einsum("tbi,tbj->ij", x, d_gates)
-        g[f"bias_{s}"] = d_gates.sum(axis=(0, 1))
-        d_x += d_gates @ p[f"in_{s}"].T
+    g["att_w"] = np.stack([side.reshape(-1, HIDDEN).T @ d_inner.reshape(-1, ATTENTION) for side in sides])
+    d_states = np.empty_like(states)
+    for side, flip in ((0, 1), (1, -1)):
+        d_states[:, side] = (k["weight"][:, :, None] * d_pooled[side] + d_inner @ p["att_w"][side].T)[::flip]
+    d_gates = _back(d_states, kept, mask, p, g)
+    d_both = np.zeros_like(both)
+    for name in _GATES:
+        g[f"in_{name}"] = np.stack([both[:, side].reshape(-1, 2 * WIDTH).T @ d_gates[name][:, side].reshape(-1, HIDDEN)
+                                    for side in (0, 1)])
+        g[f"bias_{name}"] = d_gates[name].sum(axis=(0, 2))[:, None]
+        d_both += d_gates[name] @ p[f"in_{name}"].transpose(0, 2, 1)
+    d_x = (d_both[:, 0] + d_both[::-1, 1]).reshape(-1, 2 * WIDTH)
+    d_vectors = np.zeros((len(used), 2 * WIDTH), states.dtype)
+    _added(d_vectors, places.ravel(), d_x)
     g["embedding"] = np.zeros_like(p["embedding"])
-    np.add.at(g["embedding"], np.maximum(features[..., 0], 0).ravel(), d_x[..., :WIDTH].reshape(-1, WIDTH))
-    spread = np.repeat(d_x[..., WIDTH:].reshape(-1, WIDTH) / PIECES, PIECES, axis=0)
-    np.add.at(g["embedding"], features[..., 1:].ravel(), spread)
+    _added(g["embedding"], mine.piece, d_vectors[:, :WIDTH])
+    size = mine.grams.sizes()
+    _added(g["embedding"], mine.grams.flat, np.repeat(d_vectors[:, WIDTH:] / np.maximum(size, 1)[:, None], size, axis=0))
     g["embedding"][0] = 0
     return float(loss), g
 
 
-# ---- training ----------------------------------------------------------------------------
+class Gates:
+    """What pieces give to the gates: per gate a table with two rows per piece, one per direction."""
 
-def _rows_and_odds(names: np.ndarray, windows: np.ndarray, docs: np.ndarray,
-                   toxic: np.ndarray) -> tuple[dict[int, int], np.ndarray]:
-    """Embedding rows of names that enough documents hold, and the rows' shrunk log-odds.
+    def __init__(self, p: dict):
+        self._p = p
+        self.tables = {name: np.zeros((0, HIDDEN), np.float32) for name in _GATES}
 
-    ``names`` are those of the word types; a kind of name after the other, for memory.
-    """
-    held = np.unique(docs[:, None] * np.int64(len(names)) + windows)  # document and word, once each
-    doc, word = held // len(names), held % len(names)
-    share = toxic.mean()
-    rows: dict[int, int] = {}
-    odds = [np.zeros(1)]
-    for kind in names.T:
-        known, place = np.unique(kind, return_inverse=True)
-        pairs = np.unique(doc * np.int64(len(known)) + place[word])
-        hot = toxic[pairs // len(known)] == 1
-        yes, no = (np.bincount(pairs[x] % len(known), minlength=len(known)) for x in (hot, ~hot))
-        kept = np.flatnonzero((yes + no >= LEAST_DOCUMENTS) & (known > 0))
-        rows.update(zip(known[kept].tolist(), range(len(rows) + 1, len(rows) + 1 + len(kept))))
-        odds.append(np.log((yes[kept] + _PRIOR * share) / (no[kept] + _PRIOR * (1 - share))) - np.log(share / (1 - share)))
-    return rows, np.concatenate(odds).astype(np.float32)
-
-
-def trained(types: list[str], windows: np.ndarray, docs: np.ndarray, toxic: np.ndarray,
+    def add(self, features: Features) -> None:
+        x = features.vectors(self._p["embedding"])
+        for name in _GATES:
+            new = (x @ self._p[f"in_{name}"] + self._p[f"bias_{name}"]).transpose(1, 0, 2) * np.float32(_half(name))
+            self.tables[name] = np.concatenate([self.tables[name], new.reshape(-1, HIDDEN).astype(np.float32)])
+
+    def scores(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of windows (rows, steps) of piece numbers, each with one piece at least."""
+        out = np.empty(len(grid))
+        order = np.argsort(sizes, kind="stable")
+        for i in range(0, len(order), _ROWS_AT_ONCE):
+            rows = order[i:i + _ROWS_AT_ONCE]
+            out[rows] = self._block(grid[rows], sizes[rows])
+        return out
+
+    def _block(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        steps, rows = int(sizes.max()), len(grid)
+        index = _both(2 * grid[:, :steps].T)
+        index[:, 1] += 1
+        inside = None if sizes.min() == steps else np.arange(steps)[:, None] < sizes
+        mask = None if inside is None else _both(inside)[..., None]
+        held = [np.empty((2, rows, HIDDEN), np.float32) for _ in _GATES]
+
+        def gates(t: int) -> list[np.ndarray]:
+            for name, space in zip(_GATES, held):
+                np.take(self.tables[name], index[t], axis=0, out=space, mode="clip")
+            return held
+
+        return _pooled(_run(gates, steps, rows, self._p, mask, None), inside, self._p)
+
+
+# ---- training ----------------------------------------------------------------------------
+
+def _shrunk_odds(yes: np.ndarray, no: np.ndarray, share: float) -> np.ndarray:
+    return np.log((yes + _PRIOR * share) / (no + _PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def _known_and_odds(names: list[str], windows: np.ndarray, docs: np.ndarray,
+                    toxic: np.ndarray) -> tuple[Known, np.ndarray]:
+    """Pieces and n-grams that enough documents hold, and their shrunk log-odds by row."""
+    held = _distinct((docs[:, None] * np.int64(len(names)) + windows).ravel())  # document and piece, once each
+    doc, piece = held // len(names), held % len(names)
+    doc, piece = doc[piece > 0], piece[piece > 0]
+    share = float(toxic.mean())
+    hot = toxic[doc] == 1
+    yes, no = (np.bincount(piece[x], minlength=len(names)) for x in (hot, ~hot))
+    kept = np.flatnonzero(yes + no >= LEAST_DOCUMENTS)
+    known = {names[i]: k + 1 for k, i in enumerate(kept.tolist())}
+    odds = [np.zeros(1), _shrunk_odds(yes[kept], no[kept], share)]
+    hashes = gram_hashes(names)
+    grams = _distinct(hashes.flat)
+    numbers = Ragged(np.searchsorted(grams, hashes.flat), hashes.starts)
+    yes, no = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    cuts = np.searchsorted(doc, np.arange(0, len(toxic) + 256, 256))
+    for begin, end in zip(cuts[:-1], cuts[1:]):  # some documents at a time, for memory
+        mine = numbers.at(piece[begin:end])
+        pairs = _distinct(np.repeat(doc[begin:end], mine.sizes()) * np.int64(len(grams)) + mine.flat)
+        hot = toxic[pairs // len(grams)] == 1
+        yes += np.bincount(pairs[hot] % len(grams), minlength=len(grams))
+        no += np.bincount(pairs[~hot] % len(grams), minlength=len(grams))
+    common = yes + no >= LEAST_DOCUMENTS
+    odds.append(_shrunk_odds(yes[common], no[common], share))
+    return Known(known, grams[common]), np.concatenate(odds).astype(np.float32)
+
+
+def trained(names: list[str], windows: np.ndarray, docs: np.ndarray, toxic: np.ndarray,
             epochs: int = EPOCHS) -> dict:
-    """A model from sample windows: word numbers (0 is none) per row, documents, labels."""
+    """A model from sample windows: piece numbers (0 is none) per row, documents, labels."""
     rng = np.random.default_rng(SEED)
-    names = np.empty((len(types), 1 + PIECES), np.uint64)
-    for i, word in enumerate(types):
-        names[i] = word_names(word)
-    rows, odds = _rows_and_odds(names, windows, docs, toxic)
-    features = np.empty(names.shape, np.int32)
-    for i, word in enumerate(types):
-        features[i] = word_features(word, rows)
-    real = features[:, 0] >= 0
-    some = real[windows].any(axis=1)
-    windows, docs = windows[some], docs[some]
-    p = new_parameters(rng, len(rows) + 1)
+    known, odds = _known_and_odds(names, windows, docs, toxic)
+    features = Features.of(names, known)
+    sizes = (windows > 0).sum(axis=1)
+    windows, docs, sizes = windows[sizes > 0], docs[sizes > 0], sizes[sizes > 0]
+    p = new_parameters(rng, len(known))
     p["embedding"][:, 0] = odds
-    first = odds[np.maximum(features[:, 0], 0)] + odds[features[:, 1:]].mean(axis=-1)
-    scores = np.where(real, first, 0).clip(0)[windows].sum(axis=1)
+    first = odds[features.piece] + features.grams.means(odds[:, None])[:, 0]
+    scores = np.where(windows > 0, first[windows].clip(0), 0).sum(axis=1)
     balance = np.sqrt(np.where(toxic == 1, 1 / toxic.mean(), 1 / (1 - toxic.mean())))
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     steps = 0
@@ -252,30 +444,17 @@ def trained(types: list[str], windows: np.ndarray, docs: np.ndarray, toxic: np.n
         rng.shuffle(chosen)
         for i in range(0, len(chosen), BATCH):
             take = chosen[i:i + BATCH]
-            grid = windows[take]
-            _, g = gradients(p, features[grid], real[grid], toxic[docs[take]], balance[docs[take]])
+            _, g = gradients(p, features, windows[take], sizes[take], toxic[docs[take]], balance[docs[take]])
             steps += 1
             for name, grad in g.items():
                 mean[name] += 0.1 * (grad - mean[name])
                 square[name] += 0.01 * (grad * grad - square[name])
                 scale = np.sqrt(square[name] / (1 - 0.99 ** steps)) + 1e-6
                 p[name] -= RATE * mean[name] / (1 - 0.9 ** steps) / scale
-        gates = word_gates(p, features)
-        scores = np.concatenate([_grid_scores(p, gates, real, windows[i:i + _SCORED_AT_ONCE])
-                                 for i in range(0, len(windows), _SCORED_AT_ONCE)])
-    return {"rows": rows, "network": p}
-
-
-def word_gates(p: dict, features: np.ndarray) -> list[np.ndarray]:
-    """What words give to the gates of both directions."""
-    x = embedded(p, features)
-    return [x @ p[f"in_{s}"] + p[f"bias_{s}"] for s in ("f", "b")]
-
-
-def _grid_scores(p: dict, gates: list[np.ndarray], real: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Scores of windows of word numbers, each with one word at least."""
-    grid = grid.T
-    return pooled_scores(p, gates[0][grid], gates[1][grid], real[grid][:, :, None])
+        gates = Gates(p)
+        gates.add(features)
+        scores = gates.scores(windows, sizes)
+    return {"known": known, "network": p}
 
 
 def learned(doc_id: Column) -> Column:
@@ -297,17 +476,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, buckets: dict[int, int]
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's windows in a row, each filled up to its full length with empty words."""
+    """A document's windows in a row, each filled up to its full length with empty pieces."""
     remembered("toxicity fit", dict)
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
-            words = text.split()
-            starts = window_starts(len(words)) if words else range(0)
+            found = pieces(text)
+            starts = window_starts(len(found)) if found else range(0)
             if len(starts) > SAMPLE_WINDOWS:
                 starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS)]
-            cut = [words[s:s + WINDOW] for s in starts]
-            rows.append([w for c in cut for w in c + [""] * (WINDOW - len(c))])
+            cuts = [found[i:i + WINDOW] for i in starts]
+            rows.append([x for cut in cuts for x in cut + [""] * (WINDOW - len(cut))])
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"),
                                "words": pa.array(rows, pa.list_(pa.string()))})
 
@@ -321,18 +500,17 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes = pc.list_value_length(table.column("words")).to_numpy() // WINDOW
     if len(set(toxic[sizes > 0].tolist())) < 2:
         return
-    # words in a fixed order, so that a rerun gives the same model
+    # pieces in a fixed order, so that a rerun gives the same model; the empty one is number 0
     coded = table.column("words").combine_chunks().flatten().dictionary_encode()
-    types = coded.dictionary.to_pylist()
-    order = sorted(range(len(types)), key=types.__getitem__)
-    ranks = np.empty(len(types), np.int64)
-    ranks[order] = np.arange(len(types))
+    names = ["", *sorted(set(coded.dictionary.to_pylist()) - {""})]
+    numbers = {name: i for i, name in enumerate(names)}
+    ranks = np.array([numbers[name] for name in coded.dictionary.to_pylist()], np.int64)
     windows = ranks[coded.indices.to_numpy()].reshape(-1, WINDOW)
     del table, coded
     unique, docs = np.unique(ids, return_inverse=True)
     label = np.zeros(len(unique), np.float32)
     label[docs] = toxic
-    model = trained([types[i] for i in order], windows, np.repeat(docs, sizes), label)
+    model = trained(names, windows, np.repeat(docs, sizes), label)
     yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
@@ -347,70 +525,72 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 
 # ---- scoring ------------------------------------------------------------------------------
 
-class _Words(dict):
-    """Number of a chunk; the features of new chunks wait in a list. Number 0 is no word."""
+class _Numbers(dict):
+    """Number of a name, from ``first`` on; new names wait in a list."""
 
-    def __init__(self, rows: dict[int, int]):
-        super().__init__({"": 0})
-        self._rows = rows
-        self.new: list[list[int]] = [word_features("", rows)]
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self._first = first
+        self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        place = self[chunk] = len(self)
-        self.new.append(word_features(chunk, self._rows))
-        return place
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self) + self._first
+        self.new.append(name)
+        return number
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
 
 
 class Scorer:
-    """Scores of texts. A word's part in the gates is computed once and remembered."""
+    """Scores of texts. A piece's part in the gates is computed once and remembered, up to a bound."""
 
     def __init__(self, model: dict):
-        self._p, self._rows = model["network"], model["rows"]
+        self._p, self._known = model["network"], model["known"]
         self._forget()
 
     def _forget(self) -> None:
-        self._words = _Words(self._rows)
-        self._gates = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
-        self._real = np.zeros(0, bool)
-
-    def _catch_up(self) -> None:
-        new, self._words.new = self._words.new, []
-        if new:
-            fresh = np.array(new, np.int32)
-            self._gates = [np.concatenate(pair) for pair in zip(self._gates, word_gates(self._p, fresh))]
-            self._real = np.concatenate([self._real, fresh[:, 0] >= 0])
+        self._pieces = _Numbers(1)
+        self._gates = Gates(self._p)
+        self._gates.add(Features.of([""], Known({}, np.zeros(0, np.uint64))))  # number 0 is no piece
+
+    def _numbered(self, texts: list[str | None]) -> Ragged:
+        """The numbers of the texts' pieces."""
+        found = [pieces(text) if text else [] for text in texts]
+        sizes = list(map(len, found))
+        numbers = np.fromiter(map(self._pieces.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+        fresh = self._pieces.taken()
+        if fresh:
+            self._gates.add(Features.of(fresh, self._known))
+        return Ragged.of_sizes(numbers, sizes)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
-        windows, owners, held = [], [], 0
-        for i, text in enumerate(texts):
-            chunks = text.split() if text else []
-            if not chunks:
-                continue
-            places = np.fromiter(map(self._words.__getitem__, chunks), np.int32, len(chunks))
-            starts = np.array(window_starts(len(places)))
-            padded = np.zeros(int(starts[-1]) + WINDOW, np.int32)
-            padded[:len(places)] = places[:len(padded)]
-            windows.append(padded[starts[:, None] + np.arange(WINDOW)])
-            owners.append(np.full(len(starts), i))
-            held += len(starts)
-            if held >= _SCORED_AT_ONCE:
-                self._score(windows, owners, out)
-                windows, owners, held = [], [], 0
-        if held:
-            self._score(windows, owners, out)
-        if len(self._words) > _MAX_WORDS:
-            self._forget()
+        begin = 0
+        while begin < len(texts):  # some texts at a time, so that memory stays bounded
+            end, size = begin, 0
+            while end < len(texts) and size < _CHARS_AT_ONCE:
+                size += len(texts[end] or "")
+                end += 1
+            self._score(self._numbered(texts[begin:end]), out[begin:end])
+            if len(self._pieces) > _MAX_PIECES:
+                self._forget()
+            begin = end
         return out
 
-    def _score(self, windows: list, owners: list, out: np.ndarray) -> None:
-        self._catch_up()
-        grid, owner = np.concatenate(windows), np.concatenate(owners)
-        some = self._real[grid].any(axis=1)
-        grid, owner = grid[some], owner[some]
-        for i in range(0, len(grid), _SCORED_AT_ONCE):
-            score = _grid_scores(self._p, self._gates, self._real, grid[i:i + _SCORED_AT_ONCE])
-            np.maximum.at(out, owner[i:i + _SCORED_AT_ONCE], score.astype(np.float64))
+    def _score(self, found: Ragged, out: np.ndarray) -> None:
+        counts = found.sizes()
+        windows = np.where(counts > WINDOW, -(-(counts - WINDOW + STRIDE) // STRIDE), np.minimum(counts, 1))
+        owner = np.repeat(np.arange(len(counts)), windows)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = found.starts[owner] + STRIDE * nth
+        size = np.minimum(WINDOW, found.starts[owner + 1] - start)
+        padded = np.concatenate([found.flat, np.zeros(WINDOW, np.int64)])
+        for i in range(0, len(owner), _WINDOWS_HELD):
+            cut = slice(i, i + _WINDOWS_HELD)
+            score = self._gates.scores(padded[start[cut, None] + np.arange(WINDOW)], size[cut])
+            np.maximum.at(out, owner[cut], score)
 
 
 def with_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:

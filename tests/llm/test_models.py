@@ -35,22 +35,95 @@ def test_language_cases(documents):
     assert {r.lang_pred for r in zstd_lang.predictions(unlabelled).collect()} == {"und"}
 
 
-def test_gradients():
-    rng = np.random.default_rng(0)
+def small_network(seed=0):
+    rng = np.random.default_rng(seed)
     p = {k: v.astype(np.float64) for k, v in toxicity_gru.new_parameters(rng, 40).items()}
-    features = rng.integers(1, 40, (4, 7, 1 + toxicity_gru.PIECES))
-    mask = np.ones((4, 7), bool)
-    mask[0, 3:] = False
-    labels, weights = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1, 1])
-    _, g = toxicity_gru.gradients(p, features, mask, labels, weights)
+    lists = [[], *[rng.integers(1, 40, rng.integers(0, 6)).tolist() for _ in range(29)]]
+    grams = toxicity_gru.Ragged.of_sizes(np.array(sum(lists, [])), list(map(len, lists)))
+    features = toxicity_gru.Features(np.array([0, *rng.integers(0, 40, 29)]), grams)
+    grid, sizes = rng.integers(1, 30, (5, 9)), np.array([9, 3, 7, 1, 9])
+    return p, features, grid, sizes
+
+
+def test_gradients():
+    p, features, grid, sizes = small_network()
+    rng = np.random.default_rng(1)
+    labels, weights = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 1, 3])
+    _, g = toxicity_gru.gradients(p, features, grid, sizes, labels, weights)
+    assert set(g) == set(p)
     for name in p:
-        at = (int(features[1, 2, 3]), 1) if name == "embedding" else tuple(int(rng.integers(0, s)) for s in p[name].shape)
-        old, ends = p[name][at], []
-        for step in (1e-3, -1e-3):
-            p[name][at] = old + step
-            ends.append(toxicity_gru.gradients(p, features, mask, labels, weights)[0])
-        p[name][at] = old
-        assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(float(g[name][at]), abs=2e-5)
+        for _ in range(3):
+            at = tuple(int(rng.integers(0, s)) for s in p[name].shape)
+            if name == "embedding":
+                at = (int(features.piece[grid[0, 0]]) or 1, at[1])
+            old, ends = p[name][at], []
+            for step in (1e-4, -1e-4):
+                p[name][at] = old + step
+                ends.append(toxicity_gru.gradients(p, features, grid, sizes, labels, weights)[0])
+            p[name][at] = old
+            assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(float(g[name][at]), abs=2e-6), name
+
+
+def plain_score(p, features, window):
+    """One window's score by plain loops over steps and directions."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    vectors = []
+    for i in window:
+        rows = features.grams.flat[features.grams.starts[i]:features.grams.starts[i + 1]]
+        mean = np.mean([p["embedding"][r] for r in rows], axis=0) if len(rows) else np.zeros(toxicity_gru.WIDTH)
+        vectors.append(np.concatenate([p["embedding"][features.piece[i]], mean]))
+    states = []
+    for side, steps in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+        h, found = np.zeros(toxicity_gru.HIDDEN), {}
+        for t in steps:
+            give = {x: vectors[t] @ p[f"in_{x}"][side] + p[f"bias_{x}"][side, 0] for x in "zrn"}
+            z = sigmoid(give["z"] + h @ p["rec_z"][side])
+            r = sigmoid(give["r"] + h @ p["rec_r"][side])
+            n = np.tanh(give["n"] + r * (h @ p["rec_n"][side]))
+            h = z * h + (1 - z) * n
+            found[t] = h
+        states.append([found[t] for t in range(len(window))])
+    both = [np.concatenate(pair) for pair in zip(*states)]
+    weight = np.exp([np.tanh(s @ np.concatenate(p["att_w"])) @ p["att_v"] for s in both])
+    pooled = sum(w * s for w, s in zip(weight / weight.sum(), both))
+    return sigmoid(pooled @ p["out_w"] + p["out_b"][0])
+
+
+def test_scores_equal_a_plain_forward_pass():
+    p, features, grid, sizes = small_network(3)
+    gates = toxicity_gru.Gates({k: v.astype(np.float32) for k, v in p.items()})
+    gates.add(features)
+    expected = [plain_score(p, features, row[:n]) for row, n in zip(grid, sizes)]
+    assert gates.scores(grid, sizes) == pytest.approx(expected, abs=1e-5)
+    full = np.full(len(grid), grid.shape[1])  # without a mask
+    assert gates.scores(grid, full) == pytest.approx([plain_score(p, features, row) for row in grid], abs=1e-5)
+
+
+def test_every_letter_enters_a_piece():
+    assert toxicity_gru.pieces("You/stupid_IDIOT,go!") == ["you", "stupid", "idiot", "go"]
+    assert toxicity_gru.pieces("-- ...") == [] and toxicity_gru.pieces("d'Été-là") == ["d", "été", "là"]
+    assert toxicity_gru.pieces("हिन्दी") == ["हिन्दी"]
+    for n in (24, 25, 32, 33, 100, 1001):
+        run = "".join(chr(0x4E00 + i % 977) for i in range(n))
+        found = toxicity_gru.pieces(run)
+        places = {run.index(x) + i for x in found for i in range(len(x))} if n < 977 else set(range(n))
+        assert places == set(range(n)) and (n <= 24 or max(map(len, found)) <= 16)
+        assert all(any(run[i:i + 8] in x for x in found) for i in range(n - 8))
+
+
+def test_grams_of_all_positions():
+    names = ["a", "", "abc", "été", "漢", "abcabc"]
+    found = toxicity_gru.gram_hashes(names)
+    meant = {}
+    for i, name in enumerate(names):
+        marked = f"<{name}>"
+        texts = [marked[k:k + n] for k in range(len(marked)) for n in toxicity_gru.GRAMS if k + n <= len(marked)]
+        hashes = found.flat[found.starts[i]:found.starts[i + 1]].tolist()
+        assert len(hashes) == len(texts)
+        for text, value in zip(texts, hashes):
+            assert meant.setdefault(text, value) == value
+    assert len(set(meant.values())) == len(meant)
+    assert len(toxicity_gru.gram_hashes([]).flat) == 0
 
 
 def test_windows_cover_a_text():
@@ -65,7 +138,9 @@ def test_toxicity_learns_words_and_reads_whole_texts(llm, documents):
     rows = [(i, plain(40) + (" nasty brute " if i % 3 == 0 else " kind ") + plain(40)) for i in range(400)]
     labels = llm.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)] + [(None, 1, 1), (5, 1, None)],
                                  "doc_id long, quality int, toxic int")
-    more = [(1000, plain(9000) + " nasty brute"), (1001, plain(9000)), (1002, None), (1003, ""), (1004, "!! --"), (None, "nasty brute")]
+    more = [(1000, plain(9000) + " nasty brute"), (1001, plain(9000)), (1002, None), (1003, ""), (1004, "!! --"), (None, "nasty brute"),
+            (1005, plain(50).replace(" ", "/") + "/nasty_brute,and/" + plain(50).replace(" ", "/")), (1006, plain(100).replace(" ", "/")),
+            (1007, "w1" * 200 + "nasty" + "w3brute" + "w2" * 200)]
     docs = documents(*rows, *more)
     model = toxicity_gru.fit(docs, labels)
     scored = toxicity_gru.with_score(docs, model)
@@ -73,6 +148,7 @@ def test_toxicity_learns_words_and_reads_whole_texts(llm, documents):
     got = {r.doc_id: r[-1] for r in scored.collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.95
+    assert got[1005] >= 0.5 > got[1006] and got[1007] > got[1006]
     assert got[1000] >= 0.5 > got[1001] and got[1002] == got[1003] == got[1004] == 0 and got[None] >= 0.5
     assert {r[-1] for r in toxicity_gru.with_score(docs.limit(5), toxicity_gru.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert toxicity_gru.tolerated(docs.limit(0), labels).count() == 0
