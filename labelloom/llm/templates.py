@@ -58,7 +58,7 @@ LEAST_TOKENS = 4
 LEAST_COVERAGE = 0.5
 RUN = 15
 BLOCK = 4_000_000
-_MAX_CHUNKS = 300_000
+_MAX_CHUNKS = 600_000
 _MAX_CHARS = 16_000_000
 _CHARS_AT_ONCE = 1 << 21
 
@@ -83,6 +83,7 @@ _NUMBER = re.compile(r"([^\w%]*)([+-]?\d[\d.,:/]*)(.*)", re.S)
 _EDGES = re.compile(r"^[^\w%°$€£]+|[^\w%°$€£]+$")
 _UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
              "\U00020000-\U0003ffff")
+_FIRST_UNSPACED = "\u0e00"
 _EXACT = re.compile(rf"([{_UNSPACED}])|\d+(?:[.,:/]\d+)*|(?:(?![{_UNSPACED}])[^\W\d_])+"
                     r"|(?<![^\W\d_])-|[+*/=<>^%\u00d7\u00f7\u221a\u2264\u2265\u2260\u00b1\u2212]")
 _LITERAL, _NUM, _UNIT, _NAME = 0, 1, 2, 3
@@ -96,8 +97,20 @@ def _hash(word: str) -> int:
 _SLOT_HASH = np.array([0, _hash("\0number"), _hash("\0unit"), _hash("\0name")], np.uint64)
 
 
+def _plain_word(chunk: str) -> str:
+    """A chunk of letters alone, or with one sign after it; nothing for all others, which need a closer look."""
+    if chunk.isalpha():
+        return chunk
+    return chunk[:-1] if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() else ""
+
+
 def _pieces(chunk: str) -> tuple[list[tuple[int, int, bool, bool, bool]], bool]:
     """Tokens (hash, kind, capital, unit word, common) of a chunk, and whether it ends a sentence."""
+    word = _plain_word(chunk)
+    if word:
+        low = word.lower()
+        return ([(_hash(low), _LITERAL, word[0].isupper(), low in UNITS, low in COMMON)],
+                chunk[-1] in (".", "!", "?", ":"))
     ends = chunk.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
     core = _EDGES.sub("", chunk)
     if not core:
@@ -124,23 +137,36 @@ class _WordHashes(dict):
 
 def _exact_pieces(chunk: str, hashes: dict[str, int]) -> list[tuple[int, bool]]:
     """Exact tokens of a chunk: hash, and whether it is one character of an unspaced script."""
-    core = chunk.strip(".,;:!?\"'()[]")
-    if core.isascii() and core.isalpha():
-        return [(hashes[core.lower()], False)]
+    low = (_plain_word(chunk) or chunk.strip(".,;:!?\"'()[]")).lower()
+    if low.isalpha() and (low.isascii() or max(low) < _FIRST_UNSPACED):
+        return [(hashes[low], False)]
     return [(hashes[m[0]], m[1] is not None) for m in _EXACT.finditer(chunk.lower())]
 
 
 class _Chunks(dict):
-    """Number of a chunk; what new chunks mean waits in lists."""
+    """Number of a chunk; what new chunks mean waits in lists.
+
+    ``vocabulary`` holds the benchmark's token hashes. A plain word in lower case that is
+    none of them takes part in no window, so all such words share two numbers: one
+    for those that end a sentence and one for the others.
+    """
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, vocabulary: frozenset[int] | None):
+        super().__init__({"a stranger": 0, "a stranger.": 1})  # with a space, so no chunk
         self.chars = 0
         self.new: list[str] = []
+        self._vocabulary = vocabulary
+        self._used = 2
 
     def __missing__(self, chunk: str) -> int:
-        place = self[chunk] = len(self)
         self.chars += len(chunk)
+        word = _plain_word(chunk)
+        if (self._vocabulary is not None and word and word.islower() and (word.isascii() or max(word) < _FIRST_UNSPACED)
+                and word not in UNITS and _hash(word) not in self._vocabulary):
+            place = self[chunk] = int(chunk[-1] in ".!?:")
+            return place
+        place = self[chunk] = self._used
+        self._used += 1
         self.new.append(chunk)
         return place
 
@@ -186,6 +212,8 @@ class TemplateReader:
 
     def __init__(self, vocabulary: dict[int, np.ndarray] | None = None):
         self._vocabulary = vocabulary
+        self._words_known = None if vocabulary is None else frozenset(
+            np.concatenate([np.zeros(0, np.uint64), *vocabulary.values()]).tolist())
         self._slot_known = {f: self._is_known(_SLOT_HASH, f) for f in (0, 1)}
         self._reset()
 
@@ -195,17 +223,18 @@ class TemplateReader:
         return np.isin(hashes, self._vocabulary.get(form, np.zeros(0, np.uint64)))
 
     def _reset(self) -> None:
-        self._chunks = _Chunks()
+        self._chunks = _Chunks(self._words_known)
         self._words = _WordHashes()
-        self._hash = np.zeros(0, np.uint64)
-        self._known = [np.zeros(0, bool)] * 2
-        self._flags = np.zeros((0, 4), np.uint8)
-        self._starts = np.zeros(1, np.int64)
-        self._ends = np.zeros(0, bool)
-        self._exact_hash = np.zeros(0, np.uint64)
-        self._exact_known = np.zeros(0, bool)
-        self._exact_single = np.zeros(0, np.uint64)
-        self._exact_starts = np.zeros(1, np.int64)
+        # the first two chunks are one unknown word each
+        self._hash = np.zeros(2, np.uint64)
+        self._known = [np.zeros(2, bool)] * 2
+        self._flags = np.zeros((2, 4), np.uint8)
+        self._starts = np.arange(3)
+        self._ends = np.array([False, True])
+        self._exact_hash = np.zeros(2, np.uint64)
+        self._exact_known = np.zeros(2, bool)
+        self._exact_single = np.zeros(2, np.uint64)
+        self._exact_starts = np.arange(3)
 
     def _catch_up(self) -> None:
         chunks, self._chunks.new = self._chunks.new, []
@@ -432,6 +461,19 @@ def _by_form(hashes: DataFrame, forms: list[int]) -> dict[int, np.ndarray]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                  least_coverage: float = LEAST_COVERAGE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, matched, windows, same_values) per contaminated document and item."""
+    texts = contaminated_texts(docs, benchmark, width, least_coverage, block)
+    best = F.max(F.struct((F.col("matched") / F.col("windows")).alias("share"), "order",
+                          "matched", "windows", "same_values"))
+    return texts.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", "best.matched", "best.windows", "best.same_values")
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
+                       least_coverage: float = LEAST_COVERAGE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, doc_key, item_id, matched, windows, same_values, order) per form of a contaminated text.
+
+    ``doc_key`` is ``xxhash64(text)`` and tells the texts of a repeated id apart.
+    """
     spark = docs.sparkSession
     items = staged(benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_key"), "text").mapInArrow(
@@ -451,7 +493,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
             found = texts.mapInArrow(_hits(spark.sparkContext.broadcast(wanted), widths), _HIT)
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, matched long, windows long, same_values boolean")
+        return spark.createDataFrame([], "doc_id long, doc_key long, item_id long, matched long, windows long, "
+                                         "same_values boolean, order int")
     pairs = F.transform(F.arrays_zip(F.col("i.slots").alias("a"), F.col("h.slots").alias("b")), lambda x: x)
     met = staged(hits, "template-hits").alias("h").join(items.alias("i"), ["form", "hash"]).select(
         "doc_id", "doc_key", "item_id", "item_key", "form", (F.col("h.position") - F.col("i.position")).alias("line"),
@@ -463,8 +506,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
         F.max("windows").alias("windows"), F.max("run").alias("run"), F.max("longest").alias("longest"),
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"),
         F.bool_and("same_values").alias("same_values"))
-    guilty = joined.where((F.col("matched") >= least_coverage * F.col("windows")) | (F.col("longest") >= F.col("run")))
-    best = F.max(F.struct((F.col("matched") / F.col("windows")).alias("share"), (-F.col("form")).alias("order"),
-                          "matched", "windows", "same_values"))
-    return guilty.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", "best.matched", "best.windows", "best.same_values")
+    return joined.where((F.col("matched") >= least_coverage * F.col("windows")) | (F.col("longest") >= F.col("run"))).select(
+        "doc_id", "doc_key", "item_id", "matched", "windows", "same_values", (-F.col("form")).alias("order"))
