@@ -12,12 +12,14 @@
    one bucket that are still in different components are then compared with each
    other. So no pair that shares a bucket is left out, and none is formed inside a
    group that is joined already.
-5. A compared pair passes on if its sizes allow a link, if its sketches estimate a
-   similarity of 0.6 or more (a linked pair falls below that with a probability of
-   about 1e-12), and if the parity bitmaps of the whole sets, folded the same way,
-   differ in no more bits than the sets of a link may differ in elements. The last
-   is a bound that no link breaks, and a sharp one for sets of a few hundred. What
-   passes is confirmed on the whole shingle sets.
+   What is left of a bucket may still be many texts that are not alike. It is cut into
+   slices of about ``SLICE`` members, and every pair of slices is a task's share, so no
+   task compares a whole bucket; their number grows with the square of its members.
+5. A compared pair passes on if its sizes allow a link, if its sketches differ in no more
+   bits than all but 1e-12 of the pairs at the threshold do, and if the parity bitmaps of
+   the whole sets, folded the same way, differ in no more bits than the sets of a link may
+   differ in elements. The last is a bound that no link breaks, and a sharp one for sets
+   of a few hundred. What passes is confirmed on the whole shingle sets.
 
 Classes are named by their smallest id; of several texts of one repeated id those that
 are smallest in their class count as linked, and each row has the component of its
@@ -49,10 +51,11 @@ SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 PARITY_WORDS = 16
 PARITY_BITS = 64 * PARITY_WORDS
-LEAST_ESTIMATE = 0.6
+MISSED = 1e-12
+SLICE = 1000
 
 _SEEDS = mixed_bits(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_FEATURES = ("doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, "
+_FEATURES = ("doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sketch array<long>, "
              "parity array<long>")
 _CHUNK = 1 << 18
 
@@ -95,26 +98,34 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return total
 
 
-def most_differing_bits(estimate: float = LEAST_ESTIMATE) -> int:
-    """Differing bits up to which two sketches estimate at least this similarity."""
-    toggles = 2 * SAMPLES * (1 - estimate)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * toggles / SKETCH_BITS)))
+def most_differing_bits(percent: int) -> int:
+    """Bits in which the sketches of a pair with this similarity differ, but for ``MISSED`` of such pairs.
+
+    Each differing sample changes two bits at most, and their number is binomial.
+    """
+    apart, tail, samples = 1 - percent / 100, 0.0, SAMPLES
+    while samples > 0:
+        tail += math.comb(SAMPLES, samples) * apart ** samples * (1 - apart) ** (SAMPLES - samples)
+        if tail > MISSED:
+            break
+        samples -= 1
+    return 2 * samples
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text")
+        texts = batch.column("text")
         row = 0
         while row < batch.num_rows:  # a few texts at a time, so that memory stays bounded
             sets, size = [], 0
             while row + len(sets) < batch.num_rows and size < _CHUNK:
                 sets.append(shingle_set(texts[row + len(sets)].as_py()))
                 size += len(sets[-1])
-            yield _feature_rows(ids.slice(row, len(sets)), sets)
+            yield _feature_rows(batch.slice(row, len(sets)), sets)
             row += len(sets)
 
 
-def _feature_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+def _feature_rows(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
     bands: list = [None] * len(sets)
@@ -129,7 +140,8 @@ def _feature_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
             bands[i], sketches[i], parities[i] = band, sketch, parity
     digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
     return pa.record_batch({
-        "doc_id": ids.cast(pa.int64()), "n_shingles": pa.array(sizes),
+        "doc_id": batch.column("doc_id").cast(pa.int64()), "text_key": batch.column("text_key").cast(pa.int64()),
+        "n_shingles": pa.array(sizes),
         "digest": pa.array(digests, pa.binary()),
         "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64())),
         "parity": pa.array(parities, pa.list_(pa.int64()))})
@@ -168,7 +180,7 @@ def _alike(a: str, b: str, percent: int) -> Column:
     # |A or B| = (|A| + |B| + d) / 2 for d differing elements
     bound = (100 - percent) * (F.col(f"n{a}") + F.col(f"n{b}"))
     return ((100 * least >= percent * most)
-            & (_differing(f"sketch{a}", f"sketch{b}", SKETCH_WORDS) <= most_differing_bits())
+            & (_differing(f"sketch{a}", f"sketch{b}", SKETCH_WORDS) <= most_differing_bits(percent))
             & ((100 + percent) * _differing(f"parity{a}", f"parity{b}", PARITY_WORDS) <= bound))
 
 
@@ -195,9 +207,22 @@ def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _sliced(members: DataFrame) -> DataFrame:
+    """Members of buckets with their ``slice``, once per pair (``low``, ``high``) that it is part of."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    own = members.join(sizes, "bucket").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return paired.select("bucket", "rep", "root", "slice", F.least("slice", "other").alias("low"),
+                         F.greatest("slice", "other").alias("high"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    features = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    """(doc_id, n_shingles, component_id, kept, text_key) for every row of ``docs``.
+
+    ``text_key`` is ``xxhash64(text)`` and tells the rows of a repeated id apart.
+    """
+    features = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                                  F.xxhash64("text").alias("text_key")).mapInArrow(
         _features, _FEATURES), "dedup-features")
     usable = features.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = staged(usable.groupBy("digest").agg(
@@ -225,19 +250,22 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
         roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(
         F.col("a") != F.col("b")).select("bucket")
-    rest = staged(placed.join(open_buckets, "bucket"), "dedup-open")
-    sides = [rest.select("bucket", F.col("rep").alias(end), F.col("root").alias(f"root_{end}")).join(
-        _side(classes, end), end) for end in ("u", "v")]
-    crossing = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("u") < F.col("v")) & (
-        F.col("root_u") != F.col("root_v")) & _alike("_u", "_v", percent)).select("u", "v").distinct()
+    rest = staged(_sliced(placed.join(open_buckets, "bucket")), "dedup-open")
+    sides = [rest.select("bucket", "low", "high", F.col("slice").alias(f"slice_{end}"), F.col("rep").alias(end),
+                         F.col("root").alias(f"root_{end}")).join(_side(classes, end), end) for end in ("u", "v")]
+    # members of one slice meet once, where it is paired with itself
+    once = (F.col("slice_u") != F.col("slice_v")) | (sides[0]["low"] == sides[0]["high"])
+    meeting = [sides[0][c] == sides[1][c] for c in ("bucket", "low", "high")]
+    crossing = sides[0].join(sides[1], meeting + [once & (F.col("u") < F.col("v")) & (
+        F.col("root_u") != F.col("root_v")) & _alike("_u", "_v", percent)]).select("u", "v").distinct()
     more = staged(crossing.join(pairs, ["u", "v"], "left_anti"), "dedup-more-pairs")
     if not more.isEmpty():
         roots = components(links.unionByName(_linked(more, docs, percent)))
 
-    found = features.select("doc_id", "n_shingles", "digest").join(
+    found = features.select("doc_id", "text_key", "n_shingles", "digest").join(
         classes.select("digest", "rep"), "digest", "left").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component)
-                        .alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), component)
+    return found.select("doc_id", "n_shingles", component.alias("component_id"),
+                        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")

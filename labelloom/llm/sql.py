@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelloom.llm import mixing, phrases, risk_rules
+from labelloom.llm import mixing, near_dup, phrases, risk_rules
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -168,4 +168,29 @@ WITH pieces AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= {phrases.TOP}
 """
 
-ORACLES = {"op5_cuckoo_lines": OP5, "op6_mixing": OP6, "op10_risk_rules": _op10(), "op12_phrase_graph": OP12}
+OP1 = rf"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'),
+                                      '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+    FROM worded
+), sizes AS (
+    SELECT doc_id, count(shingle)::BIGINT AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM shingles a JOIN shingles b USING (shingle)
+    WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
+    WHERE 100 * shared >= {near_dup.THRESHOLD_PERCENT} * (x.n + y.n - shared)
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.v FROM reached r JOIN (SELECT u, v FROM links UNION SELECT v, u FROM links) l ON l.u = r.other
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+ORACLES = {"op1_odd_sketch_dedup": OP1, "op5_cuckoo_lines": OP5, "op6_mixing": OP6, "op10_risk_rules": _op10(), "op12_phrase_graph": OP12}
