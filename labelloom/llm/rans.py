@@ -4,19 +4,22 @@ The file format. Documents are in ascending id order over numbered parts (Parque
 rows, so Spark's committer makes a rerun of a lost task harmless). A part is a row
 of segments; a segment ends with the first document that fills it and holds
 
-* ``table``: the frequency table that all blocks of the segment share: the
+* ``ids`` and ``freqs``: the frequency table that all blocks of the segment share: the
   segment's own id counts scaled to 2**16, every id that occurs at 1 or more;
-* ``payload``: blocks of 2**14 ids. A block has 64 interleaved coder states of its
+* ``halves``: whether the lower and upper halves of ids are coded in turn, which is done
+  where more ids differ than such a table holds;
+* ``payload``: blocks of 2**14 symbols. A block has 64 interleaved coder states of its
   own and can be decoded alone;
-* ``blocks``: the checkpoints. Ids, payload offset and CRC-32 of each block;
+* ``blocks``: the checkpoints. Coded symbols, payload offset and CRC-32 of each block;
 * ``docs``: id and number of tokens of each document.
 
 States are 32 bits, renormalised by 16-bit words, so a step moves at most one word.
 Coding is vectorised over all blocks and states of a segment.
 
 Defined results: a null text is empty and holds the end id only; rows without an
-id come first; rows of one id stand together, ordered by text; an empty table gives
-empty files and no rows. Other columns of the input are ignored.
+id come first; rows of one id stand together, ordered by their texts' hashes; an empty
+table gives empty files and no rows. Texts of any length are encoded whole. Other columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ CHARACTERS_AT_ONCE = 1 << 20
 _LOW = np.uint32(1 << 16)
 _BLOCK_TYPE = pa.struct([("ids", pa.int64()), ("offset", pa.int64()), ("crc", pa.int64())])
 _DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])
-_SEGMENT = ("segment long, tokens long, ids binary, freqs binary, payload binary, "
+_SEGMENT = ("segment long, tokens long, halves boolean, ids binary, freqs binary, payload binary, "
             "blocks array<struct<ids: long, offset: long, crc: long>>, "
             "docs array<struct<doc_id: long, n: long>>")
 
@@ -50,8 +53,10 @@ _SEGMENT = ("segment long, tokens long, ids binary, freqs binary, payload binary
 # ---- frequency tables ------------------------------------------------------------------
 
 def frequency_table(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a sum of 2**16 with no occurring id at zero."""
+    """Counts scaled to a sum of 2**16 with no occurring id at zero; so there are 2**16 ids at most."""
     total = 1 << SCALE_BITS
+    if len(counts) > total:
+        raise ValueError(f"{len(counts)} ids do not fit a table of {total}")
     scaled = np.maximum(1, counts.astype(np.float64) * total / counts.sum()).astype(np.int64)
     spare = total - int(scaled.sum())
     order = np.argsort(-scaled, kind="stable")
@@ -121,6 +126,16 @@ def decode_blocks(payloads: list[bytes], freqs: np.ndarray) -> np.ndarray:
 
 # ---- segments ------------------------------------------------------------------------------
 
+def as_symbols(ids: np.ndarray) -> tuple[np.ndarray, bool]:
+    """What is coded of ids: themselves, or their lower and upper halves if more differ than a table holds."""
+    halves = len(ids) > 1 << SCALE_BITS and np.count_nonzero(np.bincount(ids)) > 1 << SCALE_BITS
+    return (ids.astype("<u4").view("<u2").astype(np.uint32), True) if halves else (ids, False)
+
+
+def as_ids(symbols: np.ndarray, halves: bool) -> np.ndarray:
+    return symbols.astype("<u2").view("<u4") if halves else symbols.astype("<u4")
+
+
 def encode_segment(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, list[dict]]:
     """Table ids, their frequencies, payload and checkpoints."""
     counts = np.bincount(ids)
@@ -170,10 +185,11 @@ def _segments(path: str, segment_tokens: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, docs, size
-            ids = np.concatenate(held)
-            table, freqs, payload, marks = encode_segment(ids)
+            symbols, halves = as_symbols(np.concatenate(held))
+            table, freqs, payload, marks = encode_segment(symbols)
             row = pa.record_batch({
                 "segment": pa.array([number], pa.int64()), "tokens": pa.array([size], pa.int64()),
+                "halves": pa.array([halves], pa.bool_()),
                 "ids": pa.array([table.astype("<u4").tobytes()], pa.binary()),
                 "freqs": pa.array([freqs.astype("<u4").tobytes()], pa.binary()),
                 "payload": pa.array([payload], pa.binary()),
@@ -200,10 +216,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str,
     """Encode ``docs`` into ``folder``: files in ascending id order.
 
     Only texts move, once, to bring them in order; ids are made, coded and written
-    in the same task, a segment at a time.
+    in the same task, a segment at a time. Rows of one id, or of none, come in the order of
+    their texts' hashes, and ranges are cut by both, so that many of them share no task.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
-        "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_key", "text"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias(
+        "text_key")).repartitionByRange("doc_id", "text_key").sortWithinPartitions(*order).drop("text_key")
     coded = ordered.mapInArrow(_segments(tokenizer_path, segment_tokens), _SEGMENT)
     coded.select(F.spark_partition_id().alias("part"), "*").write.parquet(folder)
 
@@ -216,9 +234,9 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             s = {name: batch.column(name)[row] for name in batch.schema.names}
-            ids = decode_segment(
+            ids = as_ids(decode_segment(
                 np.frombuffer(s["ids"].as_py(), "<u4"), np.frombuffer(s["freqs"].as_py(), "<u4"),
-                s["payload"].as_py(), s["blocks"].as_py()).astype("<u4")
+                s["payload"].as_py(), s["blocks"].as_py()), s["halves"].as_py())
             docs = s["docs"].as_py()
             ends = np.cumsum([d["n"] for d in docs])
             starts = ends - [d["n"] for d in docs]

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from labelloom.llm import rans, token_cache
 from labelloom.llm.common import new_folder
@@ -86,14 +87,43 @@ def test_more_ids_than_the_scale_divides_well():
     assert freqs.sum() == 1 << rans.SCALE_BITS and freqs.min() == 1
 
 
+def test_more_ids_than_a_table_holds():
+    with pytest.raises(ValueError):
+        rans.frequency_table(np.ones(65_537, np.int64))
+    assert rans.frequency_table(np.ones(65_536, np.int64)).tolist() == [1] * 65_536
+    ids = np.random.default_rng(2).permutation(np.arange(90_000, dtype=np.uint32) * 3)
+    symbols, halves = rans.as_symbols(ids)
+    assert halves and (rans.as_ids(rans.decode_segment(*rans.encode_segment(symbols)), halves) == ids).all()
+    same, halves = rans.as_symbols(ids[:65_536])
+    assert not halves and (rans.as_ids(rans.decode_segment(*rans.encode_segment(same)), halves) == ids[:65_536]).all()
+
+
+def test_rows_without_id_or_of_one_id_share_no_task(llm, documents):
+    rows = [(None if i % 3 else 7, f"text number {i}") for i in range(600)] + [(9, "z")] * 50
+    folder, key = new_folder(llm, "rans"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = llm.conf.get(key)
+    try:
+        llm.conf.set(key, "false")
+        rans.write_tokens(documents(*rows).repartition(5), folder, BYTES, segment_tokens=1000)
+    finally:
+        llm.conf.set(key, before)
+    files = llm.read.parquet(folder).select("part", F.explode("docs").alias("d"))
+    parts = {r.doc_id: r.n for r in files.groupBy("d.doc_id").agg(F.count_distinct("part").alias("n")).collect()}
+    assert parts[None] > 1 and parts[7] > 1
+    found = rans.read_tokens(llm, folder).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None] * 400 + [7] * 200 + [9] * 50
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+
+
 def test_files_hold_all_documents_in_order(llm, documents):
     long = "word " * 3000
     rows = [(5, "b"), (2, None), (3, ""), (1, long), (3, "twice"), (None, "no id")]
     folder = new_folder(llm, "rans")
     rans.write_tokens(documents(*rows), folder, BYTES, segment_tokens=1000)
     found = sorted(rans.read_tokens(llm, folder).collect(), key=lambda r: r.start)
+    hashes = {r.text: r.h for r in documents(*rows).select("text", F.xxhash64("text").alias("h")).collect()}
     start = 0
-    for row, (key, text) in zip(found, sorted(rows, key=lambda r: (r[0] or -1, r[1] or ""))):
+    for row, (key, text) in zip(found, sorted(rows, key=lambda r: (r[0] or -1, hashes[r[1]]))):
         ids = np.array(library(BYTES, text or "") + [rans.END_ID], "<u4")
         assert tuple(row) == (key, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
