@@ -12,9 +12,10 @@ An insertion first adds its documents up per key, so that a line of a third of a
 documents is one row. A key that its shard's filter does not know is new and is
 appended; only the others meet the reference counts in a join. A deletion counts
 its postings off, gives keys whose smallest holder left a new one, and takes keys
-that nobody holds out of counts and filter. Shards stay small: there are as many as
-the keys need, and they are dealt anew when they outgrow their size. Every state
-is a set of Parquet tables in the shared folder; earlier states stay readable.
+that nobody holds out of counts and filter. A filter without room for what comes is
+refilled from the counts of its shard; the others are not touched. Shards stay small: all
+are dealt anew when they hold four times the keys they are meant for. Every state is a
+set of Parquet tables in the shared folder; earlier states stay readable.
 
 A key held by two documents or more loses its lines everywhere but in the smallest
 id that holds it. Defined results: a null or empty text is one empty line; rows
@@ -36,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import staged
-from labelloom.llm.cuckoo import CuckooFilter
+from labelloom.llm.cuckoo import MAX_LOAD, CuckooFilter
 
 MIN_CODE_POINTS = 10
 KEYS_PER_SHARD = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _POSTING = "doc_id long, key binary"
 _ROUTED = "key binary, n long, first_doc long, known boolean, shard int, filter binary"
+_FILTER = "shard int, filter binary, n long"
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -75,7 +77,7 @@ def _shard(shards: int) -> Column:
 
 
 def _hashes(keys: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(keys.to_pylist()), "<u8")[::2].copy()
+    return np.frombuffer(b"".join(keys.to_pylist()), "<u8")[::2].copy() if len(keys) else np.zeros(0, np.uint64)
 
 
 def _rows(table: pa.Table, known: np.ndarray) -> pa.Table:
@@ -86,10 +88,11 @@ def _rows(table: pa.Table, known: np.ndarray) -> pa.Table:
 
 
 def _filter_row(shard: int, filter_: CuckooFilter) -> pa.Table:
-    none = {"key": pa.binary(), "n": pa.int64(), "first_doc": pa.int64(), "known": pa.bool_()}
-    return pa.table({**{k: pa.nulls(1, t) for k, t in none.items()},
-                     "shard": pa.array([shard], pa.int32()),
-                     "filter": pa.array([filter_.to_bytes()], pa.binary())})
+    """A shard's filter; ``n`` is what it holds."""
+    none = {"key": pa.binary(), "first_doc": pa.int64(), "known": pa.bool_()}
+    row = {**{k: pa.nulls(1, t) for k, t in none.items()}, "n": pa.array([filter_.size], pa.int64()),
+           "shard": pa.array([shard], pa.int32()), "filter": pa.array([filter_.to_bytes()], pa.binary())}
+    return pa.table({name: row[name] for name in ("key", "n", "first_doc", "known", "shard", "filter")})
 
 
 def _routed(key: tuple, added: pa.Table, filters: pa.Table) -> pa.Table:
@@ -100,19 +103,18 @@ def _routed(key: tuple, added: pa.Table, filters: pa.Table) -> pa.Table:
         filter_ = CuckooFilter.from_bytes(filters.column("filter")[0].as_py())
         known = filter_.contains(hashes)
     else:
-        filter_, known = CuckooFilter.for_keys(len(hashes)), np.zeros(len(hashes), bool)
+        filter_, known = CuckooFilter.for_keys(2 * len(hashes)), np.zeros(len(hashes), bool)
     # two keys of one batch may share a fingerprint; a known key is settled by the exact
     # counts, and put into the filter afterwards if it is new there after all
-    filter_ = _grown(filter_, int((~known).sum()))
     filter_.insert(hashes[~known])
     return pa.concat_tables([_rows(added, known), _filter_row(shard, filter_)])
 
 
-def _grown(filter_: CuckooFilter, more: int) -> CuckooFilter:
-    """The filter itself; one without room must be rebuilt from the keys by the caller."""
-    if not filter_.has_room(more):
-        raise ValueError("a shard outgrew its filter: rebuild the filters first")
-    return filter_
+def _refilled(key: tuple, keys: pa.Table, wanted: pa.Table) -> pa.Table:
+    """A shard's filter built anew from its keys, with the room that is wanted."""
+    filter_ = CuckooFilter.for_keys(max(wanted.column("room")[0].as_py(), keys.num_rows))
+    filter_.insert(_hashes(keys.column("key")))
+    return _filter_row(key[0].as_py(), filter_)
 
 
 def _settled(key: tuple, keys: pa.Table, filters: pa.Table) -> pa.Table:
@@ -136,6 +138,16 @@ class LineIndex:
 
     # ---- building -------------------------------------------------------------------------
 
+    @staticmethod
+    def of(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> "LineIndex":
+        """An index of ``docs``: of half of them, by a hash of the id, and then of the others as an insertion.
+
+        So of every key that both halves hold, a filter tells that it is known, and the exact
+        counts are asked for those keys only.
+        """
+        second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+        return LineIndex.build(docs.where(~second), keys_per_shard).insert(docs.where(second), keys_per_shard)
+
     @staticmethod
     def build(docs: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> "LineIndex":
         """An index of ``docs``: an insertion into an empty one."""
@@ -144,16 +156,31 @@ class LineIndex:
                        "line-delta")
         keys = delta.count()
         shards = max(1, -(-keys // keys_per_shard))
-        nothing = docs.sparkSession.createDataFrame([], "shard int, filter binary")
+        nothing = docs.sparkSession.createDataFrame([], _FILTER)
         refs, filters = _route(delta, nothing, shards)
         return LineIndex(refs.select("key", "n", "first_doc"), new, filters, shards, keys)
 
-    def _refiltered(self, more: int, keys_per_shard: int) -> "LineIndex":
-        """The same state with shards and filters dealt anew, with room for more keys."""
-        shards = max(1, -(-2 * (self.keys + more) // keys_per_shard))
-        nothing = self.refs.sparkSession.createDataFrame([], "shard int, filter binary")
-        _, filters = _route(self.refs, nothing, shards, room=keys_per_shard)
-        return LineIndex(self.refs, self.postings, filters, shards, self.keys)
+    def _with_room(self, delta: DataFrame, keys_per_shard: int) -> "LineIndex":
+        """The same state with room for the keys of ``delta``.
+
+        Shards that lack room get a larger filter; the others are not touched. Only where
+        shards would hold four times the keys they are meant for, all are dealt anew.
+        """
+        more = delta.count()
+        if self.keys + more > 4 * self.shards * keys_per_shard:
+            shards = max(1, -(-2 * (self.keys + more) // keys_per_shard))
+            wanted = self.refs.sparkSession.range(shards).select(
+                F.col("id").cast("int").alias("shard"), F.lit(keys_per_shard).cast("long").alias("room"))
+            return LineIndex(self.refs, self.postings, _refill(self.refs, wanted, shards), shards, self.keys)
+        need = delta.groupBy(_shard(self.shards).alias("shard")).agg(F.count(F.lit(1)).alias("more"))
+        room = F.octet_length("filter") / 2 * MAX_LOAD
+        wanted = staged(self.filters.join(need, "shard").where(F.col("n") + F.col("more") > room).select(
+            "shard", (2 * (F.col("n") + F.col("more"))).alias("room")), "line-wanted")
+        if wanted.isEmpty():
+            return self
+        filters = staged(self.filters.join(wanted, "shard", "left_anti").unionByName(
+            _refill(self.refs, wanted, self.shards)), "line-filters")
+        return LineIndex(self.refs, self.postings, filters, self.shards, self.keys)
 
     # ---- changes ---------------------------------------------------------------------------
 
@@ -161,7 +188,7 @@ class LineIndex:
         new = staged(postings(docs).distinct().join(self.postings, ["doc_id", "key"], "left_anti"), "line-postings")
         delta = staged(new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")),
                        "line-delta")
-        state = self._refiltered(delta.count(), keys_per_shard)
+        state = self._with_room(delta, keys_per_shard)
         routed, filters = _route(delta, state.filters, state.shards)
         fresh = routed.where(~F.col("known")).select("key", "n", "first_doc")
         maybe = routed.where(F.col("known")).select("key", F.col("n").alias("more"), F.col("first_doc").alias("new_first"))
@@ -210,22 +237,21 @@ class LineIndex:
             "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _route(delta: DataFrame, filters: DataFrame, shards: int, room: int = 0) -> tuple[DataFrame, DataFrame]:
+def _route(delta: DataFrame, filters: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``delta`` with ``known``, and the filters after the insertion."""
     placed = delta.select("key", "n", "first_doc", _shard(shards).alias("shard"))
-    route = _roomy(room) if room else _routed
-    out = staged(placed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(route, _ROUTED), "line-routed")
-    keys = out.where(F.col("filter").isNull())
-    return keys, out.where(F.col("filter").isNotNull()).select("shard", "filter")
+    touched = filters.join(placed.select("shard").distinct(), "shard", "left_semi")
+    out = staged(placed.groupBy("shard").cogroup(touched.groupBy("shard")).applyInArrow(_routed, _ROUTED), "line-routed")
+    changed = out.where(F.col("filter").isNotNull()).select("shard", "filter", "n")
+    return out.where(F.col("filter").isNull()), staged(
+        filters.join(changed, "shard", "left_anti").unionByName(changed), "line-filters")
 
 
-def _roomy(room: int):
-    """Build a shard's filter for at least ``room`` keys."""
-    def route(key: tuple, added: pa.Table, filters: pa.Table) -> pa.Table:
-        filter_ = CuckooFilter.for_keys(max(room, added.num_rows))
-        filter_.insert(_hashes(added.column("key")))
-        return _filter_row(key[0].as_py(), filter_)
-    return route
+def _refill(refs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
+    """New filters for the shards of ``wanted`` (shard, room), from the reference counts."""
+    keys = refs.select("key", _shard(shards).alias("shard")).join(wanted.select("shard"), "shard", "left_semi")
+    return staged(keys.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(_refilled, _ROUTED).select(
+        "shard", "filter", "n"), "line-filters")
 
 
 def _settle(changes: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -234,7 +260,7 @@ def _settle(changes: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
                                    _shard(shards).alias("shard")), "line-changes")
     changed = staged(placed.groupBy("shard").cogroup(
         filters.join(placed, "shard", "left_semi").groupBy("shard")).applyInArrow(_settled, _ROUTED)
-        .select("shard", "filter"), "line-filters")
+        .select("shard", "filter", "n"), "line-filters")
     return staged(filters.join(changed, "shard", "left_anti").unionByName(changed), "line-filters")
 
 

@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_odd_sketch_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_dup.near_duplicates(read(spark, d, "documents"))
+    return near_dup.near_duplicates(read(spark, d, "documents")).drop("text_key")
 
 
 def op2_token_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op4_host_words(spark: SparkSession, d: str) -> DataFrame:
 def op5_cuckoo_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every document without the lines that an earlier one holds."""
     docs = read(spark, d, "documents")
-    return line_dedup.LineIndex.build(docs).digests(docs)
+    return line_dedup.LineIndex.of(docs).digests(docs)
 
 
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:

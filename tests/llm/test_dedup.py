@@ -55,6 +55,29 @@ def test_groups_match_brute_force(documents):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_buckets_of_texts_that_are_not_alike_are_compared_in_slices(documents, monkeypatch):
+    """A long passage that all share puts many into one bucket; some are near copies of each other."""
+    monkeypatch.setattr(near_dup, "SLICE", 3)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = [f"q{rng.randrange(10 ** 6)}" for _ in range(34)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 7 == 0:
+            own[3] = "changed"
+            rows.append((1000 - i, " ".join(passage + own)))
+    want, _ = groups(rows)
+    assert len(set(want.values())) == 60
+    for percent in (85, 80):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(*rows), percent).collect()}
+        assert got == want
+
+
+def test_sketch_bound_follows_from_the_threshold():
+    assert near_dup.most_differing_bits(85) == 100 and near_dup.most_differing_bits(80) == 116
+
+
 def test_rows_without_id_repeated_ids_and_empty_tables(documents):
     text = "one two three four five six"
     rows = near_dup.near_duplicates(documents((None, text), (4, text), (4, text), (7, text), (8, "else"), (9, "else"))).collect()
@@ -139,6 +162,33 @@ def test_lines_are_dropped_inserted_and_given_back(documents):
     assert all(any(f.contains(np.array([h]))[0] for f in filters) for h in hashes)
 
 
+def test_index_of_two_halves(documents):
+    rows = [*FIRST, *SECOND, *[(100 + i, f"a line of many documents\nline number {i % 7} of a few") for i in range(40)]]
+    for keys_per_shard in (2, 200_000):
+        index = LineIndex.of(documents(*rows), keys_per_shard)
+        assert digests(index, documents(*rows)) == lines_by_hand(rows)
+        plain = LineIndex.build(documents(*rows), keys_per_shard)
+        assert index.refs.exceptAll(plain.refs).isEmpty() and plain.refs.exceptAll(index.refs).isEmpty()
+
+
+def test_an_insertion_leaves_other_shards_alone(documents):
+    index = LineIndex.build(documents(*[(i, f"line number {i} of the first") for i in range(60)]), keys_per_shard=10)
+    assert index.shards == 6
+    before = {r.shard: (bytes(r["filter"]), r.n) for r in index.filters.collect()}
+    after = index.insert(documents((100, "one more line to come")), keys_per_shard=10)
+    now = {r.shard: (bytes(r["filter"]), r.n) for r in after.filters.collect()}
+    assert sum(now[s] != before[s] for s in before) == 1 and sum(n for _, n in now.values()) == 61
+    grown = after.insert(documents(*[(200 + i, f"line number {i} of the second") for i in range(90)]), keys_per_shard=10)
+    assert grown.shards == 6 and grown.keys == 151
+    dealt = grown.insert(documents(*[(400 + i, f"line number {i} of the third") for i in range(200)]), keys_per_shard=10)
+    assert dealt.shards > 6 and dealt.keys == 351
+    for state in (grown, dealt):
+        hashes = np.array([int.from_bytes(bytes(r.key)[:8], "little") for r in state.refs.collect()], np.uint64)
+        filters = [CuckooFilter.from_bytes(r["filter"]) for r in state.filters.collect()]
+        assert sum(f.size for f in filters) == len(hashes) == state.keys
+        assert all(any(f.contains(np.array([h]))[0] for f in filters) for h in hashes)
+
+
 def test_no_lines(documents):
     empty = documents((1, "x")).limit(0)
     index = LineIndex.build(empty)

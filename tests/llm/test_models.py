@@ -183,6 +183,24 @@ def test_pipeline_drops_near_copies_from_a_similarity_of_four_fifths(llm, docume
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](llm, docs, SMALL).collect()} == {1, 3}
 
 
+def test_pipeline_judges_rows_by_id_and_text(llm, documents):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    docs = documents((3, a), (7, a), (7, b), (11, "x y z"), (11, "x y z"), (12, None), (12, None), (None, a), (None, a), (13, b))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_dedup"](llm, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        [(3, a), (7, b), (11, "x y z"), (12, ""), (0, a), (0, a)])
+    item = read(llm, SMALL, "benchmark").where("length(text) > 100").orderBy("item_id").first().text
+    docs = documents((1, "clean"), (2, item), (2, "clean too"), (2, item), (None, item), (4, f"so {item} then"), (5, None))
+    kept = stages["decontamination"](llm, docs, SMALL)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, item), (1, "clean"), (2, "clean too"), (5, "")]
+    mixed = stages["mix"](llm, documents((None, "a b", "en", None), (None, None), (1, "c")), SMALL)
+    assert set(mixed.columns) == set(docs.columns)
+    assert stages["token_files"](llm, documents((None, "a b"), (None, None), (1, "c")), SMALL).count() == 3
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(llm, name):
     from harness import compare
