@@ -128,7 +128,8 @@ def decode_blocks(payloads: list[bytes], freqs: np.ndarray) -> np.ndarray:
 
 def as_symbols(ids: np.ndarray) -> tuple[np.ndarray, bool]:
     """What is coded of ids: themselves, or their lower and upper halves if more differ than a table holds."""
-    halves = len(ids) > 1 << SCALE_BITS and np.count_nonzero(np.bincount(ids)) > 1 << SCALE_BITS
+    most = 1 << SCALE_BITS
+    halves = min(len(ids), int(ids.max(initial=0)) + 1) > most and np.count_nonzero(np.bincount(ids)) > most
     return (ids.astype("<u4").view("<u2").astype(np.uint32), True) if halves else (ids, False)
 
 

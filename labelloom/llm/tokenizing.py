@@ -21,8 +21,10 @@ MAX_CHUNKS = 900_000
 _ENCODE_AT_ONCE = 4096
 
 # A chunk takes one space before it, as the byte-level pattern does; of longer white
-# space all but the last character is a piece of its own.
-_SPACED = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+# space all but the last character is a piece of its own. Letters and digits end at one of
+# the signs that follow words, so that a word is one chunk with and without them.
+_SPACED = re.compile(r" ?[^\W_]++(?=[.,;:!?])| ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+                     r"|[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _WHOLE = re.compile(
     r"<\||[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
