@@ -7,275 +7,54 @@ what they must parse to.
 
 from __future__ import annotations
 
-# White space a Unicode-aware class covers; RE2's \s is ASCII only.
-WS = (r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
-      r"\x{3000}")
-
-
-def _with(*parts: str) -> str:
-    return "WITH " + ", ".join(parts) + " "
-
-
-def _r6(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
-
-
-# ---- documents and training rows ------------------------------------------------------
-
-ORDER_SETS = """
-SELECT d.source_id, d.title, d.classification, d.doc_subtype, sd.object_name, a.attachment_path,
-       coalesce(array_to_string(list_sort(list(DISTINCT s.s_name)
-                FILTER (WHERE s.s_name IS NOT NULL)), '|'), '') AS area_names,
-       coalesce(array_to_string(list_sort(list(DISTINCT p.p_name)
-                FILTER (WHERE p.p_name IS NOT NULL)), '|'), '') AS regulation_names
-FROM (SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS source_id, 'Order ' || l_orderkey AS title,
-             min(l_returnflag) AS classification, max(l_linestatus) AS doc_subtype
-      FROM lineitem GROUP BY l_orderkey) d
-JOIN lineitem l ON l.l_orderkey = d.l_orderkey
-LEFT JOIN supplier s ON s.s_suppkey = l.l_suppkey
-LEFT JOIN part p ON p.p_partkey = l.l_partkey
-LEFT JOIN (SELECT l_orderkey, min('order_' || l_orderkey || '_line_' || l_linenumber || '.pdf')
-                  AS object_name FROM lineitem GROUP BY 1) sd ON sd.l_orderkey = d.l_orderkey
-LEFT JOIN (SELECT l_orderkey, min(l_returnflag || '/' || l_linestatus || '/' || l_linenumber)
-                  AS attachment_path FROM lineitem GROUP BY 1) a ON a.l_orderkey = d.l_orderkey
-GROUP BY ALL
-"""
-
-SIZE = "CASE WHEN n_chars < 1000 THEN 'note' WHEN n_chars < 4000 THEN 'article' ELSE 'report' END"
-LONG_WORDS = r"list_sort(list_distinct(regexp_extract_all(text, '\p{L}{12,}')))"
-
-DOCS = f"""docs AS (
-  SELECT CAST(d.doc_id AS VARCHAR) AS source_id, source || ' document ' || d.doc_id AS title,
-         source AS classification, {SIZE} AS doc_subtype,
-         CASE WHEN n_chars >= 4000 THEN [lang, 'long'] ELSE [lang] END AS area_ids,
-         CASE WHEN quality IS NULL THEN '' ELSE
-              'Quality ' || quality || '|Toxic ' || toxic END AS regulation_names,
-         'Doc_' || d.doc_id || '.PDF' AS object_name
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-
-PATHS = """paths AS (
-  SELECT CAST(conv_id AS VARCHAR) AS source_id, min(role || '/turn ' || turn || '.pdf')
-         AS attachment_path FROM conversations GROUP BY 1)"""
-
-LABELLED = """labelled AS (
-  SELECT * EXCLUDE (id, area_ids), 'Area ' || id AS label
-  FROM (SELECT *, unnest(area_ids) AS id FROM docs))"""
-
-SUMMARIES = f"""summaries AS (
-  SELECT 'doc_' || l.doc_id || '.txt' AS filename, n_chars AS text_length,
-         CAST(quality AS DOUBLE) AS quality_score,
-         CASE WHEN quality = 1 THEN 'high' ELSE 'low' END AS llm_confidence,
-         CASE WHEN quality = 1 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS final_confidence,
-         CASE WHEN quality = 1 THEN 'ml_training' ELSE 'human_review' END AS routing,
-         CASE WHEN toxic = 0 THEN 'success' ELSE 'failed' END AS llm_status,
-         text AS summary, {LONG_WORDS} AS key_terms
-  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
-
-
-def _stem(name: str) -> str:
-    return rf"lower(regexp_replace({name}, '\.[^.]+$', ''))"
-
-
-TRAINING = f"""training AS (
-  SELECT source_id, title, object_name, label, classification, doc_subtype, regulation_names,
-         filename, text_length, quality_score, llm_confidence, final_confidence, routing, summary,
-         array_to_string(key_terms, '|') AS key_terms,
-         doc_subtype || ' ' || classification || ' ' || summary || ' '
-         || coalesce(array_to_string(key_terms, ' '), '') AS feature_text,
-         title || ' ' || object_name AS baseline_text
-  FROM labelled JOIN summaries ON {_stem('object_name')} = {_stem('filename')}
-  WHERE routing = 'ml_training' AND llm_status = 'success' AND length(trim(summary)) > 0)"""
-
-BUILD = (DOCS, LABELLED, SUMMARIES, TRAINING)
-
-# ---- cleaning and quality ---------------------------------------------------------------
-
-
-def _clean(text: str) -> str:
-    kept = (rf"regexp_replace(coalesce({text}, ''), "
-            r"'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\p{Cf}\p{Co}\x{FFFD}]', '', 'g')")
-    squeezed = (f"regexp_replace(regexp_replace({kept}, '[ \\t]+', ' ', 'g'), "
-                "'\\n{3,}', chr(10) || chr(10), 'g')")
-    lines = (f"list_filter(string_split({squeezed}, chr(10)), lambda l: "
-             rf"NOT regexp_matches(l, '[^{WS}]') "
-             r"OR length(regexp_replace(l, '[^\p{L}]', '', 'g')) >= 2)")
-    return rf"regexp_replace(array_to_string({lines}, chr(10)), '^[{WS}]+|[{WS}]+$', '', 'g')"
-
-
-PUNCTUATION = r""" \t\n\r.,;:!?''"()\-/\\@#$%&*+=\[\]{}|<>~`_"""
-
-
-def _quality(source: str) -> str:
-    """Measures and score of ``text`` in ``source``, keeping its other columns."""
-    words = rf"list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda w: w <> '')"
-    return rf"""measured AS (
-  SELECT *, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / length(text)::DOUBLE AS letter_ratio,
-         length(regexp_replace(text, '[\p{{L}}\p{{N}}{PUNCTUATION}]', '', 'g'))
-             / length(text)::DOUBLE AS special_ratio,
-         CASE WHEN len(words) = 0 THEN 0::DOUBLE ELSE len(list_filter(words, lambda w:
-              length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 2)) / len(words)::DOUBLE END
-              AS word_ratio,
-         len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}_{WS}]{{10,}}')) AS garbled_runs
-  FROM (SELECT *, {words} AS words FROM {source})),
-scored AS (
-  SELECT *, CASE WHEN length(text) = 0 THEN 0::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE,
-         printf('%.3f', 0.40::DOUBLE * letter_ratio
-           + 0.25::DOUBLE * (1 - least(special_ratio * 10, 1::DOUBLE))
-           + 0.25::DOUBLE * word_ratio
-           + 0.10::DOUBLE * (1 - least(garbled_runs / 20::DOUBLE, 1::DOUBLE)))::DOUBLE)) END
-         AS quality_score,
-         CASE WHEN length(text) = 0 THEN 'No text' WHEN letter_ratio > 0.5 THEN 'clean'
-              ELSE 'alpha=' || printf('%.0f', letter_ratio * 100) || '%' END AS quality_reason
-  FROM measured)"""
-
-
-PAGE_CANDIDATES = rf"""candidates AS (
-  SELECT page_id AS doc_id, 'whole page' AS method, 1 AS priority,
-         len(regexp_extract_all(html, '<p>')) AS pages,
-         regexp_replace(regexp_replace(html,
-           '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', chr(10), 'g') AS raw
-  FROM pages
-  UNION ALL
-  SELECT page_id, 'article', 2, len(regexp_extract_all(html, '<p>')),
-         regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
-           '<[^>]*>', ' ', 'g')
-  FROM pages WHERE contains(html, '<article>')),
-cleaned AS (SELECT * EXCLUDE (raw), {_clean('raw')} AS text FROM candidates)"""
-
-TEXT_CANDIDATES = f"""candidates AS (
-  SELECT doc_id, 'plain' AS method, 1 AS priority, 1 AS pages, text AS raw FROM documents
-  UNION ALL SELECT doc_id, 'no digits', 2, 1, regexp_replace(text, '[0-9]+', '', 'g') FROM documents),
-cleaned AS (SELECT * EXCLUDE (raw), {_clean('raw')} AS text FROM candidates)"""
-GATED = """best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality_score DESC, priority) AS rn
-          FROM scored WHERE quality_score > 0),
-gated AS (
-  SELECT d.doc_id, method, pages, length(coalesce(b.text, '')) AS chars,
-         coalesce(quality_score, 0) AS quality_score,
-         CASE WHEN coalesce(quality_score, 0) < 0.40 THEN 'low_quality'
-              WHEN toxic = 1 OR lang = 'es' THEN 'failed_reply' ELSE 'ready' END AS state
-  FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND rn = 1
-  LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-USABLE = """usable AS (
-  SELECT CAST(sum(n) AS BIGINT) AS n
-  FROM (SELECT count(*) AS n FROM training GROUP BY label HAVING count(*) >= 5))"""
-
-# ---- classes, split, terms ----------------------------------------------------------------
-
-CLASSED = "classed AS (SELECT doc_id, lang || '/' || source AS label FROM documents)"
-RANKED = """ranked AS (
-  SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42#' || doc_id))
-         AS rn FROM documents),
-sizes AS (SELECT label, count(*) AS n FROM ranked GROUP BY label)"""
-HOLDOUT = f"""{RANKED},
-totals AS (SELECT *, sum(n) OVER () AS total FROM sizes),
-kept AS (SELECT *, total - (total * 20 + 99) // 100 AS keep FROM totals),
-shares AS (SELECT *, (n * keep) // total AS share, (n * keep) % total AS rest FROM kept),
-dealt AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS place,
-                 keep - sum(share) OVER () AS missing FROM shares),
-held AS (SELECT label, n - share - CASE WHEN place <= missing THEN 1 ELSE 0 END AS test_rows FROM dealt)"""
-FOLDS = f"""{RANKED},
-placed AS (SELECT label, n, sum(n) OVER (ORDER BY label) - n AS before FROM sizes),
-slots AS (SELECT label, (before + i) % 5 AS fold FROM placed, unnest(range(CAST(n AS BIGINT))) t(i)),
-slotted AS (SELECT label, CAST(fold AS INTEGER) AS fold,
-                   row_number() OVER (PARTITION BY label ORDER BY fold) AS rn FROM slots),
-folds AS (SELECT doc_id, label, fold FROM ranked JOIN slotted USING (label, rn))"""
-
-GRAMS = r"""words AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS words
-  FROM documents),
-grams AS (
-  SELECT doc_id, words, list_concat(words, list_transform(range(1, len(words)),
-         lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM words),
-tf AS (SELECT doc_id, term, count(*) AS tf
-       FROM (SELECT doc_id, unnest(grams) AS term FROM grams) GROUP BY ALL),
-vocabulary AS (
-  SELECT term, CAST(sum(tf) AS BIGINT) AS corpus_count, count(*) AS document_count FROM tf
-  GROUP BY term HAVING count(*) >= 2 ORDER BY corpus_count DESC, term LIMIT 10000)"""
-
-# ---- predictions ---------------------------------------------------------------------------
-
-PREDICTIONS = """raw AS (
-  SELECT e.experiment, d.doc_id, d.source, d.n_chars, d.lang AS "true", c.lang AS class,
-         CAST('0x' || substr(md5(e.experiment || '#' || d.doc_id || '#' || c.lang), 1, 7) AS BIGINT) AS s
-  FROM documents d, (SELECT DISTINCT lang FROM documents) c,
-       (VALUES ('baseline'), ('summary_only'), ('combined')) e(experiment)),
-probs AS (SELECT *, s / sum(s) OVER (PARTITION BY experiment, doc_id)::DOUBLE AS p FROM raw),
-ranking AS (SELECT *, row_number() OVER (PARTITION BY experiment, doc_id ORDER BY p DESC, class) AS rank
-            FROM probs),
-predictions AS (SELECT experiment, doc_id, source, n_chars, "true", class AS pred, p AS top
-                FROM ranking WHERE rank = 1),
-combined AS (SELECT * FROM predictions WHERE experiment = 'combined')"""
-
-
-def _report(source: str, by: str) -> str:
-    """Class report of ``source`` grouped by the ``by`` column."""
-    return f"""sides AS (
-  SELECT {by} AS grp, "true" AS label, 1 AS support, 0 AS predicted, ("true" = pred)::INT AS hit FROM {source}
-  UNION ALL SELECT {by}, pred, 0, 1, 0 FROM {source}),
-report AS (
-  SELECT grp, label, sum(support) AS support, sum(hit) AS hits,
-         CASE WHEN sum(predicted) > 0 THEN sum(hit) / sum(predicted)::DOUBLE ELSE 0 END AS precision,
-         CASE WHEN sum(support) > 0 THEN sum(hit) / sum(support)::DOUBLE ELSE 0 END AS recall,
-         2 * sum(hit) / (sum(support) + sum(predicted))::DOUBLE AS f1
-  FROM sides GROUP BY grp, label),
-metrics AS (
-  SELECT grp, sum(hits) / sum(support)::DOUBLE AS accuracy, avg(f1) AS macro_f1,
-         sum(f1 * support) / sum(support)::DOUBLE AS weighted_f1,
-         CAST(sum(support) AS BIGINT) AS rows FROM report GROUP BY grp)"""
-
-
-# ---- profile ----------------------------------------------------------------------------------
-
-
-def _profile(source: str, columns: list[str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, "
-        f"count(DISTINCT {c}) AS distinct_values, count({c}) - count(DISTINCT {c}) AS repeats "
-        f"FROM {source}" for c in columns)
-
+from harness.fit_oracles import FIT_ORACLES
+from harness.parts import (
+    BUILD, CLASSED, DOCS, FOLDS, GATED, GRAMS, HOLDOUT, LABELLED, LONG_WORDS, ORDER_SETS,
+    PAGE_CANDIDATES, PATHS, PREDICTIONS, RANKED, SIZE, SUMMARIES, TEXT_CANDIDATES, USABLE, WS,
+    clean, profile, quality, r6, report, stem, with_)
 
 _cents = "printf('%.2f', {0})::DOUBLE AS {1}".format
 
 ORACLES: dict[str, str] = {
     "metadata_sets": ORDER_SETS,
-    "text_metadata": _with(DOCS, PATHS) + """
+    "text_metadata": with_(DOCS, PATHS) + """
 SELECT docs.source_id, title, classification, doc_subtype, object_name, attachment_path,
        array_to_string(list_transform(list_sort(area_ids), lambda a: 'Area ' || a), '|') AS area_names,
        regulation_names
 FROM docs LEFT JOIN paths ON paths.source_id = docs.source_id""",
-    "training_rows": _with(*BUILD) + "SELECT * FROM training",
-    "training_rows_sliced": _with(*BUILD) + "SELECT * FROM training",
-    "experiment_texts": _with(*BUILD) + rf"""
+    "training_rows": with_(*BUILD) + "SELECT * FROM training",
+    "training_rows_sliced": with_(*BUILD) + "SELECT * FROM training",
+    "experiment_texts": with_(*BUILD) + rf"""
 SELECT source_id, filename, label, baseline_text AS baseline, feature_text AS combined,
        regexp_replace(summary || ' ' || doc_subtype, '^[{WS}]+|[{WS}]+$', '', 'g') AS summary_only,
        summary || ' ' || replace(key_terms, '|', ' ') AS scoring
 FROM training""",
-    "part_counts": _with(HOLDOUT) + """
+    "part_counts": with_(HOLDOUT) + """
 SELECT label, CASE WHEN rn <= test_rows THEN 'test' ELSE 'train' END AS part, count(*) AS n
 FROM ranked JOIN held USING (label) GROUP BY ALL""",
-    "label_distribution": _with(*BUILD) + """
+    "label_distribution": with_(*BUILD) + """
 SELECT label, count(*) AS n,
        CAST(round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS DOUBLE) AS pct
 FROM training GROUP BY label""",
-    "classification_counts": _with(*BUILD) + """
+    "classification_counts": with_(*BUILD) + """
 SELECT classification, count(*) AS n FROM training GROUP BY 1""",
-    "length_buckets": _with(*BUILD) + """
+    "length_buckets": with_(*BUILD) + """
 SELECT CASE WHEN length(feature_text) < 200 THEN '< 200'
             WHEN length(feature_text) < 1000 THEN '200-1000'
             WHEN length(feature_text) < 3000 THEN '1000-3000' ELSE '> 3000' END AS bucket,
        count(*) AS n FROM training GROUP BY 1""",
-    "join_coverage": _with(DOCS, LABELLED, SUMMARIES) + f"""
+    "join_coverage": with_(DOCS, LABELLED, SUMMARIES) + f"""
 SELECT CASE WHEN filename IS NULL THEN 'no_match' ELSE routing END AS status, count(*) AS n
-FROM labelled LEFT JOIN summaries ON {_stem('object_name')} = {_stem('filename')} GROUP BY 1""",
-    "leakage_preview": _with(*BUILD) + """
+FROM labelled LEFT JOIN summaries ON {stem('object_name')} = {stem('filename')} GROUP BY 1""",
+    "leakage_preview": with_(*BUILD) + """
 SELECT label, classification, doc_subtype, final_confidence, left(summary, 300) AS summary_preview,
        key_terms, left(feature_text, 400) AS feature_preview
 FROM training ORDER BY label, source_id, filename LIMIT 20""",
-    "leakage_flags": _with(*BUILD) + """
+    "leakage_flags": with_(*BUILD) + """
 SELECT label, count(*) AS n,
        CAST(sum(contains(lower(feature_text), lower(label))::INT) AS BIGINT) AS with_label_in_text
 FROM training GROUP BY 1""",
-    "multi_label_documents": _with(*BUILD) + """
+    "multi_label_documents": with_(*BUILD) + """
 SELECT source_id, title, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels,
        count(*) AS row_count, CAST(count(DISTINCT label) AS INTEGER) AS label_count
 FROM training GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -284,43 +63,43 @@ SELECT path, bytes FROM (
   SELECT '/' || source || '/Doc_' || doc_id || CASE lang WHEN 'en' THEN '.PDF' WHEN 'de' THEN '.pdf'
          ELSE '.txt' END AS path, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)
 WHERE lower(path) LIKE '%.pdf'""",
-    "clean_text": f"SELECT doc_id, {_clean('text')} AS text FROM documents",
-    "text_quality": _with(_quality("documents")) + f"""
-SELECT doc_id, {_r6('letter_ratio', 'letter_ratio')}, {_r6('word_ratio', 'word_ratio')},
-       {_r6('special_ratio', 'special_ratio')}, garbled_runs, quality_score, quality_reason FROM scored""",
-    "best_candidate": _with(PAGE_CANDIDATES, _quality("cleaned")) + """
+    "clean_text": f"SELECT doc_id, {clean('text')} AS text FROM documents",
+    "text_quality": with_(quality("documents")) + f"""
+SELECT doc_id, {r6('letter_ratio', 'letter_ratio')}, {r6('word_ratio', 'word_ratio')},
+       {r6('special_ratio', 'special_ratio')}, garbled_runs, quality_score, quality_reason FROM scored""",
+    "best_candidate": with_(PAGE_CANDIDATES, quality("cleaned")) + """
 , best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality_score DESC, priority) AS rn
            FROM scored WHERE quality_score > 0)
 SELECT p.page_id AS doc_id, method, CAST(pages AS INTEGER) AS pages, coalesce(text, '') AS text,
        coalesce(quality_score, 0) AS quality_score
 FROM pages p LEFT JOIN best b ON b.doc_id = p.page_id AND rn = 1""",
-    "frequent_classes": _with(CLASSED) + """
+    "frequent_classes": with_(CLASSED) + """
 SELECT label, count(*) AS n FROM classed GROUP BY label HAVING count(*) >= 5""",
-    "dropped_classes": _with(CLASSED) + """
+    "dropped_classes": with_(CLASSED) + """
 SELECT label, count(*) AS n FROM classed GROUP BY label HAVING count(*) < 5""",
-    "class_overview": _with(CLASSED) + """
+    "class_overview": with_(CLASSED) + """
 SELECT count(*) AS rows, count(DISTINCT label) AS classes FROM classed""",
-    "stratified_split": _with(HOLDOUT) + """
+    "stratified_split": with_(HOLDOUT) + """
 SELECT doc_id, label, CASE WHEN rn <= test_rows THEN 'test' ELSE 'train' END AS part
 FROM ranked JOIN held USING (label)""",
-    "folds": _with(FOLDS) + "SELECT doc_id, label, fold FROM folds",
-    "class_weights": _with(RANKED) + f"""
-SELECT label, n, {_r6('sum(n) OVER () / (count(*) OVER () * n)::DOUBLE', 'weight')} FROM sizes""",
-    "token_counts": _with(GRAMS) + """
+    "folds": with_(FOLDS) + "SELECT doc_id, label, fold FROM folds",
+    "class_weights": with_(RANKED) + f"""
+SELECT label, n, {r6('sum(n) OVER () / (count(*) OVER () * n)::DOUBLE', 'weight')} FROM sizes""",
+    "token_counts": with_(GRAMS) + """
 SELECT doc_id, CAST(len(words) AS INTEGER) AS words,
        CAST(len(list_distinct(words)) AS INTEGER) AS distinct_words,
        CAST(len(grams) AS INTEGER) AS grams,
        CAST(len(list_distinct(grams)) AS INTEGER) AS distinct_grams FROM grams""",
-    "vocabulary": _with(GRAMS) + "SELECT * FROM vocabulary",
-    "tfidf_weights": _with(GRAMS) + f"""
+    "vocabulary": with_(GRAMS) + "SELECT * FROM vocabulary",
+    "tfidf_weights": with_(GRAMS) + f"""
 , raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents))
                  / (1 + document_count)::DOUBLE) + 1) AS w
           FROM tf JOIN vocabulary USING (term))
-SELECT doc_id, term, {_r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 'weight')} FROM raw""",
-    "prediction_metrics": _with(PREDICTIONS, _report("predictions", "experiment")) + f"""
-SELECT grp AS experiment, {_r6('accuracy', 'accuracy')}, {_r6('macro_f1', 'macro_f1')},
-       {_r6('weighted_f1', 'weighted_f1')}, rows FROM metrics""",
-    "class_report": _with(PREDICTIONS, _report("combined", "1")) + f"""
+SELECT doc_id, term, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 'weight')} FROM raw""",
+    "prediction_metrics": with_(PREDICTIONS, report("predictions", "experiment")) + f"""
+SELECT grp AS experiment, {r6('accuracy', 'accuracy')}, {r6('macro_f1', 'macro_f1')},
+       {r6('weighted_f1', 'weighted_f1')}, rows FROM metrics""",
+    "class_report": with_(PREDICTIONS, report("combined", "1")) + f"""
 , lines AS (
   SELECT label, precision, recall, f1, support FROM report
   UNION ALL SELECT 'accuracy', accuracy, accuracy, accuracy, rows FROM metrics
@@ -328,45 +107,45 @@ SELECT grp AS experiment, {_r6('accuracy', 'accuracy')}, {_r6('macro_f1', 'macro
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support)::DOUBLE,
                    sum(recall * support) / sum(support)::DOUBLE,
                    sum(f1 * support) / sum(support)::DOUBLE, sum(support) FROM report)
-SELECT label, {_r6('precision', 'precision')}, {_r6('recall', 'recall')}, {_r6('f1', 'f1')},
+SELECT label, {r6('precision', 'precision')}, {r6('recall', 'recall')}, {r6('f1', 'f1')},
        CAST(support AS BIGINT) AS support FROM lines""",
-    "confusion_matrix": _with(PREDICTIONS) + f"""
+    "confusion_matrix": with_(PREDICTIONS) + f"""
 , labels_seen AS (SELECT "true" AS label FROM combined UNION SELECT pred FROM combined),
 cells AS (SELECT t.label AS "true", p.label AS pred, count(c.doc_id) AS n
           FROM labels_seen t CROSS JOIN labels_seen p
           LEFT JOIN combined c ON c."true" = t.label AND c.pred = p.label GROUP BY ALL)
-SELECT "true", pred, n, {_r6('''coalesce(n / nullif(sum(n) OVER (PARTITION BY "true"), 0)::DOUBLE, 0)''',
+SELECT "true", pred, n, {r6('''coalesce(n / nullif(sum(n) OVER (PARTITION BY "true"), 0)::DOUBLE, 0)''',
                            'share')} FROM cells""",
-    "label_set": _with(PREDICTIONS) + """
+    "label_set": with_(PREDICTIONS) + """
 SELECT "true" AS label FROM combined UNION SELECT pred FROM combined""",
-    "top_k_accuracy": _with(PREDICTIONS) + f"""
-SELECT CAST(k AS INTEGER) AS k, {_r6('avg((rank <= k)::INT)', 'accuracy')}
+    "top_k_accuracy": with_(PREDICTIONS) + f"""
+SELECT CAST(k AS INTEGER) AS k, {r6('avg((rank <= k)::INT)', 'accuracy')}
 FROM ranking, (VALUES (1), (2), (3)) ks(k)
 WHERE experiment = 'combined' AND class = "true" GROUP BY k""",
-    "experiment_comparison": _with(PREDICTIONS, _report("predictions", "experiment")) + f"""
+    "experiment_comparison": with_(PREDICTIONS, report("predictions", "experiment")) + f"""
 , deltas AS (SELECT m.grp AS experiment, m.accuracy, m.macro_f1, m.weighted_f1,
                     m.accuracy - b.accuracy AS da, m.macro_f1 - b.macro_f1 AS dm,
                     m.weighted_f1 - b.weighted_f1 AS dw
              FROM metrics m, metrics b WHERE b.grp = 'baseline')
-SELECT experiment, {_r6('accuracy', 'accuracy')}, {_r6('macro_f1', 'macro_f1')},
-       {_r6('weighted_f1', 'weighted_f1')}, {_r6('da', 'delta_accuracy')},
-       {_r6('dm', 'delta_macro_f1')}, {_r6('dw', 'delta_weighted_f1')},
+SELECT experiment, {r6('accuracy', 'accuracy')}, {r6('macro_f1', 'macro_f1')},
+       {r6('weighted_f1', 'weighted_f1')}, {r6('da', 'delta_accuracy')},
+       {r6('dm', 'delta_macro_f1')}, {r6('dw', 'delta_weighted_f1')},
        CASE WHEN experiment <> 'combined' THEN NULL WHEN dm > 0.02 THEN 'improves'
             WHEN dm > 0 THEN 'marginal' ELSE 'no improvement' END AS verdict FROM deltas""",
-    "error_patterns": _with(PREDICTIONS) + """
+    "error_patterns": with_(PREDICTIONS) + """
 SELECT "true", pred, count(*) AS count FROM combined WHERE "true" <> pred GROUP BY 1, 2
 ORDER BY count DESC, "true", pred LIMIT 15""",
-    "error_share": _with(PREDICTIONS) + f"""
+    "error_share": with_(PREDICTIONS) + f"""
 SELECT count(*) AS rows, CAST(sum(("true" <> pred)::INT) AS BIGINT) AS wrong,
-       {_r6('avg(("true" = pred)::INT)', 'accuracy')} FROM combined""",
-    "misclassified_sample": _with(PREDICTIONS) + f"""
+       {r6('avg(("true" = pred)::INT)', 'accuracy')} FROM combined""",
+    "misclassified_sample": with_(PREDICTIONS) + f"""
 SELECT doc_id, source || ' document ' || doc_id AS title, "true", pred, source AS classification,
        {SIZE} AS doc_subtype FROM combined WHERE "true" <> pred ORDER BY doc_id LIMIT 10""",
-    "fold_summary": _with(PREDICTIONS, FOLDS, """folded AS (
-  SELECT c.*, f.fold FROM combined c JOIN folds f USING (doc_id))""", _report("folded", "fold")) + f"""
+    "fold_summary": with_(PREDICTIONS, FOLDS, """folded AS (
+  SELECT c.*, f.fold FROM combined c JOIN folds f USING (doc_id))""", report("folded", "fold")) + f"""
 , summary AS (SELECT avg(weighted_f1) AS m, stddev_pop(weighted_f1) AS s FROM metrics)
-SELECT {_r6('m', 'mean')}, {_r6('s', 'std')}, {_r6('m - 2 * s', 'mean_minus_2sd')},
-       {_r6('m + 2 * s', 'mean_plus_2sd')} FROM summary""",
+SELECT {r6('m', 'mean')}, {r6('s', 'std')}, {r6('m - 2 * s', 'mean_minus_2sd')},
+       {r6('m + 2 * s', 'mean_plus_2sd')} FROM summary""",
     "reply_parse": f"""
 SELECT doc_id, status_code, parse_status,
        CASE parse_status WHEN 'http_error' THEN 'HTTP 500' WHEN 'no_json' THEN 'No JSON' END AS error,
@@ -380,20 +159,20 @@ FROM (SELECT d.doc_id, text, source, quality, {LONG_WORDS} AS terms,
              CASE WHEN toxic = 1 THEN 'http_error' WHEN lang <> 'es' THEN 'ok'
                   WHEN contains(text, '}}') THEN 'invalid_json' ELSE 'no_json' END AS parse_status
       FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
-    "training_sink": _with(*BUILD) + """
+    "training_sink": with_(*BUILD) + """
 SELECT count(*) AS written, count(*) AS stored, 17 AS columns FROM training""",
-    "gated_documents": _with(TEXT_CANDIDATES, _quality("cleaned"), GATED) + """
+    "gated_documents": with_(TEXT_CANDIDATES, quality("cleaned"), GATED) + """
 SELECT doc_id, method, CAST(pages AS INTEGER) AS pages, CAST(chars AS INTEGER) AS chars, quality_score, state
 FROM gated""",
-    "fit_checks": _with(*BUILD, USABLE) + """
+    "fit_checks": with_(*BUILD, USABLE) + """
 SELECT experiment, rows, rows AS sums_to_one, rows AS likeliest, rows AS same_after_load
 FROM (SELECT (n * 20 + 99) // 100 AS rows FROM usable),
      (VALUES ('baseline'), ('summary_only'), ('combined')) e(experiment)""",
-    "fold_checks": _with(*BUILD, USABLE) + """
+    "fold_checks": with_(*BUILD, USABLE) + """
 SELECT CAST(i AS INTEGER) AS fold, (n - i + 4) // 5 AS rows, (n - i + 4) // 5 AS sums_to_one,
        (n - i + 4) // 5 AS likeliest
 FROM usable, range(5) folds(i)""",
-    "scored_states": _with(TEXT_CANDIDATES, _quality("cleaned"), GATED) + """
+    "scored_states": with_(TEXT_CANDIDATES, quality("cleaned"), GATED) + """
 SELECT state, count(*) AS rows, CASE WHEN state = 'ready' THEN count(*) ELSE 0 END AS predicted,
        CASE WHEN state = 'ready' THEN count(*) ELSE 0 END AS ranked,
        CASE WHEN state = 'ready' THEN 0 ELSE count(*) END AS waiting FROM gated GROUP BY state""",
@@ -404,10 +183,10 @@ SELECT doc_id, part::INTEGER AS part, parts::INTEGER AS parts,
 FROM (SELECT doc_id, text, parts, unnest(range(1, parts + 1)) AS part
       FROM (SELECT doc_id, coalesce(text, '') AS text,
                    greatest(1, (length(coalesce(text, '')) + 29999) // 30000) AS parts FROM documents))""",
-    "ranked_predictions": _with(PREDICTIONS) + f"""
-SELECT doc_id, CAST(rank AS INTEGER) AS rank, class, {_r6('p', 'probability')}
+    "ranked_predictions": with_(PREDICTIONS) + f"""
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, class, {r6('p', 'probability')}
 FROM ranking WHERE experiment = 'combined'""",
-    "review_routing": _with(PREDICTIONS) + f"""
+    "review_routing": with_(PREDICTIONS) + f"""
 , states AS (
   SELECT c.doc_id, pred, top, source,
          CASE WHEN quality IS NULL THEN 'no_reply' WHEN toxic = 1 THEN 'failed_reply'
@@ -441,9 +220,9 @@ FROM (SELECT c_custkey, c_acctbal AS subtotal,
              CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey * 5.0::DOUBLE ELSE 0::DOUBLE END
              AS discount_percent FROM customer)
 WHERE subtotal <= 0 OR discount_percent > 100""",
-    "join_fanout": _with(DOCS, LABELLED, SUMMARIES) + f"""
-, l AS (SELECT {_stem('object_name')} AS stem, count(*) AS n FROM labelled GROUP BY 1),
-r AS (SELECT {_stem('filename')} AS stem, count(*) AS m FROM summaries
+    "join_fanout": with_(DOCS, LABELLED, SUMMARIES) + f"""
+, l AS (SELECT {stem('object_name')} AS stem, count(*) AS n FROM labelled GROUP BY 1),
+r AS (SELECT {stem('filename')} AS stem, count(*) AS m FROM summaries
       WHERE routing = 'ml_training' AND llm_status = 'success' AND length(trim(summary)) > 0 GROUP BY 1),
 k AS (SELECT coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM l FULL JOIN r ON l.stem = r.stem)
 SELECT CAST(sum(n) AS BIGINT) AS left_rows, CAST(sum(m) AS BIGINT) AS right_rows,
@@ -452,19 +231,20 @@ SELECT CAST(sum(n) AS BIGINT) AS left_rows, CAST(sum(m) AS BIGINT) AS right_rows
        count(*) FILTER (WHERE m > 1) AS right_repeated_keys,
        count(*) FILTER (WHERE n * m > 0) AS matched_keys,
        CAST(sum(n * m) AS BIGINT) AS joined_rows, max(n * m) AS largest_key_rows FROM k""",
-    "column_profile": _with("""joined AS (
+    "column_profile": with_("""joined AS (
   SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
-    + _profile("joined", ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]),
+    + profile("joined", ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]),
     "schema_diff": """
 SELECT * FROM (VALUES ('doc_id', 'bigint', 'bigint', 'same'), ('text', 'string', 'string', 'same'),
   ('lang', 'string', 'bigint', 'changed'), ('source', 'string', NULL, 'only left'),
   ('n_chars', 'bigint', NULL, 'only left'), ('role', NULL, 'string', 'only right'))
   c(column_name, left_type, right_type, status)
 LEFT JOIN (SELECT column_name, rows AS left_rows, nulls AS left_nulls FROM ("""
-    + _profile("documents", ["doc_id", "text", "lang", "source", "n_chars"])
+    + profile("documents", ["doc_id", "text", "lang", "source", "n_chars"])
     + """)) l USING (column_name)
 LEFT JOIN (SELECT column_name, rows AS right_rows, nulls AS right_nulls FROM ("""
-    + _profile("(SELECT conv_id AS doc_id, text, turn AS lang, role FROM conversations)",
+    + profile("(SELECT conv_id AS doc_id, text, turn AS lang, role FROM conversations)",
                ["doc_id", "text", "lang", "role"])
     + ")) r USING (column_name)",
+    **FIT_ORACLES,
 }

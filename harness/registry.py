@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from harness import roles
 from labelloom.functions.cleaning import clean_text
 from labelloom.functions.replies import prompt_parts
 from labelloom.functions.text import name_stem, scoring_text
-from labelloom.model.classifier import fit_classifier
+from labelloom.model.certificate import certificate
+from labelloom.model.classifier import Classifier, Settings, fit_classifier
+from labelloom.operators import association, bootstrap, keyed, ranking, strata, terms
 from labelloom.operators import evaluation as E
-from labelloom.operators import keyed, ranking, strata, terms
 from labelloom.operators.candidates import best_candidates, with_quality
 from labelloom.operators.profile import column_profile, table_diff
 from labelloom.operators.stem_join import fan_out
@@ -22,10 +24,11 @@ from labelloom.plans import checks, experiments
 from labelloom.plans import invoices as invoice_plans
 from labelloom.plans.metadata import metadata, one_row_per_label
 from labelloom.plans.replies import parsed_replies
-from labelloom.plans.scoring import gated, routed, score_documents
+from labelloom.plans.scoring import gated, routed, score_documents, score_unknown
 from labelloom.plans.training import join_coverage, training_rows as plain_training_rows, usable_summaries
 from labelloom.sources.inventory import documents_with_suffix
-from labelloom.sources.tables import overwrite_table, stored_rows
+from labelloom.session import shared_folder, stage
+from labelloom.sources.tables import overwrite_table, remove_table, stored_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -314,7 +317,7 @@ def training_sink(spark: SparkSession, d: str) -> DataFrame:
         written = overwrite_table(rows, name)
         counts = (written, stored_rows(spark, name), len(spark.table(name).columns))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_table(spark, name)
     return spark.createDataFrame([counts], "written long, stored long, columns int")
 
 
@@ -328,16 +331,134 @@ def gated_documents(spark: SparkSession, d: str) -> DataFrame:
     return states.select("doc_id", "method", "pages", "chars", "quality_score", "state")
 
 
+# The fits of these queries run until nothing is left that four digits of a probability show.
+FIT = Settings(tolerance=1e-10)
+_fitted: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable):
+    """What ``make`` gives, kept for the session, as several queries ask about one fit."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _fitted:
+        _fitted[key] = make()
+    return _fitted[key]
+
+
+def _experiments(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, Classifier]]:
+    def fit():
+        predictions, models = experiments.run_experiments(_stored_split(spark, d), FIT)
+        return stage(predictions, "predictions"), models
+    return _once(spark, d, "experiments", fit)
+
+
+def _fold_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = roles.stored(spark, d, "fold-rows", lambda s, p: strata.with_folds(
+        experiments.model_rows(roles.stored_training(s, p)), "label", experiments.IDENTITY))
+    return _once(spark, d, "folds", lambda: stage(experiments.fold_predictions(rows, settings=FIT), "fold-predictions"))
+
+
+def _scoring_model(spark: SparkSession, d: str) -> Classifier:
+    return _once(spark, d, "scoring", lambda: fit_classifier(
+        experiments.model_rows(roles.stored_training(spark, d)), "feature_text", settings=FIT))
+
+
 def fit_checks(spark: SparkSession, d: str) -> DataFrame:
     """Properties that the fitted experiments' predictions must have, as row counts."""
-    return experiments.reload_checks(_stored_split(spark, d))
+    predictions, models = _experiments(spark, d)
+    return experiments.reload_checks(_stored_split(spark, d), predictions, models)
 
 
 def fold_checks(spark: SparkSession, d: str) -> DataFrame:
     """The same properties of the out-of-fold predictions."""
-    rows = roles.stored(spark, d, "fold-rows", lambda s, p: strata.with_folds(
-        experiments.model_rows(roles.stored_training(s, p)), "label", experiments.IDENTITY))
-    return experiments.prediction_checks(experiments.fold_predictions(rows), "fold")
+    return experiments.prediction_checks(_fold_predictions(spark, d), "fold")
+
+
+def fit_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient of each experiment's objective at its fit, from relational weights."""
+    _, models = _experiments(spark, d)
+    rows = experiments.experiment_rows(_stored_split(spark, d))
+    parts = [certificate(rows[name].where(F.col("part") == "train"), "text", "label", model, FIT).select(
+        F.lit(name).alias("experiment"), "rows", "classes", "terms", rounded("objective"),
+        F.round("norm", 3).alias("norm"), "optimal") for name, model in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The probability of every class for the held-out rows of every experiment."""
+    predictions, _ = _experiments(spark, d)
+    return predictions.select("experiment", "source_id", "filename", "true", "pred", F.explode("probs").alias("c")).select(
+        "experiment", "source_id", "filename", "true", "pred", F.col("c.class").alias("class"),
+        F.round("c.p", 4).alias("p"))
+
+
+def fold_vocabularies(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary outside each fold of the texts, from one count per term and fold."""
+    placed = folds(spark, d).select("doc_id", "fold")
+    return terms.fold_vocabularies(text_grams(spark, d).join(placed, "doc_id"))
+
+
+def document_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on one side each, with all of their labels."""
+    parts = experiments.document_parts(experiments.model_rows(roles.stored_training(spark, d)))
+    return parts.select("source_id", joined_set("labels"), "part")
+
+
+def document_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per label: documents, held-out ones, and whether these are within one of a fifth."""
+    parts = experiments.document_parts(experiments.model_rows(roles.stored_training(spark, d)))
+    counts = parts.select("part", F.explode("labels").alias("label")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("part") == "test").alias("held_out"))
+    return counts.withColumn("level", F.abs(5 * F.col("held_out") - F.col("documents")) <= 5)
+
+
+def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Percentile intervals of the derived predictions' metrics."""
+    found = bootstrap.bootstrap_intervals(roles.predictions(spark, d), ["experiment"], ["doc_id"])
+    return found.select("experiment", "metric", rounded("low"), rounded("high"))
+
+
+def uplift_test(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the derived predictions of two experiments differ by more than chance."""
+    tested = bootstrap.paired_test(roles.predictions(spark, d), "baseline", "combined", ["doc_id"])
+    return tested.select("pairs", "only_baseline", "only_candidate", rounded("p_value"))
+
+
+def leakage_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that speak most for each language of the texts."""
+    found = association.associated_terms(labelled_texts_with_text(spark, d), F.col("text"), "label")
+    return found.select("label", "rank", "term", "n", "with_term", rounded("chi_square"))
+
+
+def label_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Languages whose code occurs in the texts of a language, in any case of letters."""
+    return association.label_mentions(labelled_texts_with_text(spark, d), F.col("text"), "label")
+
+
+def labelled_texts_with_text(spark: SparkSession, d: str) -> DataFrame:
+    return roles.read_texts(spark, d, "documents").select("doc_id", F.col("lang").alias("label"), "text")
+
+
+def incremental_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The training texts scored twice by one model: rows, texts the model saw, texts it saw again."""
+    rows = roles.stored_training(spark, d).select("source_id", "filename", "label", "feature_text")
+    folder = f"{shared_folder(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    ids, model = ["source_id", "filename", "label"], _scoring_model(spark, d)
+    _, seen = score_unknown(rows, ids, "feature_text", model, "1", folder)
+    scored, again = score_unknown(rows, ids, "feature_text", model, "1", folder)
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.count("pred").alias("scored")).withColumns({
+        "texts": F.lit(seen).cast("long"), "texts_again": F.lit(again).cast("long")})
+
+
+def unusual_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with control, private-use, replacement and compatibility characters, cleaned."""
+    return roles.unusual_texts(spark, d).select("doc_id", clean_text(F.col("text")).alias("text"))
+
+
+def text_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, whether enough documents hold any digit to train on digits alone."""
+    rows = roles.read_texts(spark, d, "documents").select(
+        "source", F.regexp_replace("text", "[^0-9]+", "").alias("digits"))
+    return experiments.text_readiness(rows, F.col("digits"), "source")
 
 
 def scored_states(spark: SparkSession, d: str) -> DataFrame:
@@ -350,23 +471,32 @@ def scored_states(spark: SparkSession, d: str) -> DataFrame:
 
 def experiment_results(spark: SparkSession, d: str) -> DataFrame:
     """Three fitted experiments on the training table, compared."""
-    predictions, _ = experiments.run_experiments(_stored_split(spark, d))
-    return experiments.comparison_of_all(predictions)
+    out = experiments.comparison_of_all(_experiments(spark, d)[0])
+    return out.select("experiment", *[rounded(c) for c in out.columns
+                                      if c not in ("experiment", "verdict", "status")], "verdict", "status")
 
 
 def cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return experiments.cross_validation(roles.stored_training(spark, d))
+    summary = E.fold_summary(E.prediction_metrics(_fold_predictions(spark, d), ["fold"]))
+    return summary.select(*[rounded(c) for c in summary.columns])
 
 
 def scored_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole job: extraction choice, reply, fitted model, routing."""
-    rows = experiments.model_rows(roles.stored_training(spark, d))
-    model = fit_classifier(rows, "feature_text")
-    documents = roles.read(spark, d, "documents")
-    best = _best_texts(spark, d)
-    info = documents.select("doc_id", roles.size_class(F.col("n_chars")).alias("doc_subtype"),
-                            F.col("source").alias("classification"))
-    return score_documents(best, parsed_replies(roles.replies(spark, d)), model, info)
+    def score():
+        documents = roles.read(spark, d, "documents")
+        info = documents.select("doc_id", roles.size_class(F.col("n_chars")).alias("doc_subtype"),
+                                F.col("source").alias("classification"))
+        return stage(score_documents(_best_texts(spark, d), parsed_replies(roles.replies(spark, d)),
+                                     _scoring_model(spark, d), info), "scored")
+    return _once(spark, d, "scored", score)
+
+
+def document_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the whole job predicts of every document, and how it is routed."""
+    return scored_documents(spark, d).select(
+        "doc_id", "state", "prediction", F.round("top_probability", 4).alias("top_probability"),
+        "band", "review", "review_reason")
 
 
 QUERIES: dict[str, Query] = {
@@ -423,4 +553,17 @@ QUERIES: dict[str, Query] = {
     "fit_checks": fit_checks,
     "fold_checks": fold_checks,
     "scored_states": scored_states,
+    "fit_certificate": fit_certificate,
+    "fit_probabilities": fit_probabilities,
+    "document_scores": document_scores,
+    "fold_vocabularies": fold_vocabularies,
+    "document_split": document_split,
+    "document_shares": document_shares,
+    "bootstrap_intervals": bootstrap_intervals,
+    "uplift_test": uplift_test,
+    "leakage_terms": leakage_terms,
+    "label_mentions": label_mentions,
+    "incremental_scores": incremental_scores,
+    "unusual_texts": unusual_texts,
+    "text_readiness": text_readiness,
 }

@@ -210,6 +210,18 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "pages", "c.*").where(F.col("text").isNotNull())
 
 
+def unusual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written with characters that cleaning removes or replaces.
+
+    Vowels become full-width letters and ``fi`` a ligature; after every ``n`` stand a
+    control, a private-use and a replacement character.
+    """
+    text = F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01"))
+    text = F.translate(text, "aeou", "\uff41\uff45\uff4f\uff55")
+    return read_texts(spark, sf_dir, "documents").select(
+        "doc_id", F.replace(text, F.lit("n"), F.lit("n\u0007\ue000\ufffd")).alias("text"))
+
+
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as extraction candidates: as they are, and without digits."""
     return read_texts(spark, sf_dir, "documents").select(

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators.heavy_hitters import CAPACITY, key_summary
 from labelloom.session import stage
 
 PAIRS_PER_TASK = 4_000_000
@@ -23,7 +24,33 @@ def key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full")
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int) -> DataFrame:
+def _work(n: Column, m: Column) -> Column:
+    """Rows or pairs of a key, whichever are more."""
+    return F.greatest(n.cast("double") * m, n.cast("double"), m.cast("double"))
+
+
+def candidate_counts(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int,
+                     capacity: int = CAPACITY) -> DataFrame:
+    """``key, left_rows, right_rows`` of a superset of the keys with more work than ``pairs_per_task``.
+
+    Summaries of both sides bound every key's rows from above. Only keys whose bounds
+    exceed the limit are counted, and these alone are shuffled. A key without a count in
+    either summary occurs at most ``taken`` times a side; where even such keys could
+    exceed the limit, the summaries are too small for the tables and all keys are counted.
+    """
+    (a, off_a, _), (b, off_b, _) = (key_summary(side, key, capacity) for side in (left, right))
+    if max(off_a * off_b, off_a, off_b) > pairs_per_task:
+        return key_counts(left, right, key)
+    known = a.withColumnRenamed("n", "left_rows").join(b.withColumnRenamed("n", "right_rows"), key, "full")
+    if off_a == off_b == 0:
+        return known
+    n, m = F.coalesce("left_rows", F.lit(0)) + off_a, F.coalesce("right_rows", F.lit(0)) + off_b
+    wanted = stage(known.where(_work(n, m) > pairs_per_task).select(key), "candidate-keys")
+    return key_counts(left.select(key).join(wanted, key, "left_semi"), right.select(key).join(wanted, key, "left_semi"), key)
+
+
+def hot_keys(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int,
+             capacity: int = CAPACITY) -> DataFrame:
     """Keys with too many rows or pairs for one task, and the slices of each side.
 
     Two slices that meet form at most ``pairs_per_task`` pairs. A side that is small
@@ -36,8 +63,8 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, pairs_per_task: int) -
         size = F.greatest(F.lit(square), pairs_per_task / F.greatest(other, F.lit(1)))
         return F.greatest(F.lit(1), F.ceil(own / size)).cast("int")
 
-    work = F.greatest(n.cast("double") * m, n.cast("double"), m.cast("double"))
-    return key_counts(left, right, key).where(F.col(key).isNotNull() & (work > pairs_per_task)).select(
+    counts = candidate_counts(left, right, key, pairs_per_task, capacity)
+    return counts.where(F.col(key).isNotNull() & (_work(n, m) > pairs_per_task)).select(
         key, slices(n, m).alias("left_slices"), slices(m, n).alias("right_slices"))
 
 

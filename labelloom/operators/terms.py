@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import stage
+
 # Fixed limits of the vocabulary.
 MAX_FEATURES = 10_000
 MIN_DOCUMENTS = 2
+BUCKETS = 1 << 20
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -44,26 +49,105 @@ def token_counts(df: DataFrame, doc: str, text: Column) -> DataFrame:
     )
 
 
+def _both_counts(grams: DataFrame, carried: list[str]) -> DataFrame:
+    """``per_document, term`` and ``carried``: every gram, and every distinct gram of a row once more."""
+    both = grams.select(*carried, F.posexplode(F.array("grams", F.array_distinct("grams")))
+                        .alias("per_document", "list"))
+    return both.select(*carried, "per_document", F.explode("list").alias("term"))
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_sums(grams: DataFrame) -> DataFrame:
+    """``bucket, upper``: occurrences of all terms that hash to a bucket.
+
+    The sum of a term's bucket is never below the term's own count. A map task sends at
+    most one number per bucket, however many terms it has seen.
+    """
+    return grams.select(F.explode("grams").alias("term")).groupBy(_bucket(F.col("term")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("upper"))
+
+
+def _counts(grams: DataFrame, folds: int | None, buckets: DataFrame | None = None) -> DataFrame:
+    """``term, corpus, documents``: counts over all rows, or outside every fold by subtraction."""
+    terms = _both_counts(grams, [] if folds is None else ["fold"])
+    if buckets is not None:
+        terms = terms.withColumn("bucket", _bucket(F.col("term"))).join(
+            buckets.select("bucket"), "bucket", "left_semi")
+    once, distinct = 1 - F.col("per_document"), F.col("per_document")
+    if folds is None:
+        return terms.groupBy("term").agg(F.array(F.sum(once)).alias("corpus"), F.array(F.sum(distinct)).alias("documents"))
+    sums = {}
+    for name, count in (("corpus", once), ("documents", distinct)):
+        own = [F.sum(F.when(F.col("fold") == f, count).otherwise(0)) for f in range(folds)]
+        sums[name] = F.array(*[F.sum(count) - inside for inside in own]).alias(name)
+    return terms.groupBy("term").agg(*sums.values())
+
+
+def _most_used(counts: DataFrame, groups: int, max_features: int, min_documents: int) -> DataFrame:
+    """``fold, term, corpus_count, document_count`` of the first terms of every group."""
+    parts = [
+        counts.select(F.lit(g).alias("fold"), "term", F.get("corpus", F.lit(g)).alias("corpus_count"),
+                      F.get("documents", F.lit(g)).alias("document_count"))
+        .where(F.col("document_count") >= min_documents)
+        .orderBy(F.desc("corpus_count"), F.asc("term")).limit(max_features)
+        for g in range(groups)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _bounded_terms(grams: DataFrame, folds: int | None, max_features: int, min_documents: int) -> DataFrame:
+    """The most used terms, counted only where a term can be one of them.
+
+    1. Sums per hash bucket bound the count of every term in them from above.
+    2. The terms of the ``2 * max_features`` largest buckets are counted exactly. If
+       ``max_features`` of them qualify, the least count among those is a bound from
+       below: a term that is to be chosen occurs so often at least.
+    3. Where no other bucket reaches that bound, no other term does, and the choice is
+       done. Else the terms of all buckets that reach it are counted as well; with too
+       few qualified terms the bound is 0 and all are.
+
+    Only counted terms are shuffled by name. Counts outside a fold are at most total
+    counts, so the same sums bound every fold.
+    """
+    groups = 1 if folds is None else folds
+    sums = stage(bucket_sums(grams), "term-buckets")
+    chosen = stage(sums.orderBy(F.desc("upper"), "bucket").limit(2 * max_features), "term-buckets-first")
+    rest = sums.join(chosen.select("bucket"), "bucket", "left_anti")
+    counts = stage(_counts(grams, folds, chosen), "term-counts")
+    tops = stage(_most_used(counts, groups, max_features, min_documents), "terms")
+    found = {r["fold"]: (r["n"], r["least"]) for r in tops.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("corpus_count").alias("least")).collect()}
+    least = min((found[g][1] if g in found and found[g][0] == max_features else 0) for g in range(groups))
+    more = stage(rest.where(F.col("upper") >= least), "term-buckets-more")
+    if more.isEmpty():
+        return tops
+    counts = counts.unionByName(_counts(grams, folds, more))
+    return stage(_most_used(stage(counts, "term-counts"), groups, max_features, min_documents), "terms")
+
+
 def vocabulary(grams: DataFrame, max_features: int = MAX_FEATURES,
                min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``term, corpus_count, document_count`` of the most used terms.
 
-    One pass over the text: each document gives its gram list and its distinct
-    grams, and both counts are combined by term before the shuffle. Nothing is
-    grouped by document, and a term that is everywhere is one row per map task.
-    Ties in corpus count fall to the alphabetically first term.
+    Ties in corpus count fall to the alphabetically first term. Jobs run while the plan
+    is built: see ``_bounded_terms``. Nothing is grouped by document, and a term that is
+    everywhere is one row per map task.
     """
-    both = grams.select(F.posexplode(F.array("grams", F.array_distinct("grams")))
-                        .alias("per_document", "list"))
-    terms = both.select("per_document", F.explode("list").alias("term"))
-    return (
-        terms.groupBy("term")
-        .agg(F.sum(1 - F.col("per_document")).alias("corpus_count"),
-             F.sum("per_document").alias("document_count"))
-        .where(F.col("document_count") >= min_documents)
-        .orderBy(F.desc("corpus_count"), F.asc("term"))
-        .limit(max_features)
-    )
+    return _bounded_terms(grams, None, max_features, min_documents).drop("fold").orderBy(
+        F.desc("corpus_count"), F.asc("term"))
+
+
+def fold_vocabularies(grams: DataFrame, folds: int = 5, max_features: int = MAX_FEATURES,
+                      min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``fold, term, corpus_count, document_count``: the vocabulary of the rows outside each fold.
+
+    ``grams`` carries ``fold``. Counts are additive, so what lies outside a fold is the
+    total minus the fold: all vocabularies come from the same count per term.
+    """
+    return _bounded_terms(grams, folds, max_features, min_documents)
 
 
 def inverse_frequency(documents: Column, with_term: Column) -> Column:
@@ -88,7 +172,8 @@ def tfidf_weights(grams: DataFrame, doc: str, terms: DataFrame) -> DataFrame:
         doc, F.unwrap_udt("tf").alias("tf"), F.unwrap_udt("scaled").alias("scaled")).select(
         doc, F.col("tf.indices").alias("place"),
         F.zip_with("tf.values", "scaled.values", lambda n, x: (1 + F.log(n)) * x / n).alias("raw"))
+    # A projection of its own: beside the generator the norm would be folded once per term.
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
-    rows = raw.select(doc, norm.alias("norm"), F.inline(F.arrays_zip("place", "raw")))
+    rows = raw.withColumn("norm", norm).select(doc, "norm", F.inline(F.arrays_zip("place", "raw")))
     names = grams.sparkSession.createDataFrame([(i, r.term) for i, r in enumerate(known)], "place int, term string")
     return rows.join(F.broadcast(names), "place").select(doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import has_text, summary_text
-from labelloom.model.classifier import Classifier, Settings, fit_each
+from labelloom.model.classifier import Classifier, Settings, fit_each, fit_folds
 from labelloom.operators.evaluation import (
     compare_experiments, fold_summary, prediction_metrics)
 from labelloom.operators.keyed import keep_frequent
-from labelloom.operators.strata import with_folds, with_holdout
+from labelloom.operators.strata import with_document_holdout, with_folds, with_holdout
 from labelloom.session import shared_folder, stage
 
 IDENTITY = ["source_id", "filename"]
@@ -35,6 +35,13 @@ def experiment_texts() -> dict[str, Column]:
     }
 
 
+def text_readiness(rows: DataFrame, text: Column, by: str, more_than: int = MIN_TEXTS) -> DataFrame:
+    """``by, with_text, enough``: rows that hold any text, and whether they are more than ``more_than``."""
+    with_text = F.count_if(F.coalesce(F.length(text), F.lit(0)) > 0)
+    return rows.groupBy(by).agg(with_text.alias("with_text")).withColumn(
+        "enough", F.col("with_text") > more_than)
+
+
 def enough_texts(rows: DataFrame, text: Column, more_than: int = MIN_TEXTS) -> bool:
     """Whether more than ``more_than`` rows hold any text."""
     return rows.where(F.length(text) > 0).limit(more_than + 1).count() > more_than
@@ -44,14 +51,18 @@ def split_rows(training: DataFrame, by_document: bool = False) -> DataFrame:
     """Model rows with ``part``.
 
     The split is by row, as each label of a document is its own row. With
-    ``by_document`` one label stands for a document and its rows stay together.
+    ``by_document`` all rows of a document stay together, and every label is level.
     """
     rows = model_rows(training)
     if not by_document:
         return with_holdout(rows, "label", IDENTITY)
-    documents = rows.groupBy("source_id").agg(F.min("label").alias("label"))
-    parts = with_holdout(documents, "label", ["source_id"]).select("source_id", "part")
-    return rows.join(parts, "source_id")
+    return rows.join(document_parts(rows).select("source_id", "part"), "source_id")
+
+
+def document_parts(rows: DataFrame) -> DataFrame:
+    """``source_id, labels, part``: each document on one side, by all of its labels."""
+    documents = rows.groupBy("source_id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return with_document_holdout(documents, "labels", ["source_id"])
 
 
 def experiment_rows(split: DataFrame) -> dict[str, DataFrame]:
@@ -104,11 +115,10 @@ def prediction_checks(predictions: DataFrame, by: str) -> DataFrame:
         F.count_if(F.col("pred") == first).alias("likeliest"))
 
 
-def reload_checks(split: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def reload_checks(split: DataFrame, predictions: DataFrame, models: dict[str, Classifier]) -> DataFrame:
     """``prediction_checks`` per experiment, and the test rows whose prediction a saved
     and loaded model repeats with equal probabilities."""
     spark = split.sparkSession
-    predictions, models = run_experiments(split, settings)
     repeated = []
     for name, model in models.items():
         folder = f"{shared_folder(spark).rstrip('/')}/experiment-{uuid.uuid4().hex}"
@@ -126,13 +136,14 @@ def reload_checks(split: DataFrame, settings: Settings = Settings()) -> DataFram
 
 def fold_predictions(rows: DataFrame, text: str = "feature_text", folds: int = 5,
                      settings: Settings = Settings()) -> DataFrame:
-    """Out-of-fold predictions; vocabulary and model are fitted anew per fold.
+    """Out-of-fold predictions; vocabulary, weights and model are those of the other folds.
 
     ``rows`` carries ``fold``; store it first.
     """
-    models = fit_each({f: rows.where(F.col("fold") != f) for f in range(folds)}, text, settings)
+    columns = ["fold", "source_id", "filename", "label"]
+    vectors, models = fit_folds(rows.select(*columns, text), text, folds, settings=settings)
     parts = [
-        model.predict(rows.where(F.col("fold") == fold), text).select(
+        model.predict_vectors(vectors.where(F.col("fold") == fold).select(*columns, "damped")).select(
             "fold", "source_id", "filename", F.col("label").alias("true"), "pred", "probs")
         for fold, model in models.items()
     ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.replies import prompt_parts
@@ -11,6 +12,7 @@ from labelloom.functions.tiers import (
     below_quality_gate, confidence_band, needs_review, review_reason)
 from labelloom.model.classifier import Classifier
 from labelloom.operators.ranking import by_probability
+from labelloom.session import stage
 
 
 def prompts(best: DataFrame, instruction: str) -> DataFrame:
@@ -89,3 +91,41 @@ def score_documents(best: DataFrame, replies: DataFrame, model: Classifier,
     ready_text = F.when(F.col("state") == "ready", text)
     scored = model.predict(rows.withColumn("scoring_text", ready_text), "scoring_text")
     return routed(scored.drop("scoring_text", *extra))
+
+
+_RESULTS = "digest string, model string, pred string, probs array<struct<class:string,p:double>>"
+
+
+def known_results(spark: SparkSession, folder: str, version: str) -> DataFrame:
+    """``digest, pred, probs`` that ``folder`` holds of a model version."""
+    try:
+        stored = spark.read.schema(_RESULTS).parquet(folder)
+    except AnalysisException:
+        stored = spark.createDataFrame([], _RESULTS)
+    return stored.where(F.col("model") == version).drop("model").dropDuplicates(["digest"])
+
+
+def score_unknown(rows: DataFrame, ids: list[str], text_column: str, model: Classifier, version: str,
+                  folder: str) -> tuple[DataFrame, int]:
+    """``ids, pred, probs`` of every row, and how many texts the model had to see.
+
+    Results are stored by the digest of the text and the model's version. Digests are
+    compared first, on rows without texts; only texts whose digest is not known yet are
+    read again and scored, one of several equal ones, and their results appended. So a
+    second run scores nothing, another version scores all, and a run that fails before it
+    has appended repeats its work. Null and empty texts are one text.
+    """
+    spark = rows.sparkSession
+    text = F.coalesce(text_column, F.lit(""))
+    digests = stage(rows.select(*ids, F.sha2(text, 256).alias("digest")), "digests")
+    known = known_results(spark, folder, version)
+    missing = digests.join(known.select("digest"), "digest", "left_anti").select("digest").distinct()
+    missing = stage(missing, "unknown-digests")
+    n = missing.count()
+    if n:
+        texts = rows.select(F.sha2(text, 256).alias("digest"), text.alias("text")).join(
+            missing, "digest", "left_semi").dropDuplicates(["digest"])
+        model.predict(texts, "text").select(
+            "digest", F.lit(version).alias("model"), "pred", "probs").write.mode("append").parquet(folder)
+    results = known_results(spark, folder, version)
+    return digests.join(results, "digest", "left").select(*ids, "pred", "probs"), n

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Runtime SQL settings the jobs rely on. AQE sizes reduce tasks, turns a join
 # into a broadcast only after it has seen the real size of a side, and splits
@@ -83,16 +84,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, files: int | None = None, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several later jobs need the same rows: the lineage is cut, lost
     executors only re-read files, and each reader still prunes columns. ``files``
     deals the rows over that many files when they are written, for tables whose
     readers do CPU-bound work. A reader knows the table's size in bytes, so Spark
-    broadcasts a small one by its own threshold.
+    broadcasts a small one by its own threshold. ``schema`` names the types to read the
+    columns as, where they are stored alike, such as a vector for its struct.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     (df if files is None else df.repartition(files)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema if schema is None else schema).parquet(path)

@@ -1,11 +1,15 @@
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from labelloom.operators.heavy_hitters import key_summary
 from labelloom.operators.keyed import balanced_weights, dropped_classes, keep_frequent
 from labelloom.operators.keyed import smallest_per_key
 from labelloom.operators.set_join import names_of_ids
-from labelloom.operators.stem_join import _sliced, fan_out, hot_keys, sliced_join, status_counts
+from labelloom.operators.stem_join import (
+    _sliced, candidate_counts, fan_out, hot_keys, sliced_join, status_counts)
 from labelloom.plans.metadata import metadata, one_row_per_label
 from labelloom.plans.training import training_rows
 
@@ -108,6 +112,39 @@ def test_sliced_join_spreads_a_hot_key(spark):
     assert sliced_join(left, right, "k", 1_000).count() == 10_000
 
 
+def _plain_hot(left, right, limit):
+    a, b = Counter(r.k for r in left.collect()), Counter(r.k for r in right.collect())
+    return {k for k in {*a, *b} - {None} if max(a[k] * b[k], a[k], b[k]) > limit}
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 20, 1 << 17])
+@pytest.mark.parametrize("limit", [1, 30, 3_000, 10 ** 9])
+def test_summaries_find_the_same_hot_keys(spark, capacity, limit):
+    dice = random.Random(capacity)
+    keys = ["a"] * 300 + ["b"] * 120 + ["c"] * 60 + [None] * 50 + [f"k{dice.randrange(300)}" for _ in range(400)]
+    dice.shuffle(keys)
+    left = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    right = spark.createDataFrame([(k,) for k in keys[:350]], "k string").repartition(3)
+    assert {r.k for r in hot_keys(left, right, "k", limit, capacity).collect()} == _plain_hot(left, right, limit)
+
+
+@pytest.mark.parametrize("capacity", [1, 4, 50])
+def test_summary_bounds(spark, capacity):
+    keys = ["x"] * 500 + ["y"] * 100 + [f"z{i}" for i in range(200)] + [None] * 9
+    random.Random(1).shuffle(keys)
+    kept, taken, rows = key_summary(spark.createDataFrame([(k,) for k in keys], "k string").repartition(4), "k", capacity)
+    counts, true = {r.k: r.n for r in kept.collect()}, Counter(keys)
+    assert rows == 800 and taken <= rows / capacity and len(counts) <= 4 * capacity
+    assert all(true[k] - taken <= counts.get(k, 0) <= true[k] for k in true if k is not None)
+
+
+def test_only_candidates_are_counted(spark):
+    left = spark.range(5_000).select(F.when(F.col("id") % 4 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    right = spark.createDataFrame([("hot",)] * 3, "k string")
+    counted = candidate_counts(left.repartition(2), right, "k", 1_000, capacity=100)
+    assert [tuple(r) for r in counted.collect()] == [("hot", 1250, 3)]
+
+
 def test_status_counts_match_the_joined_rows(spark):
     left, right = _sides(spark)
     right = right.withColumn("s", F.when(F.col("b") % 3 == 0, "x").when(F.col("b") % 3 == 1, "y"))
