@@ -126,7 +126,7 @@ SELECT f.experiment, CAST(n AS BIGINT) AS rows, CAST(classes AS INTEGER) AS clas
        round(sqrt(squares), 3) AS norm, true AS optimal
 FROM solved f"""
 PROBABILITIES = _fitted(SPLIT, EXPERIMENTS, *SOLUTION) + """
-SELECT experiment, source_id, filename, label AS "true", pred, class, round(p, 4) AS p
+SELECT experiment, source_id, filename, label AS "true", pred, class, round(p, 3) AS p
 FROM (SELECT *, unnest(names) AS class, unnest(probs) AS p FROM fitted_predictions)"""
 RESULTS = _fitted(SPLIT, EXPERIMENTS, *SOLUTION, report("fitted_predictions", "experiment")) + f"""
 , base AS (SELECT * FROM metrics WHERE grp = 'baseline')
@@ -148,11 +148,11 @@ DOCUMENT_SCORES = _fitted(TEXT_CANDIDATES, quality("cleaned"), GATED, f"""fit_ro
         SELECT 'all', 'test', NULL, CAST(d.doc_id AS VARCHAR), '', {SIZE} || ' ' || source || ' ' || text || ' '
                || coalesce(array_to_string({LONG_WORDS}, ' '), ''), d.doc_id
         FROM documents d JOIN gated g ON g.doc_id = d.doc_id AND state = 'ready'))""", *SOLUTION) + """
-SELECT g.doc_id, g.state, pred AS prediction, round(top, 4) AS top_probability,
+SELECT g.doc_id, g.state, pred AS prediction, round(top, 3) AS top_probability,
        CASE WHEN top >= 0.7 THEN 'HIGH' WHEN top >= 0.4 THEN 'MEDIUM' WHEN top IS NOT NULL THEN 'LOW' END AS band,
-       CASE WHEN top IS NULL THEN true ELSE coalesce(quality = 0, false) OR top < 0.4 END AS review,
+       CASE WHEN top IS NULL THEN true ELSE coalesce(quality, 0) = 0 OR top < 0.4 END AS review,
        CASE WHEN g.state = 'low_quality' THEN 'Text quality too low' WHEN g.state = 'failed_reply' THEN 'Reply failed'
-            WHEN quality = 0 THEN 'LLM confidence low' WHEN top < 0.4 THEN 'Prediction probability low' END
+            WHEN coalesce(quality, 0) = 0 THEN 'LLM confidence low' WHEN top < 0.4 THEN 'Prediction probability low' END
             AS review_reason
 FROM gated g LEFT JOIN fitted_predictions f ON f.doc_id = g.doc_id LEFT JOIN labels l ON l.doc_id = g.doc_id"""
 FOLD_VOCABULARIES = with_(TEXT_FOLDS, r"""fold_words AS (
