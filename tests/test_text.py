@@ -159,6 +159,18 @@ def test_best_candidate_rules(spark):
                    4: ("second", 9, good), 5: (None, None, "")}
 
 
+def test_best_extraction_is_chosen_without_texts(spark):
+    """The choice keeps one number per document; ties go to the row stored first."""
+    text = "A clean line of words that scores well enough."
+    rows = [(1, "m", 1, text, 1), (1, "n", 1, text + " ", 2), (2, "m", None, text, 3), (2, "n", 5, text, 4)]
+    candidates = spark.createDataFrame(rows, "doc_id int, method string, priority int, text string, pages int").coalesce(1)
+    best = best_candidates(candidates.select("doc_id").distinct(), candidates)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert not any("text" in line for line in plan.splitlines() if "Aggregate" in line)
+    assert {r.doc_id: (r.method, r.pages) for r in best.collect()} == {1: ("m", 1), 2: ("n", 4)}
+
+
 def test_tokens_and_bigrams(spark):
     df = spark.createDataFrame([("A b_1 Été, x 42!",), ("",), (None,), ("one",)], "t string")
     words = [r[0] for r in df.select(terms.tokens(F.col("t"))).collect()]
