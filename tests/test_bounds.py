@@ -33,8 +33,8 @@ def grams(spark, lists):
     return spark.createDataFrame(lists, "fold int, grams array<string>").persist()
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 64, 1 << 20])
-@pytest.mark.parametrize("features,documents", [(3, 2), (20, 2), (20, 60), (390, 1), (10_000, 2)])
+@pytest.mark.parametrize("buckets", [1, 64, 1 << 20])
+@pytest.mark.parametrize("features,documents", [(20, 2), (20, 60), (390, 1)])
 def test_no_term_is_lost(monkeypatch, grams, lists, buckets, features, documents):
     monkeypatch.setattr(terms, "BUCKETS", buckets)
     got = [tuple(r) for r in terms.vocabulary(grams, features, documents).collect()]
