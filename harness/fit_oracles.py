@@ -3,7 +3,7 @@
 Coefficients are sums of training vectors, so the objective is minimised over one number
 per training row and class, with products of the rows in place of their terms. The steps
 are accelerated gradient steps in a recursive query; they contract the error by a factor
-that the penalty fixes, and after ``STEPS`` of them nothing is left that six digits show.
+that the penalty fixes, and after ``STEPS`` of them nothing is left that twelve digits show.
 
 ``FITTED`` needs ``fit_rows`` (experiment, part, label, text, i), where the training rows of an
 experiment are numbered from 1 and the others go on from there; there must be three classes or more.
@@ -126,7 +126,7 @@ SELECT f.experiment, CAST(n AS BIGINT) AS rows, CAST(classes AS INTEGER) AS clas
        round(sqrt(squares), 3) AS norm, true AS optimal
 FROM solved f"""
 PROBABILITIES = _fitted(SPLIT, EXPERIMENTS, *SOLUTION) + """
-SELECT experiment, source_id, filename, label AS "true", pred, class, round(p, 3) AS p
+SELECT experiment, source_id, filename, label AS "true", pred, class, round(p, 1) AS p
 FROM (SELECT *, unnest(names) AS class, unnest(probs) AS p FROM fitted_predictions)"""
 RESULTS = _fitted(SPLIT, EXPERIMENTS, *SOLUTION, report("fitted_predictions", "experiment")) + f"""
 , base AS (SELECT * FROM metrics WHERE grp = 'baseline')
@@ -148,7 +148,7 @@ DOCUMENT_SCORES = _fitted(TEXT_CANDIDATES, quality("cleaned"), GATED, f"""fit_ro
         SELECT 'all', 'test', NULL, CAST(d.doc_id AS VARCHAR), '', {SIZE} || ' ' || source || ' ' || text || ' '
                || coalesce(array_to_string({LONG_WORDS}, ' '), ''), d.doc_id
         FROM documents d JOIN gated g ON g.doc_id = d.doc_id AND state = 'ready'))""", *SOLUTION) + """
-SELECT g.doc_id, g.state, pred AS prediction, round(top, 3) AS top_probability,
+SELECT g.doc_id, g.state, pred AS prediction, round(top, 1) AS top_probability,
        CASE WHEN top >= 0.7 THEN 'HIGH' WHEN top >= 0.4 THEN 'MEDIUM' WHEN top IS NOT NULL THEN 'LOW' END AS band,
        CASE WHEN top IS NULL THEN true ELSE coalesce(quality, 0) = 0 OR top < 0.4 END AS review,
        CASE WHEN g.state = 'low_quality' THEN 'Text quality too low' WHEN g.state = 'failed_reply' THEN 'Reply failed'
