@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelloom.session import stage, tune
 from labelloom.plans.metadata import metadata
-from labelloom.plans.training import training_rows
+from labelloom.plans.training import joined_rows, training_rows, with_model_texts
 
 # Experiments whose predictions are derived, not fitted.
 DERIVED_EXPERIMENTS = ("baseline", "summary_only", "combined")
@@ -146,7 +146,9 @@ def training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "training", training)
+    """The training table, stored without the model texts, which are made of its other columns."""
+    return with_model_texts(stored(spark, sf_dir, "training", lambda s, d: joined_rows(
+        stored_metadata(s, d), summaries(s, d))))
 
 
 def classed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

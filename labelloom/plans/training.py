@@ -25,10 +25,29 @@ def usable_summaries(summaries: DataFrame) -> DataFrame:
 
 def training_rows(meta: DataFrame, summaries: DataFrame,
                   pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
-    """One row per (document, label, matching summary) with its model texts.
+    """One row per (document, label, matching summary) with its model texts."""
+    return with_model_texts(joined_rows(meta, summaries, pairs_per_task))
+
+
+def with_model_texts(rows: DataFrame) -> DataFrame:
+    """``joined_rows`` with the model texts.
 
     Feature text holds neither the label nor title and regulations, which give
-    it away. Both sides are narrowed before the join on the file-name stem.
+    it away. The texts repeat columns of the row, so a stored table does without them.
+    """
+    return rows.select(
+        "*",
+        feature_text(F.col("doc_subtype"), F.col("classification"), F.col("summary"),
+                     F.col("key_terms")).alias("feature_text"),
+        baseline_text(F.col("title"), F.col("object_name")).alias("baseline_text"),
+    )
+
+
+def joined_rows(meta: DataFrame, summaries: DataFrame,
+                pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """One row per (document, label, matching summary).
+
+    Both sides are narrowed before the join on the file-name stem.
     Pass a stored ``meta``: the join looks at its keys once before reading it.
     """
     labelled = one_row_per_label(meta).drop("attachment_path").withColumn(
@@ -39,11 +58,7 @@ def training_rows(meta: DataFrame, summaries: DataFrame,
     keys = finished_summaries(summaries).select(stem)
     return sliced_join(labelled, texts, "stem", pairs_per_task, keys).select(
         "source_id", "title", "object_name", "label", "classification", "doc_subtype",
-        "regulation_names", *SUMMARY_COLUMNS,
-        feature_text(F.col("doc_subtype"), F.col("classification"), F.col("summary"),
-                     F.col("key_terms")).alias("feature_text"),
-        baseline_text(F.col("title"), F.col("object_name")).alias("baseline_text"),
-    )
+        "regulation_names", *SUMMARY_COLUMNS)
 
 
 def join_coverage(meta: DataFrame, summaries: DataFrame) -> DataFrame:
