@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 # a later aggregate then needs one more exchange.
 # Collecting label sets by hash instead of by sort pays up to far more groups
 # per task than the default of 128.
+# Texts may be long, so a batch for a Python function is bounded by rows and bytes.
 RUNTIME_SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +25,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 
