@@ -36,9 +36,16 @@ STABLE_RANGES = (
     (0x20AC, 0x20AC), (0x3001, 0x3003), (0x3041, 0x3096), (0x30A1, 0x30FE),
     (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 )
-# Intersecting with "beyond ASCII" first settles most characters in one check.
-_UNSTABLE = (r"[\x{80}-\x{10FFFF}&&[^"
-             + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in STABLE_RANGES) + "]]")
+
+
+def _outside(characters: str, stable: tuple[tuple[int, int], ...]) -> str:
+    """The ``characters`` outside all ranges. Those come first, as they settle most of a text in one check."""
+    return f"[{characters}&&[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in stable) + "]]"
+
+
+_UNSTABLE = _outside(r"\x{80}-\x{10FFFF}", STABLE_RANGES)
+# What is unwanted or unstable: beyond ASCII no unwanted character is in a stable range.
+_ODD = _outside(r"\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{10FFFF}", STABLE_RANGES[1:])
 
 
 @lru_cache(maxsize=1)
@@ -82,10 +89,15 @@ def drop_stray_lines(text: Column) -> Column:
         F.split(text, "\n"),
         lambda line: ~line.rlike(r"(?U)\S") | line.rlike(r"(?s)\p{L}[^\p{L}]*+\p{L}"),
     )
-    return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)\A\s+|(?<!\s)\s++\z", "")
+    # The look behind follows the character, as most characters are no white space.
+    return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)\A\s+|\s(?<!\s\s)\s*+\z", "")
 
 
 def clean_text(text: Column) -> Column:
-    """The whole cleaning chain; null becomes an empty string."""
-    return drop_stray_lines(
-        squeeze_blanks(compatibility_form(drop_unwanted(empty_if_null(text)))))
+    """The whole cleaning chain; null becomes an empty string.
+
+    One search tells the texts that the first two steps could change; the others pass them by.
+    """
+    whole = empty_if_null(text)
+    changed = compatibility_form(F.when(whole.rlike(_ODD), drop_unwanted(whole)))
+    return drop_stray_lines(squeeze_blanks(F.coalesce(changed, whole)))

@@ -39,8 +39,8 @@ def letter_ratio(text: Column) -> Column:
 
 def word_ratio(text: Column) -> Column:
     """Share of words with at least two letters; 0 for a text without words."""
-    words = F.regexp_count(text, F.lit(_WORD))
-    return F.when(words > 0, F.regexp_count(text, F.lit(_LETTERED_WORD)) / words).otherwise(0.0)
+    words, lettered = F.regexp_count(text, F.lit(_WORD)), F.regexp_count(text, F.lit(_LETTERED_WORD))
+    return F.coalesce(F.try_divide(lettered, words), F.lit(0.0))  # each is counted once
 
 
 def special_ratio(text: Column) -> Column:

@@ -190,3 +190,27 @@ def test_distribution_percentages(spark, column):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)], f"{column} string")
     rows = checks.distribution(df, column).collect()
     assert [(r.label, r.n, float(r.pct)) for r in rows] == [("a", 2, 66.7), ("b", 1, 33.3)]
+
+
+def test_no_stable_character_is_unwanted():
+    """So one search tells the texts that cleaning could change before it looks at lines."""
+    for first, last in STABLE_RANGES[1:]:
+        assert not [c for c in range(first, last + 1) if unicodedata.category(chr(c)) in ("Cc", "Cf", "Co", "Cs")]
+
+
+def test_quality_counts_the_words_once(spark):
+    plan = with_quality(spark.createDataFrame([("a b",)], "t string"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)[^\s\x1c-\x1f]++") == 1
+
+
+def test_cleaning_leaves_plain_texts_to_one_search(spark):
+    df = spark.createDataFrame([("plain",)], "t string").select(clean_text(F.col("t")).alias("c"))
+    assert "CASE WHEN RLIKE(coalesce(t" in df._jdf.queryExecution().optimizedPlan().toString().replace("#0", "")
+
+
+def test_bucket_sums_make_every_list_once(spark):
+    """A plain explode filters on the list's size, below the projection that makes it."""
+    df = spark.createDataFrame([(1, "bb aa aa"), (2, ""), (3, None)], "id int, t string").repartition(2)
+    sums = terms.bucket_sums(terms.gram_lists(df, "id", F.col("t")))
+    assert sorted(r.upper for r in sums.collect()) == [1, 1, 1, 2]
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
