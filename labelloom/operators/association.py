@@ -1,9 +1,9 @@
 """Leakage by association: terms that give a label away, and labels named in texts.
 
 ``associated_terms`` counts once how many rows of a label hold a term; the chi-square
-statistic of every (term, label) follows from that table and its margins. Each row's
-distinct terms are combined before the shuffle, and a label's first terms are found
-before its rows meet in one task.
+statistic of every (term, label) follows from that table and its margins, a term's by a
+window, so that no term moves for a join. Each row's distinct terms are combined before
+the shuffle, and a label's first terms are found before its rows meet in one task.
 
 ``label_mentions`` looks for all labels in a text at once, by an automaton whose work
 does not grow with their number. The labels, one per class, are what is sent to tasks.
@@ -37,11 +37,12 @@ def associated_terms(rows: DataFrame, text: Column, label: str, top: int = 10,
     label are left out; ties fall to the alphabetically first term.
     """
     labelled = rows.where(F.col(label).isNotNull())
-    counts = stage(term_label_counts(labelled, text, label), "term-labels")
-    per_term = counts.groupBy("term").agg(F.sum("n").alias("with_term")).where(F.col("with_term") >= min_documents)
+    # A term's rows, one per label at most, meet once; a count per term joined to them would move them twice more.
+    counts = term_label_counts(labelled, text, label).withColumn(
+        "with_term", F.sum("n").over(Window.partitionBy("term"))).where(F.col("with_term") >= min_documents)
     per_label = stage(labelled.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("size")), "label-sizes")
     total = per_label.agg(F.sum("size").alias("n")).first()["n"] or 0
-    joined = counts.join(per_term, "term").join(per_label, "label")
+    joined = counts.join(per_label, "label")
     n, df, size, everything = F.col("n") * 1.0, F.col("with_term") * 1.0, F.col("size") * 1.0, F.lit(float(total))
     off = n * everything - df * size
     spread = df * (everything - df) * size * (everything - size)

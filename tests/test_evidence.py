@@ -90,6 +90,17 @@ def test_draws_have_a_mean_and_variance_of_one(spark):
     assert row.m == pytest.approx(1, abs=0.03) and row.v == pytest.approx(1, abs=0.05)
 
 
+def test_terms_move_for_no_join(spark):
+    """Only the labels' sizes are joined; counts of equal rows, and of terms that two labels share, add up."""
+    df = spark.createDataFrame([("a", "xx yy"), ("a", "xx yy"), ("b", "yy"), ("b", "zz"), (None, "xx"), ("b", None)],
+                               "label string, text string")
+    found = association.associated_terms(df, F.col("text"), "label", top=5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {(r.label, r.term, r.n, r.with_term) for r in found.collect()} == {
+        ("a", "xx", 2, 2), ("a", "xx yy", 2, 2), ("a", "yy", 2, 3)}
+
+
 def test_associated_terms_by_hand(spark):
     rows = [("law court", "law")] * 8 + [("law day", "law")] * 2 + [("tax day", "tax")] * 9 + [("court tax", "tax"), (None, "tax"),
             ("court", None)]
