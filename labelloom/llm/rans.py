@@ -87,11 +87,13 @@ def encode_blocks(symbols: np.ndarray, freqs: np.ndarray) -> list[bytes]:
     for step in range(STEPS - 1, -1, -1):
         at = grid[:, step]
         freq = freqs[at]
-        full = states.astype(np.uint64) >= (freq.astype(np.uint64) << np.uint64(16))
-        words[step] = states & np.uint32(0xFFFF)
+        high = states >> np.uint32(16)
+        full = high >= freq
+        words[step] = states.astype(np.uint16)  # the lower half
         moved[step] = full
-        states = np.where(full, states >> np.uint32(16), states)
-        states = ((states // freq) << np.uint32(SCALE_BITS)) + begins[at] + states % freq
+        states = np.where(full, high, states)
+        whole = states // freq
+        states = (whole << np.uint32(SCALE_BITS)) + begins[at] + (states - whole * freq)
     out = []
     for b in range(blocks):
         stream = words[:, b][moved[:, b]]

@@ -18,7 +18,7 @@ import numpy as np
 from labelloom.llm.memories import remembered
 
 MAX_CHUNKS = 900_000
-_ENCODE_AT_ONCE = 4096
+_ENCODE_AT_ONCE = 4096  # chunks; their lists of ids take far more memory than the flat ones
 
 # A chunk takes one space before it, as the byte-level pattern does; of longer white
 # space all but the last character is a piece of its own. Letters and digits end at one of
@@ -26,8 +26,7 @@ _ENCODE_AT_ONCE = 4096
 _SPACED = re.compile(r" ?[^\W_]++(?=[.,;:!?])| ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
                      r"|[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_WHOLE = re.compile(
-    r"<\||[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+_SPACES = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 
 
 @cache
@@ -43,6 +42,11 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
+def _needs_whole(text: str) -> bool:
+    """Whether a cut at ASCII white space could matter."""
+    return "<|" in text or _SPACES.search(text) is not None
+
+
 class _Places(dict):
     """Numbers chunks as they are met, and remembers which are new."""
 
@@ -77,11 +81,8 @@ class ChunkEncoder:
         self._used = 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        out = []
-        for i in range(0, len(texts), _ENCODE_AT_ONCE):
-            part = texts[i:i + _ENCODE_AT_ONCE]
-            out += [e.ids for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+        """One text at a time: a batch would be dealt over threads of the library, while the task has one core."""
+        return [self._tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
     def _learn(self) -> None:
         """Encode the new chunks and append their ids to the flat memory."""
@@ -112,7 +113,7 @@ class ChunkEncoder:
         out = np.zeros(len(texts), np.int64)
         known: list[tuple[int, np.ndarray]] = []
         for i, text in enumerate(texts):
-            if _WHOLE.search(text):
+            if _needs_whole(text):
                 out[i] = len(self._library([text])[0])
             else:
                 known.append((i, self._chunks(text)))
@@ -128,7 +129,7 @@ class ChunkEncoder:
             self._forget()
         parts: list[np.ndarray] = []
         for text in texts:
-            whole = _WHOLE.search(text) is not None
+            whole = _needs_whole(text)
             parts.append(np.array(self._library([text])[0], np.uint32) if whole else self._chunks(text))
         known = [p for p in parts if p.dtype == np.int64]
         flat, size = self._gather(np.concatenate(known) if known else np.zeros(0, np.int64))
