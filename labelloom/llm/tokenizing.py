@@ -18,7 +18,7 @@ import numpy as np
 from labelloom.llm.memories import remembered
 
 MAX_CHUNKS = 900_000
-_ENCODE_AT_ONCE = 4096  # chunks; their lists of ids take far more memory than the flat ones
+_ENCODE_AT_ONCE = 4096
 
 # A chunk takes one space before it, as the byte-level pattern does; of longer white
 # space all but the last character is a piece of its own. Letters and digits end at one of
@@ -81,8 +81,11 @@ class ChunkEncoder:
         self._used = 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        """One text at a time: a batch would be dealt over threads of the library, while the task has one core."""
-        return [self._tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+        out = []
+        for i in range(0, len(texts), _ENCODE_AT_ONCE):
+            part = texts[i:i + _ENCODE_AT_ONCE]
+            out += [e.ids for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def _learn(self) -> None:
         """Encode the new chunks and append their ids to the flat memory."""
