@@ -1,5 +1,6 @@
 """Token counts, chunk encoding and coded files against the tokenizers library."""
 
+import json
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import rans, token_cache
 from labelloom.llm.common import new_folder
-from labelloom.llm.tokenizing import ChunkEncoder, library_tokenizer
+from labelloom.llm.tokenizing import ChunkEncoder, letters_model, library_tokenizer
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 HARD = ["", " ", "a  b", "a \n b\n\nc", "tab\tx", "it's  we'll", "<|endoftext|>", "a  <|endoftext|> b", "ñandú  ÉTÉ",
